@@ -92,20 +92,23 @@ class IsolationForest:
 def fit_forest(
     df: DataFrame,
     columns: Sequence[str],
-    row_key: Sequence[str],
+    row_key: Sequence[str] | None = None,
     trees: int = 100,
     sample: int = 256,
     seed: int = 42,
 ) -> IsolationForest:
     """Grow the forest on standardised columns, nulls as 0.
 
-    A row's trees follow from a hash of its key, so the sample does not depend on how the data is
-    partitioned. Large tables are first thinned by one hash to a pool that still holds all trees'
-    rows, which keeps the per-tree test off most rows.
+    With a unique ``row_key`` a row's trees follow from a hash of it, so the sample does not
+    depend on how the data is partitioned. Without one every row draws a number, so that copies of
+    a row are sampled apart and no tree gets more than its share. Large tables are first thinned to
+    a pool that still holds all trees' rows, which keeps the per-tree test off most rows.
     """
     columns = list(columns)
+    drawn = F.rand(seed) if row_key is None else F.xxhash64(F.lit(seed), *row_key)
     filled = df.select(
-        *row_key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]
+        drawn.alias("_draw"),
+        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns],
     )
     stats = filled.agg(
         F.count("*").alias("n"),
@@ -121,20 +124,19 @@ def fit_forest(
     thin = max(1, n // (trees * sample))
     pool = filled
     if thin > 1:
-        pool = filled.filter(F.pmod(F.xxhash64(F.lit(seed), *row_key), F.lit(thin)) == 0)
+        pool = filled.filter(F.pmod(F.xxhash64(F.lit(0), "_draw"), F.lit(thin)) == 0)
     pooled = max(1, n // thin)
     scaled = [((F.col(c) - m) / s).alias(c) for c, m, s in zip(columns, mean, scale)]
     chosen = F.filter(
         F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.pmod(F.xxhash64(F.lit(seed + 1), t, *row_key), F.lit(pooled)) < sample,
+        lambda t: F.pmod(F.xxhash64(t + 1, F.col("_draw")), F.lit(pooled)) < sample,
     )
-    sampled = pool.select(F.explode(chosen).alias("tree"), *row_key, *scaled)
+    sampled = pool.select(F.explode(chosen).alias("tree"), "_draw", *scaled)
     limit = math.ceil(math.log2(max(sample, 2)))
-    keys = list(row_key)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        ordered = pdf.sort_values(keys + columns, kind="stable")[columns].to_numpy(dtype=float)
+        ordered = pdf.sort_values("_draw", kind="stable")[columns].to_numpy(dtype=float)
         nodes = _grow(ordered, np.random.default_rng([seed, tree]), limit)
         out = pd.DataFrame(
             nodes, columns=["node", "feature", "threshold", "left", "right", "size", "depth"]

@@ -102,7 +102,7 @@ def heatmap(df: DataFrame, ts: str = "fecha_in") -> DataFrame:
         df.withColumn("_hora", F.hour(ts))
         .groupBy(F.weekday(ts).alias("orden"))
         .pivot("_hora", list(range(24)))
-        .agg(F.count("*"))
+        .agg(F.count(F.lit(1)))
     )
     hours = {str(h): F.coalesce(F.col(str(h)), F.lit(0)) for h in range(24)}
     return spine.join(counts, "orden", "left").select(

@@ -85,7 +85,7 @@ def normalise(df: DataFrame, column: str, name: str = "normalizado") -> DataFram
 
 
 def fit(features: DataFrame, trees: int = 100, sample: int = 256, seed: int = 42) -> IsolationForest:
-    return fit_forest(features, FEATURES, ["codigo", "visit_id"], trees, sample, seed)
+    return fit_forest(features, FEATURES, ["visit_id"], trees, sample, seed)
 
 
 def score(features: DataFrame, forest: IsolationForest) -> DataFrame:

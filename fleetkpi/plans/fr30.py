@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -186,14 +188,14 @@ def fit(
     at = F.unix_micros("fecha_in")
     cuts = [(i + 1) / (folds + 1) for i in range(folds)]
     edges = rows.agg(F.percentile_approx(at, cuts, 10_000).alias("e")).first()["e"]
-    fitted = []
-    for i, edge in enumerate(edges):
-        before, after = at <= edge, at > edge
+
+    def fit_fold(i: int) -> Fold | None:
+        after = at > edges[i]
         held = rows.filter(after if i + 1 == folds else after & (at <= edges[i + 1]))
-        train = rows.filter(before)
+        train = rows.filter(at <= edges[i])
         kinds = [part.agg(F.count_distinct("y")).first()[0] for part in (train, held)]
         if min(kinds) < 2:
-            continue
+            return None
         trees = GBTClassifier(
             featuresCol="features",
             labelCol="y",
@@ -209,7 +211,12 @@ def fit(
         calibration = IsotonicRegression(featuresCol="raw_risk", labelCol="y").fit(
             _raw(classifier.transform(held)).select("raw_risk", "y")
         )
-        fitted.append(Fold(classifier, calibration))
+        return Fold(classifier, calibration)
+
+    # the folds are independent jobs; small logs are bound by job latency, so they run together
+    with ThreadPool(folds) as pool:
+        done = pool.map(inheritable_thread_target(rows.sparkSession)(fit_fold), range(folds))
+    fitted = [fold for fold in done if fold is not None]
     return ReturnModel(encoder, fitted) if fitted else None
 
 

@@ -15,7 +15,6 @@ from ..operators.forest import IsolationForest, decision, fit_forest, score_fore
 
 FEATURES = ["temperatura", "vibracion", "horas_operacion", "ciclos_trabajo", "dia_anio"]
 TARGETS = {"prob_falla_30d": "fr30_pred", "rul_estimado": "rul_pred"}
-ROW_KEY = ["equipo", "fecha", *FEATURES]
 
 
 def fit(telemetry: DataFrame, trees: int = 20, depth: int = 10, seed: int = 42) -> PipelineModel:
@@ -54,7 +53,7 @@ def score(model: PipelineModel, telemetry: DataFrame) -> DataFrame:
 
 
 def fit_anomaly(telemetry: DataFrame, trees: int = 100, seed: int = 42) -> IsolationForest:
-    return fit_forest(telemetry, FEATURES, ROW_KEY, trees=trees, seed=seed)
+    return fit_forest(telemetry, FEATURES, trees=trees, seed=seed)
 
 
 def score_anomaly(forest: IsolationForest, telemetry: DataFrame) -> DataFrame:

@@ -31,6 +31,7 @@ def local_session(cpus: int | str = 8, app: str = "fleetkpi", **conf: str) -> Sp
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("FLEETKPI_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.host", "127.0.0.1")

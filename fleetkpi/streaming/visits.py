@@ -55,9 +55,12 @@ def tumbling_stream(visits: DataFrame, every: str = "1 day", lateness: str = LAT
     )
 
 
-def read_events(spark: SparkSession, path: str, schema: T.StructType, files: int = 1) -> DataFrame:
-    """Replay files as a stream, a few per batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+def read_events(
+    spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet", files: int = 1
+) -> DataFrame:
+    """Replay a folder's files as a stream, a few per batch."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    return reader.option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def run_to_end(
