@@ -130,7 +130,7 @@ def visit_timeline(visits: DataFrame, as_of: str, cuts: Cuts = NO_CUTS) -> DataF
     """One pass over the log per machine; Catalyst drops the columns a query does not use.
 
     Neighbours: ``tbf_dias``, ``anterior_in``, ``siguiente_in``. Last rows: ``tbf_med_60d``,
-    ``tbf_std_60d`` (5 visits), ``mttr_med_90d`` (10), ``tbf_mean_3``, ``mttr_mean_3`` (3). Whole
+    ``tbf_std_60d`` (5 visits), ``mttr_med_90d`` (10), ``tbf_mean_3``, ``tbf_med_3``, ``mttr_mean_3`` (3). Whole
     machine: ``n_visitas``, ``primera_in``, ``ultima_in``, ``mttr_eq``; ``n_min5`` marks a
     machine's visits from the fifth on.
     """
@@ -157,6 +157,7 @@ def visit_timeline(visits: DataFrame, as_of: str, cuts: Cuts = NO_CUTS) -> DataF
             "tbf_std_60d": F.coalesce(F.stddev_samp("tbf_dias").over(last(5)), F.lit(0.0)),
             "mttr_med_90d": F.percentile("ciclo_horas", F.lit(0.5)).over(last(10)),
             "tbf_mean_3": F.avg("tbf_dias").over(last(3)),
+            "tbf_med_3": F.percentile("tbf_dias", F.lit(0.5)).over(last(3)),
             "mttr_mean_3": F.avg(_recorded_hours(df)).over(last(3)),
         }
     )
@@ -288,8 +289,12 @@ def site_means(timeline: DataFrame) -> DataFrame:
     The medians are taken before range validation, over all machines.
     """
     hours = _recorded_hours(timeline)
-    medians = timeline.agg(
-        F.percentile("tbf_dias", F.lit(0.5)).alias("_t"), F.percentile(hours, F.lit(0.5)).alias("_m")
+    half = F.lit(0.5)
+    counts = timeline.groupBy("tbf_dias", hours.alias("_h")).agg(F.count("*").alias("_n"))
+    # counted by value first, so that one task sees distinct pairs instead of visits
+    medians = counts.agg(
+        F.percentile("tbf_dias", half, F.col("_n")).alias("_t"),
+        F.percentile("_h", half, F.col("_n")).alias("_m"),
     )
     enough = F.col("n_visitas") >= 3
     return (

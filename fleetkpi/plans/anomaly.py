@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bands import NO_DATA, band
-from ..functions.clock import DAY_US, micros
 from ..operators.features import (
     anomaly_windows,
     calendar_parts,
-    last_rows,
     period_labels,
 )
 from ..operators.forest import IsolationForest, decision, fit_forest, score_forest
+from ..operators.machine_stats import machine_stats
 from ..operators.timeline import NO_CUTS, Cuts, settled
 from ..storage import materialise
 
@@ -119,54 +118,30 @@ def latest_scores(machines: DataFrame, scored: DataFrame) -> DataFrame:
     )
 
 
-def rule_score(timeline: DataFrame) -> DataFrame:
+def rule_score(stats: DataFrame) -> DataFrame:
     """Points for busy, short-lived, scattered and slow recent visits."""
-    recent = F.col("fecha_in") >= F.col("ultima_in") - F.expr("interval 30 days")
-    half = F.lit(0.5)
-
-    def in_recent(column: Column) -> Column:
-        return F.when(recent, column)
-
-    stats = timeline.groupBy("codigo").agg(
-        F.count("*").alias("_n"),
-        F.count_if(recent).alias("ingresos_recientes"),
-        F.floor(
-            (micros(F.max("fecha_in")) - micros(F.min("fecha_in"))) / F.lit(float(DAY_US))
-        ).alias("_span"),
-        F.percentile("tbf_dias", half).alias("_tbf"),
-        F.percentile("ciclo_horas", half).alias("_hours"),
-        F.percentile(in_recent(F.col("ciclo_horas")), half).alias("_hours_recent"),
-        # systems are few, so the set per machine is small
-        F.size(F.collect_set(in_recent(F.col("sistema_afectado")))).alias("sistemas_recientes"),
-    )
-    last = (
-        last_rows(timeline.select("codigo", "fecha_in", "visit_id", "tbf_dias"), 3)
-        .groupBy("codigo")
-        .agg(F.percentile("tbf_dias", half).alias("_tbf_last"))
-    )
-    usual = F.col("_n") / F.greatest(F.lit(1.0), F.col("_span") / 30)
+    usual = F.col("n") / F.greatest(F.lit(1.0), F.col("dias_activos") / 30)
 
     def points(test: Column, value: float) -> Column:
         return F.when(test, F.lit(value)).otherwise(0.0)
 
     total = (
-        points(F.col("ingresos_recientes") > F.col("ingresos_promedio") * 2, 0.4)
-        + points(F.col("_tbf_last") < F.col("_tbf") * 0.5, 0.3)
-        + points(F.col("sistemas_recientes") > 2, 0.2)
-        + points(F.col("_hours_recent") > F.col("_hours") * 1.5, 0.1)
+        points(F.col("n_30d") > F.col("ingresos_promedio") * 2, 0.4)
+        + points(F.col("tbf_ultimos_3") < F.col("tbf_mediana") * 0.5, 0.3)
+        + points(F.col("sistemas_30d") > 2, 0.2)
+        + points(F.col("horas_mediana_30d") > F.col("horas_mediana") * 1.5, 0.1)
     )
     return (
-        stats.join(last, "codigo", "left")
-        .withColumn("ingresos_promedio", usual)
+        stats.withColumn("ingresos_promedio", usual)
         .withColumn("_score", total)
         .select(
             "codigo",
             F.least(F.lit(1.0), F.col("_score")).alias("anomaly_score"),
             band(F.col("_score"), "anomaly_rule").alias("banda"),
-            "ingresos_recientes",
+            F.col("n_30d").alias("ingresos_recientes"),
             "ingresos_promedio",
-            F.coalesce("_tbf_last", F.lit(0.0)).alias("tbf_reciente"),
-            "sistemas_recientes",
+            F.coalesce("tbf_ultimos_3", F.lit(0.0)).alias("tbf_reciente"),
+            F.col("sistemas_30d").alias("sistemas_recientes"),
         )
     )
 
@@ -175,6 +150,6 @@ def detect(timeline: DataFrame, cuts: Cuts = NO_CUTS, **options) -> DataFrame:
     """Forest score where there are enough feature rows, rule score elsewhere."""
     features = materialise(feature_table(timeline, cuts))
     if features.limit(MIN_FEATURE_ROWS).count() < MIN_FEATURE_ROWS:
-        return rule_score(timeline).select("codigo", "anomaly_score", "banda")
+        return rule_score(machine_stats(timeline)).select("codigo", "anomaly_score", "banda")
     scored = score(features, fit(features, **options))
     return latest_scores(timeline, scored).select("codigo", "anomaly_score", "banda")

@@ -6,45 +6,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import instant
+from ..storage import materialise
 
 HORIZON = 30
 _WEEK = range(7)
 _EFFECTS = [f"efecto_{d}" for d in _WEEK]  # Monday first
 
 
-def daily_hours(timeline: DataFrame, min_visits: int = 3) -> DataFrame:
+def machine_days(timeline: DataFrame) -> DataFrame:
+    """Hours, visits and the last class of every machine and entry day."""
+    return timeline.groupBy("codigo", F.col("fecha_in").cast("date").alias("dia")).agg(
+        F.sum("ciclo_horas").alias("horas"),
+        F.count("*").alias("visitas"),
+        F.max_by("clase", F.struct("fecha_in", "visit_id")).alias("clase"),
+    )
+
+
+def daily_hours(days: DataFrame, min_visits: int = 3) -> DataFrame:
     """Hours by entry day and every empty day between, for machines with enough visits.
 
-    Visits collapse to days before the shuffle; a day fills the gap up to the next one itself,
-    so no calendar is joined.
+    A day fills the gap up to the next one itself, so no calendar is joined. The windows see at
+    most one row per machine and calendar day.
     """
-    days = timeline.groupBy("codigo", F.col("fecha_in").cast("date").alias("dia")).agg(
-        F.sum("ciclo_horas").alias("horas"), F.count("*").alias("visitas")
-    )
     machine = Window.partitionBy("codigo")
-    following = F.lead("dia").over(machine.orderBy("dia"))
     until = F.coalesce(F.date_sub(F.col("_next"), 1), F.col("dia"))
+    hours = F.when(F.col("ds") == F.col("dia"), F.col("horas")).otherwise(0.0)
     return (
-        days.withColumns({"_next": following, "_visits": F.sum("visitas").over(machine)})
-        .filter(F.col("_visits") >= min_visits)
-        .select(
-            "codigo", "dia", "horas", F.explode(F.sequence(F.col("dia"), until)).alias("ds")
-        )
-        .select(
-            "codigo", "ds", F.when(F.col("ds") == F.col("dia"), F.col("horas")).otherwise(0.0).alias("y")
+        days.withColumns(
+            {
+                "_next": F.lead("dia").over(machine.orderBy("dia")),
+                "_visits": F.sum("visitas").over(machine),
+                "clase": F.max_by("clase", "dia").over(machine),
+            }
         )
+        .filter(F.col("_visits") >= min_visits)
+        .withColumn("ds", F.explode(F.sequence(F.col("dia"), until)))
+        .select("codigo", "ds", hours.alias("y"), "clase")
     )
 
 
-def usage_series(timeline: DataFrame) -> DataFrame:
-    """Smoothed, capped daily series of machines with some variation, with its statistics.
-
-    Windows here see days, not visits: at most one row per machine and calendar day.
-    """
+def usage_series(days: DataFrame) -> DataFrame:
+    """Smoothed, capped daily series of machines with some variation, with its statistics."""
     machine = Window.partitionBy("codigo")
     smooth = machine.orderBy("ds").rowsBetween(-2, 0)
-    capped = (
-        daily_hours(timeline)
+    return (
+        daily_hours(days)
         .withColumn("y", F.avg("y").over(smooth))
         .withColumn("y", F.least(F.col("y"), F.percentile("y", F.lit(0.99)).over(machine)))
         .withColumns(
@@ -58,10 +64,6 @@ def usage_series(timeline: DataFrame) -> DataFrame:
         )
         .filter((F.col("desviacion") > 0.1) & (F.col("dias") >= 10))
     )
-    last_class = timeline.groupBy("codigo").agg(
-        F.max_by("clase", F.struct("fecha_in", "visit_id")).alias("clase")
-    )
-    return capped.join(last_class, "codigo")
 
 
 def _trend_and_week(series: DataFrame, key: str) -> DataFrame:
@@ -120,24 +122,16 @@ def fit_class(series: DataFrame, min_days: int = 10) -> DataFrame:
 
 def models(series: DataFrame) -> DataFrame:
     """Machine models, and class models where under 30 % of the series got their own."""
-    own = fit_trend_week(series)
+    fits = materialise(_trend_and_week(series, "codigo"))  # one row per machine
     numbers = ["pendiente", "dia_medio", "media", "ultimo_dia", *_EFFECTS]
-    share = (
-        series.groupBy("codigo")
-        .agg(F.count("*").alias("dias"))
-        .agg((F.count_if(F.col("dias") >= 15) < F.count("*") * 0.3).alias("_few"))
-        .filter("_few")
-    )
-    individual = own.select(
+    individual = fits.filter(F.col("dias") >= 15).select(
         F.col("codigo").alias("modelo"), F.lit("individual").alias("tipo"), *numbers
     )
-    by_class = (
-        fit_class(series)
-        .select(
-            F.concat(F.lit("CLASE_"), "clase").alias("modelo"), F.lit("clase").alias("tipo"), *numbers
-        )
-        .crossJoin(F.broadcast(share))  # at most one row
-        .drop("_few")
+    own, every = fits.agg(F.count_if(F.col("dias") >= 15), F.count("*")).first()
+    if own >= every * 0.3:
+        return individual
+    by_class = fit_class(series).select(
+        F.concat(F.lit("CLASE_"), "clase").alias("modelo"), F.lit("clase").alias("tipo"), *numbers
     )
     return individual.unionByName(by_class)
 
@@ -194,10 +188,9 @@ def choose_models(machines: DataFrame, fitted: DataFrame) -> DataFrame:
 
 def predict(timeline: DataFrame, as_of: str) -> DataFrame:
     """Forecast of every machine with the model chosen for it."""
-    machines = timeline.groupBy("codigo").agg(
-        F.max_by("clase", F.struct("fecha_in", "visit_id")).alias("clase")
-    )
-    ahead = horizon(models(usage_series(timeline)), as_of)
+    days = materialise(machine_days(timeline))
+    machines = days.groupBy("codigo").agg(F.max_by("clase", "dia").alias("clase"))
+    ahead = horizon(models(usage_series(days)), as_of)
     confident = F.when(F.col("tipo") == "individual", "ALTA").otherwise("MEDIA")
     return (
         choose_models(machines, ahead)
@@ -206,23 +199,18 @@ def predict(timeline: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-def rule_forecast(timeline: DataFrame) -> DataFrame:
+def rule_forecast(stats: DataFrame, fleet: DataFrame) -> DataFrame:
     """Mean hours scaled by recent activity; the fleet's mean, or 8, where undefined."""
-    recent = F.col("fecha_in") >= F.col("ultima_in") - F.expr("interval 30 days")
-    fleet = timeline.agg(F.avg("ciclo_horas").alias("_fleet"))
-    per_machine = timeline.groupBy("codigo").agg(
-        F.avg("ciclo_horas").alias("_own"), F.count_if(recent).alias("_n30")
-    )
 
     def positive(column: Column, other: Column) -> Column:
         return F.when(column > 0, column).otherwise(other)
 
-    mean = positive(F.col("_own"), positive(F.col("_fleet"), F.lit(8.0)))
-    factor = F.least(F.lit(2.0), F.greatest(F.lit(0.1), F.col("_n30") / F.lit(30.0) * 7))
+    mean = positive(F.col("horas_media"), positive(F.col("flota_horas"), F.lit(8.0)))
+    factor = F.least(F.lit(2.0), F.greatest(F.lit(0.1), F.col("n_30d") / F.lit(30.0) * 7))
     rate = F.col("horas_por_dia")
     return (
-        per_machine.crossJoin(F.broadcast(fleet))  # one row
-        .withColumn("factor_actividad", F.when(F.col("_n30") > 0, factor).otherwise(1.0))
+        stats.crossJoin(F.broadcast(fleet))  # one row
+        .withColumn("factor_actividad", F.when(F.col("n_30d") > 0, factor).otherwise(1.0))
         .withColumn("horas_por_dia", mean * F.col("factor_actividad"))
         .select(
             "codigo",

@@ -8,7 +8,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
@@ -22,6 +22,7 @@ from ..operators.features import (
     system_counts,
     tbf_ratio,
 )
+from ..operators.machine_stats import machine_stats
 from ..operators.timeline import NO_CUTS, Cuts, settled
 from ..storage import materialise
 
@@ -45,20 +46,20 @@ FEATURES = NUMERIC + CATEGORIES
 MIN_TRAINING_ROWS = 10
 
 
-def rule_risk(timeline: DataFrame) -> DataFrame:
-    """Risk from the visits in the 30 days up to the machine's last one, raised for short TBF."""
-    recent = F.col("fecha_in") >= F.col("ultima_in") - F.expr("interval 30 days")
-    per_machine = timeline.groupBy("codigo").agg(
-        F.count_if(recent).alias("ingresos_30d"), F.avg("tbf_dias").alias("_tbf")
-    )
-    n = F.col("ingresos_30d")
+def rule_risk(stats: DataFrame) -> DataFrame:
+    """Risk from the visits in the 30 days up to the machine's last one, raised for short TBF.
+
+    ``stats`` comes from ``machine_stats``.
+    """
+    n = F.col("n_30d")
     base = F.when(n >= 3, 0.7).when(n == 2, 0.4).when(n == 1, 0.2).otherwise(0.1)
-    risk = F.when(F.col("_tbf") < 15, F.least(F.lit(0.9), base * 1.5)).otherwise(base)
-    return (
-        per_machine.withColumn("risk_30d", risk)
-        .withColumn("banda", band(F.col("risk_30d"), "fr30"))
-        .withColumn("tbf_promedio", F.coalesce("_tbf", F.lit(0.0)))
-        .select("codigo", "risk_30d", "banda", "ingresos_30d", "tbf_promedio")
+    risk = F.when(F.col("tbf_media") < 15, F.least(F.lit(0.9), base * 1.5)).otherwise(base)
+    return stats.withColumn("risk_30d", risk).select(
+        "codigo",
+        "risk_30d",
+        band(F.col("risk_30d"), "fr30").alias("banda"),
+        F.col("n_30d").alias("ingresos_30d"),
+        F.coalesce("tbf_media", F.lit(0.0)).alias("tbf_promedio"),
     )
 
 
@@ -157,10 +158,12 @@ def encode(training: DataFrame) -> PipelineModel:
         )
         for c in CATEGORIES
     ]
-    columns = NUMERIC + [f"{c}_idx" for c in CATEGORIES]
-    return Pipeline(
-        stages=[*indexers, VectorAssembler(inputCols=columns, outputCol="features")]
-    ).fit(training)
+    # adding 0 drops the category marks: codes are ordered numbers, however many there are
+    plain = ", ".join(f"{c}_idx + 0 as {c}_cod" for c in CATEGORIES)
+    codes = SQLTransformer(statement=f"select *, {plain} from __THIS__")
+    columns = NUMERIC + [f"{c}_cod" for c in CATEGORIES]
+    assembler = VectorAssembler(inputCols=columns, outputCol="features")
+    return Pipeline(stages=[*indexers, codes, assembler]).fit(training)
 
 
 def _raw(scored: DataFrame) -> DataFrame:
@@ -203,14 +206,19 @@ def fit(
             stepSize=0.1,
             maxDepth=depth,
             minInstancesPerNode=20,
-            # the indexes are bounded by the catalogue, but may exceed the default
-            maxBins=256,
+            maxBins=255,
             seed=seed,
         ).fit(train)
         classifier = PipelineModel(stages=[trees])
-        calibration = IsotonicRegression(featuresCol="raw_risk", labelCol="y").fit(
-            _raw(classifier.transform(held)).select("raw_risk", "y")
+        # equal scores first become one weighted point: at most 100,001 points whatever the log
+        points = (
+            _raw(classifier.transform(held))
+            .groupBy(F.round("raw_risk", 5).alias("raw_risk"))
+            .agg(F.avg("y").alias("y"), F.count("*").cast("double").alias("n"))
         )
+        calibration = IsotonicRegression(
+            featuresCol="raw_risk", labelCol="y", weightCol="n"
+        ).fit(points)
         return Fold(classifier, calibration)
 
     # the folds are independent jobs; small logs are bound by job latency, so they run together
@@ -244,7 +252,7 @@ def risk(
     """Trained risk where the log allows training, rule-based risk elsewhere."""
     model = fit(training_set(timeline, cuts), **options)
     if model is None:
-        return rule_risk(timeline).select("codigo", "risk_30d", "banda")
+        return rule_risk(machine_stats(timeline)).select("codigo", "risk_30d", "banda")
     return score(model, current_state(timeline, cuts)).select(
         "codigo", "risk_30d", "banda"
     )

@@ -10,10 +10,28 @@ from pyspark.sql import functions as F
 from ..functions.bands import band, colours
 from ..functions.clock import month_text
 from ..functions.fmt import fixed
+from ..operators.machine_stats import shared_stats
+from .anomaly import rule_score
+from .forecast import rule_forecast
+from .fr30 import rule_risk
+from .rul import rule_rul
 
 NUMBERS = ["fr30_risk", "rul50_d", "rul90_d", "forecast_7d_h", "forecast_30d_h", "horas_por_dia"]
 
 
+def rule_indicators(
+    timeline: DataFrame, as_of: str
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Return risk, remaining life, usage and anomaly tables by the rules, in one log pass."""
+    stats, fleet = shared_stats(timeline)
+    return (
+        rule_risk(stats),
+        rule_rul(stats, fleet, as_of),
+        rule_forecast(stats, fleet),
+        rule_score(stats),
+    )
+
+
 def fr30_columns(fr30: DataFrame) -> DataFrame:
     return fr30.select("codigo", F.col("risk_30d").alias("fr30_risk"), F.col("banda").alias("fr30_banda"))
 
@@ -198,35 +216,35 @@ def alert_means(kpis: DataFrame) -> DataFrame:
     )
 
 
-def basic_estimate(timeline: DataFrame, month: DataFrame, hours: str = "mttr_horas") -> DataFrame:
-    """Plain estimates for machines with at least three visits; ``month`` holds its visits."""
+def basic_estimate(timeline: DataFrame, year_month: str, hours: str = "mttr_horas") -> DataFrame:
+    """Plain estimates for machines with at least three visits, and their visits in a month."""
     half = F.lit(0.5)
+    start = F.lit(f"{year_month}-01").cast("date")
+    in_month = (F.col("fecha_in") >= start.cast("timestamp")) & (
+        F.col("fecha_in") < F.add_months(start, 1).cast("timestamp")
+    )
     stats = (
         timeline.groupBy("codigo")
         .agg(
             F.count("*").alias("_n"),
             F.percentile("tbf_dias", half).alias("_t"),
             F.percentile(hours, half).alias("_m"),
+            F.count_if(in_month).alias("_month"),
         )
         .filter(F.col("_n") >= 3)
     )
-    recent = month.groupBy("codigo").agg(F.count("*").alias("_month"))
     enough = F.col("_n") >= 5
-    score = F.least(F.lit(0.8), F.coalesce("_month", F.lit(0)) * 0.2)
-    return (
-        stats.join(recent, "codigo", "left")
-        .withColumn("anomaly_score", score)
-        .select(
-            "codigo",
-            F.when(enough, 0.25).otherwise(0.15).alias("risk_30d"),
-            F.when(enough, "🟠 MEDIO").otherwise("🟢 BAJO").alias("fr30_banda"),
-            F.greatest(F.lit(30.0), F.col("_t") * 0.7).alias("rul50_d"),
-            F.greatest(F.lit(15.0), F.col("_t") * 0.5).alias("rul90_d"),
-            (F.col("_m") * 0.5).alias("forecast_7d_h"),
-            (F.col("_m") * 2).alias("forecast_30d_h"),
-            "anomaly_score",
-            F.when(F.col("anomaly_score") < 0.3, "🟢 NORMAL").otherwise("🟠 ATENCIÓN").alias("anomaly_banda"),
-        )
+    calm = F.col("anomaly_score") < 0.3
+    return stats.withColumn("anomaly_score", F.least(F.lit(0.8), F.col("_month") * 0.2)).select(
+        "codigo",
+        F.when(enough, 0.25).otherwise(0.15).alias("risk_30d"),
+        F.when(enough, "🟠 MEDIO").otherwise("🟢 BAJO").alias("fr30_banda"),
+        F.greatest(F.lit(30.0), F.col("_t") * 0.7).alias("rul50_d"),
+        F.greatest(F.lit(15.0), F.col("_t") * 0.5).alias("rul90_d"),
+        (F.col("_m") * 0.5).alias("forecast_7d_h"),
+        (F.col("_m") * 2).alias("forecast_30d_h"),
+        "anomaly_score",
+        F.when(calm, "🟢 NORMAL").otherwise("🟠 ATENCIÓN").alias("anomaly_banda"),
     )
 
 

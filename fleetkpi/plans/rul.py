@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.bands import band
 from ..functions.clock import elapsed_days, instant
-from ..operators.features import latest_per_machine
+from ..operators.machine_stats import shared_stats
+from ..storage import materialise
 
 MIN_INTERVALS = 5
 _STEPS = 200
@@ -175,48 +176,42 @@ def remaining_life(
     )
 
 
-def rule_rul(timeline: DataFrame, as_of: str) -> DataFrame:
-    """Life from the machine's median TBF, the fleet's, or 30 days."""
-    half = F.lit(0.5)
+def rule_rul(stats: DataFrame, fleet: DataFrame, as_of: str) -> DataFrame:
+    """Life from the machine's median TBF, the fleet's, or 30 days.
+
+    ``stats`` and ``fleet`` come from ``machine_stats`` and ``fleet_stats``.
+    """
 
     def positive(column: Column, other: Column) -> Column:
         return F.when(column > 0, column).otherwise(other)
 
-    fleet = timeline.agg(F.percentile("tbf_dias", half).alias("_fleet"))
-    per_machine = timeline.groupBy("codigo").agg(
-        F.percentile("tbf_dias", half).alias("_own"),
-        F.max_by(F.struct("fecha_in", "clase"), F.struct("fecha_in", "visit_id")).alias("_last"),
+    base = positive(F.col("tbf_mediana"), positive(F.col("flota_tbf"), F.lit(30.0)))
+    age = elapsed_days(instant(as_of), F.col("ultima_in"))
+    rows = stats.crossJoin(F.broadcast(fleet)).withColumns(  # one row
+        {"tbf_base": base, "edad_actual_d": age}
     )
-    base = positive(F.col("_own"), positive(F.col("_fleet"), F.lit(30.0)))
-    age = elapsed_days(instant(as_of), F.col("_last.fecha_in"))
-    return (
-        per_machine.crossJoin(F.broadcast(fleet))  # one row
-        .withColumns({"tbf_base": base, "edad_actual_d": age, "clase": F.col("_last.clase")})
-        .select(
-            "codigo",
-            F.greatest(F.lit(1.0), F.col("tbf_base") * 0.7 - F.col("edad_actual_d") * 0.5).alias(
-                "rul50_d"
-            ),
-            F.greatest(F.lit(1.0), F.col("tbf_base") * 0.9 - F.col("edad_actual_d") * 0.3).alias(
-                "rul90_d"
-            ),
-            "edad_actual_d",
-            "clase",
-            F.lit("SIMPLE").alias("modelo_usado"),
-            "tbf_base",
-        )
+    floor = F.lit(1.0)
+    return rows.select(
+        "codigo",
+        F.greatest(floor, F.col("tbf_base") * 0.7 - F.col("edad_actual_d") * 0.5).alias("rul50_d"),
+        F.greatest(floor, F.col("tbf_base") * 0.9 - F.col("edad_actual_d") * 0.3).alias("rul90_d"),
+        "edad_actual_d",
+        "clase",
+        F.lit("SIMPLE").alias("modelo_usado"),
+        "tbf_base",
     )
 
 
 def life_table(timeline: DataFrame, as_of: str) -> DataFrame:
     """Weibull life where at least one model could be fitted, the rule elsewhere."""
-    latest = latest_per_machine(timeline.select("codigo", "fecha_in", "visit_id", "clase"))
-    params = fit_weibull(intervals(timeline))
+    stats, fleet = shared_stats(timeline)
+    latest = stats.select("codigo", F.col("ultima_in").alias("fecha_in"), "clase")
+    params = materialise(fit_weibull(intervals(timeline)))
     columns = ["rul50_d", "rul90_d", "edad_actual_d", "clase", "modelo_usado"]
     fitted = remaining_life(latest, params, as_of).select(
         "codigo", F.when(F.col("lambda").isNotNull(), F.struct(*columns)).alias("_w")
     )
-    rule = rule_rul(timeline, as_of).select("codigo", F.struct(*columns).alias("_r"))
+    rule = rule_rul(stats, fleet, as_of).select("codigo", F.struct(*columns).alias("_r"))
     chosen = rule.join(fitted, "codigo", "left").withColumn("_c", F.coalesce("_w", "_r"))
     return chosen.select("codigo", *[F.col("_c")[c].alias(c) for c in columns])
 

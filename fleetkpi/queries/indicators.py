@@ -13,8 +13,8 @@ from ..functions.explain import (
     explain_rul,
 )
 from ..functions.fmt import fmt
-from ..operators import clean
 from ..operators.features import latest_per_machine
+from ..operators.machine_stats import fleet_stats, machine_stats
 from ..plans import anomaly, forecast, fr30, kpi, rul
 from ..sources import exports
 from ..sources.adapters import AS_OF, table
@@ -29,14 +29,8 @@ _RULES = ("fr30", "rul", "forecast", "anomaly")
 
 
 def rule_tables(spark, sf_dir):
-    """The four rule-based indicator tables over one visit timeline."""
-    rows = timeline(spark, sf_dir)
-    return (
-        fr30.rule_risk(rows),
-        rul.rule_rul(rows, AS_OF),
-        forecast.rule_forecast(rows),
-        anomaly.rule_score(rows),
-    )
+    """The four rule-based indicator tables from one pass over the log."""
+    return kpi.rule_indicators(timeline(spark, sf_dir), AS_OF)
 
 
 def rule_kpis(spark, sf_dir):
@@ -249,8 +243,7 @@ def indicator_means(spark, sf_dir):
     ),
 )
 def basic_estimates(spark, sf_dir):
-    rows = timeline(spark, sf_dir)
-    out = kpi.basic_estimate(rows, clean.slice_month(rows, "2001-06"))
+    out = kpi.basic_estimate(timeline(spark, sf_dir), "2001-06")
     numbers = ("rul50_d", "rul90_d", "forecast_7d_h", "forecast_30d_h", "anomaly_score")
     return out.withColumns({c: F.round(c, 6) for c in numbers})
 
@@ -306,7 +299,7 @@ def indicator_trends(spark, sf_dir):
 def return_risk_explanations(spark, sf_dir):
     rows, cuts = timeline_and_cuts(spark, sf_dir)
     state = fr30.current_state(rows, cuts).withColumn("mttr_eq", F.round("mttr_eq", 9))
-    risk = fr30.rule_risk(rows).select("codigo", "risk_30d")
+    risk = fr30.rule_risk(machine_stats(rows)).select("codigo", "risk_30d")
     out = explain_fr30(state.join(risk, "codigo"))
     return out.select("codigo", "resumen", joined("drivers"), joined("acciones_1_2_sem"))
 
@@ -332,7 +325,8 @@ def return_risk_explanations(spark, sf_dir):
     ),
 )
 def remaining_life_explanations(spark, sf_dir):
-    life = rul.rule_rul(timeline(spark, sf_dir), AS_OF)
+    rows = timeline(spark, sf_dir)
+    life = rul.rule_rul(machine_stats(rows), fleet_stats(rows), AS_OF)
     life = life.select("codigo", r("rul50_d", 9), r("rul90_d", 9))
     out = explain_rul(life)
     return out.select(
@@ -367,7 +361,8 @@ def remaining_life_explanations(spark, sf_dir):
     ),
 )
 def usage_explanations(spark, sf_dir):
-    rows = forecast.rule_forecast(timeline(spark, sf_dir))
+    rows = timeline(spark, sf_dir)
+    rows = forecast.rule_forecast(machine_stats(rows), fleet_stats(rows))
     numbers = ("forecast_7d_h", "forecast_30d_h", "horas_por_dia")
     out = explain_forecast(rows.withColumns({c: F.round(c, 9) for c in numbers}))
     return out.select(
@@ -415,7 +410,7 @@ def _latest_features(spark, sf_dir):
 )
 def anomaly_explanations(spark, sf_dir):
     rows, latest = _latest_features(spark, sf_dir)
-    score = anomaly.rule_score(rows).select("codigo", r("anomaly_score", 9))
+    score = anomaly.rule_score(machine_stats(rows)).select("codigo", r("anomaly_score", 9))
     numbers = ("tbf_trend", "ratio_actividad_30_60", "cambio_mttr")
     out = explain_anomaly(latest.withColumns({c: F.round(c, 9) for c in numbers}).join(score, "codigo"))
     return out.select("codigo", "resumen", joined("anomalias_detectadas"), joined("chequeos_recomendados"))

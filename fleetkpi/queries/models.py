@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features
 from ..operators.forest import decision, score_forest
+from ..operators.machine_stats import fleet_stats, machine_stats, shared_stats
 from ..plans import anomaly, forecast, fr30, rul
 from ..plans import telemetry as tm
 from ..sources.adapters import AS_OF, TELEMETRY_AS_OF, telemetry_from_lineitem
@@ -25,7 +26,7 @@ QUERIES = Registry()
     sql("select codigo, risk_30d, banda, ingresos_30d, round(tbf_promedio, 6) as tbf_promedio from fr30", "fr30"),
 )
 def return_risk_rules(spark, sf_dir):
-    return fr30.rule_risk(timeline(spark, sf_dir)).withColumn("tbf_promedio", F.round("tbf_promedio", 6))
+    return fr30.rule_risk(machine_stats(timeline(spark, sf_dir))).withColumn("tbf_promedio", F.round("tbf_promedio", 6))
 
 
 @QUERIES.add(
@@ -178,7 +179,8 @@ def remaining_life(spark, sf_dir):
     ),
 )
 def remaining_life_rules(spark, sf_dir):
-    rows = rul.rule_rul(timeline(spark, sf_dir), AS_OF)
+    rows = timeline(spark, sf_dir)
+    rows = rul.rule_rul(machine_stats(rows), fleet_stats(rows), AS_OF)
     return rows.withColumns({c: F.round(c, 6) for c in ("rul50_d", "rul90_d")})
 
 
@@ -213,9 +215,9 @@ def survival_curves(spark, sf_dir):
     ),
 )
 def maintenance_windows(spark, sf_dir):
-    rows = timeline(spark, sf_dir)
-    life = rul.rule_rul(rows, AS_OF).select("codigo", "rul50_d", "rul90_d")
-    use = forecast.rule_forecast(rows).select("codigo", "horas_por_dia")
+    stats, fleet = shared_stats(timeline(spark, sf_dir))
+    life = rul.rule_rul(stats, fleet, AS_OF).select("codigo", "rul50_d", "rul90_d")
+    use = forecast.rule_forecast(stats, fleet).select("codigo", "horas_por_dia")
     out = rul.maintenance_window(life.join(use, "codigo"), F.col("horas_por_dia"))
     return out.select(
         "codigo", r("rul50_d"), r("rul90_d"), "ventana_optima_inicio", "ventana_optima_fin", "urgencia",
@@ -265,7 +267,7 @@ def _fitted(key: str, source: str, min_days: int) -> str:
     ),
 )
 def usage_series(spark, sf_dir):
-    return forecast.usage_series(timeline(spark, sf_dir)).select(
+    return forecast.usage_series(forecast.machine_days(timeline(spark, sf_dir))).select(
         "codigo", "ds", r("y"), "clase", "dias", r("media")
     )
 
@@ -284,7 +286,7 @@ _EFFECT_COLUMNS = ", ".join(f"round(efectos[{d + 1}], 6) as efecto_{d}" for d in
     ),
 )
 def usage_models(spark, sf_dir):
-    rows = forecast.fit_trend_week(forecast.usage_series(timeline(spark, sf_dir)))
+    rows = forecast.fit_trend_week(forecast.usage_series(forecast.machine_days(timeline(spark, sf_dir))))
     return rows.select(
         "codigo", F.round("pendiente", 8).alias("pendiente"), r("media"), "ultimo_dia", "dias",
         *[r(f"efecto_{d}") for d in range(7)],
@@ -305,7 +307,7 @@ def usage_models(spark, sf_dir):
     ),
 )
 def usage_class_models(spark, sf_dir):
-    rows = forecast.fit_class(forecast.usage_series(timeline(spark, sf_dir)))
+    rows = forecast.fit_class(forecast.usage_series(forecast.machine_days(timeline(spark, sf_dir))))
     return rows.select(
         "clase", F.round("pendiente", 8).alias("pendiente"), r("media"), "ultimo_dia", "dias", "equipos_en_clase",
         *[r(f"efecto_{d}") for d in range(7)],
@@ -352,7 +354,8 @@ def usage_forecast(spark, sf_dir):
     ),
 )
 def usage_forecast_rules(spark, sf_dir):
-    rows = forecast.rule_forecast(timeline(spark, sf_dir))
+    rows = timeline(spark, sf_dir)
+    rows = forecast.rule_forecast(machine_stats(rows), fleet_stats(rows))
     return rows.select(
         "codigo", r("forecast_7d_h"), r("forecast_30d_h"), r("horas_por_dia"), "modelo_usado", "tipo_modelo",
         "confianza", r("factor_actividad"),
@@ -397,8 +400,9 @@ def usage_forecast_last_resort(spark, sf_dir):
     ),
 )
 def service_recommendations(spark, sf_dir):
-    rows = timeline(spark, sf_dir)
-    out = forecast.recommend(forecast.rule_forecast(rows), rul.rule_rul(rows, AS_OF), AS_OF)
+    stats, fleet = shared_stats(timeline(spark, sf_dir))
+    use, life = forecast.rule_forecast(stats, fleet), rul.rule_rul(stats, fleet, AS_OF)
+    out = forecast.recommend(use, life, AS_OF)
     return out.withColumn("horas_proyectadas", F.round("horas_proyectadas", 6))
 
 
@@ -500,7 +504,7 @@ def anomaly_latest(spark, sf_dir):
     ),
 )
 def anomaly_rules(spark, sf_dir):
-    rows = anomaly.rule_score(timeline(spark, sf_dir))
+    rows = anomaly.rule_score(machine_stats(timeline(spark, sf_dir)))
     return rows.select(
         "codigo", r("anomaly_score"), "banda", "ingresos_recientes", r("ingresos_promedio"), "tbf_reciente",
         big("sistemas_recientes"),

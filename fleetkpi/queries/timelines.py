@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features
 from ..operators.timeline import find_cuts
-from ..plans.forecast import daily_hours
+from ..plans.forecast import daily_hours, machine_days
 from ..sources.adapters import AS_OF, telemetry_from_lineitem
 from .base import Registry, big, cleaned, r, sql, timeline, timeline_and_cuts, ts
 
@@ -448,7 +448,7 @@ _DAILY = """
 )
 def daily_usage_smoothed(spark, sf_dir):
     frame = Window.partitionBy("codigo").orderBy("ds").rowsBetween(-2, 0)
-    return daily_hours(timeline(spark, sf_dir)).select(
+    return daily_hours(machine_days(timeline(spark, sf_dir))).select(
         "codigo", "ds", F.round(F.avg("y").over(frame), 6).alias("suave")
     )
 
