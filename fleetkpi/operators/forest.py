@@ -50,7 +50,9 @@ def _grow(values: np.ndarray, rng: np.random.Generator, limit: int) -> list[tupl
             nodes.append((node, -1, 0.0, -1, -1, len(rows), depth))
             continue
         feature = int(rng.choice(open_features))
-        threshold = float(rng.uniform(low[feature], high[feature]))
+        # below the highest value, so that neither side is empty
+        top = np.nextafter(high[feature], low[feature])
+        threshold = float(min(rng.uniform(low[feature], high[feature]), top))
         goes_left = part[:, feature] <= threshold
         nodes.append((node, feature, threshold, next_id, next_id + 1, len(rows), depth))
         pending.append((next_id, rows[goes_left], depth + 1))
@@ -119,7 +121,11 @@ def fit_forest(
     if not n:
         raise ValueError("no rows to fit on")
     mean = [stats[f"m_{c}"] for c in columns]
-    scale = [stats[f"s_{c}"] or 1.0 for c in columns]
+    # a deviation that is rounding noise counts as none
+    scale = [
+        stats[f"s_{c}"] if stats[f"s_{c}"] > 1e-12 * max(1.0, abs(m)) else 1.0
+        for c, m in zip(columns, mean)
+    ]
 
     thin = max(1, n // (trees * sample))
     pool = filled

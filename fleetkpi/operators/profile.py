@@ -54,7 +54,7 @@ def quality_report(timeline: DataFrame, as_of: str, columns: Sequence[str]) -> D
     entries = [
         *[(n, F.lit(""), F.col(n).cast("double")) for n in names],
         ("puntaje", F.lit(""), F.greatest(F.lit(0), F.lit(100) - issues * 10).cast("double")),
-        *[("faltante_pct", F.lit(c), F.col(f"_m_{c}") / F.col("n") * 100) for c in columns],
+        *[("faltante_pct", F.lit(c), F.try_divide(F.col(f"_m_{c}"), F.col("n")) * 100) for c in columns],
     ]
     rows = F.array(
         *[F.struct(F.lit(t).alias("tipo"), c.alias("columna"), v.alias("valor")) for t, c, v in entries]
@@ -108,10 +108,10 @@ def completeness(df: DataFrame, key_columns: Sequence[str] = ()) -> DataFrame:
         complete = complete & F.col(c).isNotNull()
     total = F.count("*")
     return df.agg(
-        (filled / (total * len(df.columns)) * 100).alias("completitud_pct"),
+        (F.try_divide(filled, total * len(df.columns)) * 100).alias("completitud_pct"),
         F.count_if(complete).alias("filas_completas"),
-        (F.count_if(complete) / total * 100).alias("filas_completas_pct"),
-        *[(F.count(c) / total * 100).alias(f"{c}_pct") for c in key_columns],
+        (F.try_divide(F.count_if(complete), total) * 100).alias("filas_completas_pct"),
+        *[(F.try_divide(F.count(c), total) * 100).alias(f"{c}_pct") for c in key_columns],
     )
 
 
@@ -147,7 +147,7 @@ def visits_distribution(df: DataFrame) -> DataFrame:
 
 
 def enough_history(df: DataFrame, minimum: float = 10) -> DataFrame:
-    per_machine = F.count("*") / F.count_distinct("codigo")
+    per_machine = F.try_divide(F.count("*"), F.count_distinct("codigo"))
     return df.agg(
         F.count_distinct("codigo").alias("equipos"),
         F.count("*").alias("registros"),

@@ -31,8 +31,10 @@ def daily_hours(days: DataFrame, min_visits: int = 3) -> DataFrame:
     machine = Window.partitionBy("codigo")
     until = F.coalesce(F.date_sub(F.col("_next"), 1), F.col("dia"))
     hours = F.when(F.col("ds") == F.col("dia"), F.col("horas")).otherwise(0.0)
+    # few days grow into many: a fixed count keeps the partitions from being merged before that
+    wide = int(days.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        days.withColumns(
+        days.repartition(wide, "codigo").withColumns(
             {
                 "_next": F.lead("dia").over(machine.orderBy("dia")),
                 "_visits": F.sum("visitas").over(machine),

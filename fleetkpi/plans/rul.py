@@ -75,7 +75,7 @@ def _weibull(histogram: DataFrame) -> DataFrame:
             ),
             lambda acc: acc["b"] / acc["a"],
         )
-        return (k + F.lit(1.0) / (sums - F.col("_ml"))) / 2
+        return (k + F.try_divide(F.lit(1.0), sums - F.col("_ml"))) / 2
 
     rounds = F.sequence(F.lit(1), F.lit(_STEPS))
     shaped = logs.withColumn("k", F.aggregate(rounds, F.lit(1.0), step))
@@ -102,8 +102,12 @@ def duration_histogram(gaps: DataFrame) -> DataFrame:
 
 
 def fit_weibull(gaps: DataFrame) -> DataFrame:
-    """Parameters per class with enough intervals; one GLOBAL row where no class has."""
-    by_class = duration_histogram(gaps)
+    """Parameters per class with enough intervals; one GLOBAL row where no class has.
+
+    The histogram holds fewer than ``max_days`` rows per class, so it is written once and the
+    log is read once.
+    """
+    by_class = materialise(duration_histogram(gaps))
     fitted = _weibull(by_class)
     pooled = by_class.groupBy("duration").agg(
         F.lit("GLOBAL").alias("clase"),
@@ -140,9 +144,9 @@ def with_class_parameters(latest: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def _life(age: Column, q: float) -> Column:
-    """Days until the survival given the age falls to q."""
+    """Days until the survival given the age falls to q, in units of the scale against overflow."""
     k, scale = F.col("k"), F.col("lambda")
-    return F.pow(F.pow(age, k) - F.pow(scale, k) * math.log(q), F.lit(1.0) / k) - age
+    return scale * F.pow(F.pow(age / scale, k) - math.log(q), F.lit(1.0) / k) - age
 
 
 def _age(as_of: str, ts: str = "fecha_in") -> Column:
@@ -206,7 +210,7 @@ def life_table(timeline: DataFrame, as_of: str) -> DataFrame:
     """Weibull life where at least one model could be fitted, the rule elsewhere."""
     stats, fleet = shared_stats(timeline)
     latest = stats.select("codigo", F.col("ultima_in").alias("fecha_in"), "clase")
-    params = materialise(fit_weibull(intervals(timeline)))
+    params = fit_weibull(intervals(timeline))
     columns = ["rul50_d", "rul90_d", "edad_actual_d", "clase", "modelo_usado"]
     fitted = remaining_life(latest, params, as_of).select(
         "codigo", F.when(F.col("lambda").isNotNull(), F.struct(*columns)).alias("_w")

@@ -9,6 +9,8 @@ from pyspark.sql import SparkSession
 # Settings that results or plans depend on. Everything else stays with the cluster.
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
+    # recording the call site of every column costs more than building the plan
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

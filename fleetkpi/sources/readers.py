@@ -27,7 +27,8 @@ def read_visits(
     """
     if fmt == "parquet":
         reader = spark.read if schema is None else spark.read.schema(schema)
-        return _canonical(drop_empty_rows(reader.parquet(path)))
+        # empty rows are left to cleaning: looking for them would read every column
+        return _canonical(reader.parquet(path))
     if fmt != "csv":
         raise ValueError(f"unknown format {fmt!r}")
     if schema is not None:
@@ -71,11 +72,11 @@ def _canonical(df: DataFrame) -> DataFrame:
 
 
 def typed_visits(df: DataFrame) -> DataFrame:
-    """Cast to the canonical schema where the columns exist."""
+    """Cast to the canonical types where the columns exist; what does not fit becomes null."""
     kinds = {f.name: f.dataType for f in VISITS.fields}
     return df.withColumns(
         {
-            c: F.col(c).cast(kinds[c])
+            c: F.col(c).try_cast(kinds[c])
             for c in df.columns
             if c in kinds and not isinstance(kinds[c], T.TimestampType)
         }
