@@ -9,8 +9,6 @@ from pyspark.sql import SparkSession
 # Settings that results or plans depend on. Everything else stays with the cluster.
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
-    # recording the call site of every column costs more than building the plan
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -36,6 +34,8 @@ def local_session(cpus: int | str = 8, app: str = "fleetkpi", **conf: str) -> Sp
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("FLEETKPI_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(cpus))
+        # recording the call site of every column costs more than building the plan
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
     )
