@@ -74,6 +74,10 @@ def run_to_end(
     folder = scratch_folder(spark, "stream")
     target = f"{folder}/out"
 
+    kind = T.StructType([*stream.schema.fields, T.StructField("lote", T.LongType())])
+    # the folder exists even if nothing arrives
+    spark.createDataFrame([], kind).write.partitionBy("lote").parquet(target)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/lote={batch_id}")
 
@@ -86,8 +90,7 @@ def run_to_end(
     )
     query.awaitTermination()
     names = [c for c in stream.columns if c not in keys]
-    kind = T.StructType([*stream.schema.fields, T.StructField("lote", T.LongType())])
-    rows = spark.read.schema(kind).option("basePath", target).parquet(f"{target}/lote=*")
+    rows = spark.read.schema(kind).parquet(target)
     if not names:
         return rows.select(*keys).distinct()
     last = F.max_by(F.struct(*names), "lote").alias("_l")
