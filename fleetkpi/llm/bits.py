@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +33,9 @@ class IdFilter:
 
 
 def id_filter(ids: DataFrame) -> IdFilter:
-    """The filter of a column `id`; a table of at most 2**17 words comes to the driver."""
-
-    def places(batches):
-        import pandas as pd
+    """The filter of a column `id` of distinct ids; a table of at most 2**17 words comes to the driver."""
 
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             at = mix(batch["id"].to_numpy(np.int64).view(np.uint64)) >> np.uint64(64 - LOG_BITS)
             word = (at >> np.uint64(6)).astype(np.int32)

@@ -15,6 +15,10 @@ the partners that are equally short of parts.
 Signatures travel as packed arrays, one row for a task and bucket. In a bucket, texts with the same
 signature are tied to the smallest one (a star, not all pairs); sets decide which ties hold. Where a
 tie fails, the other members of that signature are compared too, unless they are connected anyway.
+
+Each set also has a parity sketch, about two bits a shingle, in which a shingle flips one bit. Two
+sketches differ in no more bits than their sets differ in shingles, so a pair whose sketches differ
+too much is out without its sets; sets are moved for the few pairs that are left.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ PERCENT = 80
 FLUSH = 3_000_000
 LARGEST = 1 << 31
 
-FACTS = "doc_id bigint, n_shingles bigint, key_1 bigint, key_2 bigint"
+FACTS = "doc_id bigint, n_shingles bigint, key_1 bigint, key_2 bigint, sketch binary"
 PACKED = "bucket int, docs binary, counts binary, signatures binary"
 FOUND = "a bigint, b bigint, members array<bigint>, list_key bigint"
 
@@ -105,6 +109,27 @@ def signatures(values: np.ndarray, edges: np.ndarray, band: np.ndarray, bands: B
     return np.concatenate(chosen) & mask, numbers
 
 
+def sketches(values: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """Parity of the shingles of each set in a power of two of cells, two to four for a shingle."""
+    sizes = np.diff(edges)
+    logs = np.maximum(np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64), 8)
+    begin = np.concatenate(([0], np.cumsum(1 << logs)))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    cells = (values >> np.uint64(7)) & ((np.uint64(1) << logs.astype(np.uint64)) - np.uint64(1))[owner]
+    odd = np.bincount(begin[:-1][owner] + cells.astype(np.int64), minlength=begin[-1]) & 1
+    packed = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+
+
+def _folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch with fewer cells: halves laid over each other."""
+    words = np.frombuffer(sketch, np.uint64)
+    while len(words) > size:
+        half = len(words) // 2
+        words = words[:half] ^ words[half:]
+    return words
+
+
 def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, Words]:
     words = Words(*texts(batch.column("text")), lower=True)
     values, edges = shingle_sets(words)
@@ -117,8 +142,8 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values, edges, _ = _sets(part)
             one, two = set_keys(values, edges)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(np.diff(edges).astype(np.int64)), pa.array(one), pa.array(two)],
-                ["doc_id", "n_shingles", "key_1", "key_2"],
+                [part.column("doc_id"), pa.array(np.diff(edges).astype(np.int64)), pa.array(one), pa.array(two), pa.array(sketches(values, edges), pa.binary())],
+                ["doc_id", "n_shingles", "key_1", "key_2", "sketch"],
             )
 
 
@@ -232,22 +257,39 @@ def _set_rows(bits):
     return rows
 
 
+def _decided(percent: int):
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for a, b, n, m, equal, one, two in batch.itertuples(index=False):
+                linked = None
+                if equal:
+                    linked = True
+                elif 100 * min(n, m) < percent * max(n, m):
+                    linked = False
+                else:
+                    size = min(len(one), len(two)) // 8
+                    apart = int(np.bitwise_count(_folded(one, size) ^ _folded(two, size)).sum())
+                    if apart > (n + m) * (100 - percent) // (100 + percent):
+                        linked = False
+                out.append((a, b, linked))
+            yield pd.DataFrame(out, columns=["a", "b", "linked"])
+
+    return rows
+
+
 def _verified(docs: DataFrame, facts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) with `linked`, from sizes and keys where they decide, else from the sets."""
+    """pairs (a, b) with `linked`, from sizes, keys and sketches where they decide, else from the sets."""
     for side in "ab":
         own = facts.select(
-            F.col("doc_id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n_shingles", "key_1", "key_2"))
+            F.col("doc_id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n_shingles", "key_1", "key_2", "sketch"))
         )
         pairs = pairs.join(own, side)
     equal = F.expr("key_1_a = key_1_b and key_2_a = key_2_b and n_shingles_a = n_shingles_b")
-    low, high = F.least("n_shingles_a", "n_shingles_b"), F.greatest("n_shingles_a", "n_shingles_b")
-    known = materialise(
-        pairs.select(
-            "a", "b", F.when(equal, True).when(low * 100 < high * percent, False).alias("linked")
-        )
-    )
+    known = pairs.select("a", "b", "n_shingles_a", "n_shingles_b", equal.alias("equal"), "sketch_a", "sketch_b")
+    known = materialise(known.mapInPandas(_decided(percent), "a bigint, b bigint, linked boolean"))
     open_pairs = known.where("linked is null").select("a", "b").distinct()
-    bits = id_filter(open_pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    bits = id_filter(open_pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     sets = docs.mapInArrow(_set_rows(bits), "doc_id bigint, shingles array<bigint>")
     both = open_pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")), "b").join(
         sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), "a"
@@ -258,22 +300,27 @@ def _verified(docs: DataFrame, facts: DataFrame, pairs: DataFrame, percent: int)
     return materialise(known.where("linked is not null").unionByName(decided).groupBy("a", "b").agg(F.max("linked").alias("linked")))
 
 
-def _cross_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one list's members that are not connected yet."""
-    ids, group = rows.member.to_numpy(), rows.component.to_numpy()
-    sizes = rows.n_shingles.to_numpy()
-    order = np.argsort(ids)
-    ids, group, sizes = ids[order], group[order], sizes[order]
-    left, right = [], []
-    percent = int(rows.percent.iloc[0])
-    for i in range(1, len(ids) - 1):
-        low, high = np.minimum(sizes[i], sizes[i + 1 :]), np.maximum(sizes[i], sizes[i + 1 :])
-        other = np.flatnonzero((group[i + 1 :] != group[i]) & (low * 100 >= high * percent)) + i + 1
-        left.append(np.full(len(other), ids[i]))
-        right.append(ids[other])
-    if not left:
-        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
+def _cross_pairs(percent: int):
+    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of one list's members that are not connected yet and that sizes and sketches let pass."""
+        rows = rows.sort_values("member", kind="stable")
+        ids, group, sizes = (rows[c].to_numpy() for c in ("member", "component", "n_shingles"))
+        if (group == group[0]).all():
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        least = min(map(len, rows["sketch"])) // 8
+        bits = np.stack([_folded(x, least) for x in rows["sketch"]])
+        left, right = [], []
+        for i in range(len(ids) - 1):
+            rest = slice(i + 1, None)
+            low, high = np.minimum(sizes[i], sizes[rest]), np.maximum(sizes[i], sizes[rest])
+            other = np.flatnonzero((group[rest] != group[i]) & (low * 100 >= high * percent)) + i + 1
+            apart = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            other = other[apart <= (sizes[i] + sizes[other]) * (100 - percent) // (100 + percent)]
+            left.append(np.full(len(other), ids[i]))
+            right.append(ids[other])
+        return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
+
+    return pairs
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
@@ -310,14 +357,13 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, buckets: int | N
     mixed = materialise(mixed)
     grouped = materialise(components(edges))
     if mixed.limit(1).count():
-        sizes = solid.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
         members = (
             mixed.select("list_key", F.explode("members").alias("member"))
             .join(grouped.withColumnRenamed("node", "member"), "member", "left")
-            .join(sizes.withColumnRenamed("doc_id", "member"), "member")
-            .select("list_key", "member", F.coalesce("component", "member").alias("component"), "n_shingles", F.lit(percent).alias("percent"))
+            .join(solid.select(F.col("doc_id").alias("member"), "n_shingles", "sketch"), "member")
+            .select("list_key", "member", F.coalesce("component", "member").alias("component"), "n_shingles", "sketch")
         )
-        cross = members.groupBy("list_key").applyInPandas(_cross_pairs, "a bigint, b bigint").distinct()
+        cross = members.groupBy("list_key").applyInPandas(_cross_pairs(percent), "a bigint, b bigint").where("a <> b").distinct()
         cross = cross.join(ties.select("a", "b"), ["a", "b"], "left_anti")
         more = _verified(docs, solid, cross, percent).where("linked").select("a", "b")
         grouped = components(
