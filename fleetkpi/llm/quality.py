@@ -81,17 +81,19 @@ def fit(samples: list[str], grades: list[int]) -> Model:
     that nobody has gets a threshold next to its neighbour's."""
     top = max([1, *grades])
     none = Model(np.zeros(1 << LOG_BUCKETS, np.float32), np.zeros(top))
-    cut = [x.encode()[:SAMPLE_BYTES].decode(errors="ignore") for x in samples]
-    data, offsets = texts(pa.array(cut, pa.string()))
-    codes, lengths = _trigrams(data, offsets)
-    full = lengths > 0
-    grade = np.array(grades, np.int64)[full] if len(grades) else np.zeros(0, np.int64)
-    if not len(grade):
+    used = [i for i, x in enumerate(samples) if x]
+    if not used:
         return none
-    row = np.repeat(np.cumsum(full) - 1, lengths)
-    cell, count = np.unique(row * (1 << LOG_BUCKETS) + codes, return_counts=True)
-    row, code = cell >> LOG_BUCKETS, (cell & ((1 << LOG_BUCKETS) - 1)).astype(np.int64)
-    share = count / lengths[full][row]
+    grade = np.array([grades[i] for i in used], np.int64)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for start in range(0, len(used), 100):
+        cut = [samples[i].encode()[:SAMPLE_BYTES].decode(errors="ignore") for i in used[start : start + 100]]
+        codes, lengths = _trigrams(*texts(pa.array(cut, pa.string())))
+        row = np.repeat(np.arange(len(cut)), lengths)
+        cell, count = np.unique((row << LOG_BUCKETS) + codes, return_counts=True)
+        own = cell >> LOG_BUCKETS
+        found.append(((own + start).astype(np.int32), (cell & ((1 << LOG_BUCKETS) - 1)).astype(np.int32), (count / lengths[own]).astype(np.float32)))
+    row, code, share = (np.concatenate(x) for x in zip(*found, strict=True))
     starts = np.searchsorted(row, np.arange(len(grade)))
     n = len(grade)
     # each grade weighs the same in all

@@ -31,7 +31,7 @@ HIDDEN, WIDTH, ATTENTION = 8, 8, 4
 #: Words with an embedding of their own at most; sample documents that must have them; buckets of trigrams.
 VOCABULARY, LEAST_DOCS, CHAR_BUCKETS = 8192, 3, 1 << 12
 #: The network is fitted on so many documents of each label at most, and so many words of each.
-SAMPLE, SAMPLE_WORDS = 1500, 4000
+SAMPLE, SAMPLE_WORDS = 1200, 1500
 EPOCHS, STEPS, BATCH, RATE, SEED = 8, 400, 128, 0.02, 7
 #: Windows that run through the layers together.
 BLOCK = 2048
