@@ -23,6 +23,8 @@ CAP = 3
 STEPS, NEAR = 80, 1e-9
 #: A place in the random order has so many digits of so many bits.
 DIGITS, BITS = 4, 12
+#: Changes of one place that bring a source nearer to its target, one after the other.
+CHANGES = 4
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -149,7 +151,13 @@ def copies(rates: DataFrame, goals: DataFrame) -> DataFrame:
         (F.col("place") < F.col("from_place")) | ((F.col("place") == F.col("from_place")) & (2 * F.col("left") >= F.col("words")))
     )
     chosen = materialise(chosen.withColumn("more", F.coalesce(more, F.lit(False))).select(*rates.columns, "whole", "place", "more"))
-    # one place more or less, where that brings a source nearer to its target
+    for _ in range(CHANGES):
+        chosen = _changed(chosen, goals)
+    return chosen.withColumn("copies", F.col("whole") + F.col("more").cast("bigint")).select(*rates.columns, "copies")
+
+
+def _changed(chosen: DataFrame, goals: DataFrame) -> DataFrame:
+    """One place more or less in each source where that brings it nearer to its target."""
     taken = chosen.groupBy("source").agg(F.sum((F.col("whole") + F.col("more").cast("bigint")) * F.col("size")).alias("taken"))
     gap = taken.withColumnRenamed("source", "s").join(goals, F.col("s").eqNullSafe(F.col("source"))).select("s", (F.col("target") - F.col("taken")).alias("gap"))
     places = chosen.where("place is not null").groupBy("source", "place", "more").agg(F.sum("size").alias("words"))
@@ -162,8 +170,8 @@ def copies(rates: DataFrame, goals: DataFrame) -> DataFrame:
         .select("s", F.col("flip.place").alias("flip"))
     )
     flipped = chosen.join(flips, F.col("source").eqNullSafe(F.col("s")), "left")
-    extra = F.col("more") != F.coalesce(F.col("place") == F.col("flip"), F.lit(False))
-    return flipped.withColumn("copies", F.col("whole") + extra.cast("bigint")).select(*rates.columns, "copies")
+    more = F.col("more") != F.coalesce(F.col("place") == F.col("flip"), F.lit(False))
+    return materialise(flipped.withColumn("more", more).select(*chosen.columns))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:

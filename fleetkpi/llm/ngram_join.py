@@ -226,7 +226,7 @@ def _meet(rows: pd.DataFrame) -> pd.DataFrame:
     fresh[1:] = (sigs[1:] != sigs[:-1]) | (docs[1:] != docs[:-1])
     sigs, docs = sigs[fresh], docs[fresh]
     if not len(sigs):
-        return pd.DataFrame({"a": [], "b": [], "members": [], "list_key": []})
+        return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("a", "b", "members", "list_key")})
     at = np.flatnonzero(np.concatenate(([True], sigs[1:] != sigs[:-1])))
     count = np.diff(np.append(at, len(sigs)))
     rest = np.ones(len(sigs), bool)
@@ -236,11 +236,16 @@ def _meet(rows: pd.DataFrame) -> pd.DataFrame:
     many = np.flatnonzero(count >= 3)
     _, first = np.unique(keys[many], return_index=True)
     lists = many[first]
-    ties = pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "members": None, "list_key": None})
-    groups = pd.DataFrame(
-        {"a": None, "b": None, "members": [docs[at[i] : at[i] + count[i]] for i in lists], "list_key": keys[lists]}
+    members = [None] * len(pairs) + [docs[at[i] : at[i] + count[i]] for i in lists]
+    none = [None] * len(lists)
+    return pd.DataFrame(
+        {
+            "a": pd.array([*pairs[:, 0].tolist(), *none], "Int64"),
+            "b": pd.array([*pairs[:, 1].tolist(), *none], "Int64"),
+            "members": pd.Series(members, dtype=object),
+            "list_key": pd.array([*([None] * len(pairs)), *keys[lists].tolist()], "Int64"),
+        }
     )
-    return pd.concat([ties, groups]).astype({"a": "Int64", "b": "Int64", "list_key": "Int64"})
 
 
 def _set_rows(bits):
