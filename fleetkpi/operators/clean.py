@@ -5,6 +5,7 @@ Every predicate is a plain comparison on a column, so a Parquet scan can take it
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,11 +21,29 @@ from ..schema import (
 )
 
 
-def parse_dates(df: DataFrame, *columns: str) -> DataFrame:
-    """Text to timestamps; what does not parse becomes null."""
+def date_formats(day_first: bool = True) -> list[str]:
+    """Usual ways to write a date, each with and without a time of day."""
+    numeric = ["d{s}M{s}yyyy", "M{s}d{s}yyyy"] if day_first else ["M{s}d{s}yyyy", "d{s}M{s}yyyy"]
+    days = [f.format(s=s) for f in numeric for s in "/-."]
+    days += ["yyyy/M/d", "yyyy.M.d", "yyyyMMdd", "MMM d yyyy", "MMM d, yyyy", "d MMM yyyy", "d-MMM-yyyy"]
+    return [day + time for day in days for time in ("", " H:mm", " H:mm:ss")]
+
+
+def parse_dates(
+    df: DataFrame, *columns: str, formats: Sequence[str] | None = None, day_first: bool = True
+) -> DataFrame:
+    """Text to timestamps; what does not parse becomes null.
+
+    ISO comes first, then ``formats`` in turn. Where day and month could be either, ``day_first``
+    decides which of the usual ones is tried first.
+    """
     kinds = dict(df.dtypes)
+    usual = date_formats(day_first) if formats is None else formats
     parsed = {
-        c: F.try_to_timestamp(F.trim(F.col(c)))
+        c: F.coalesce(
+            F.try_to_timestamp(F.trim(F.col(c))),
+            *[F.try_to_timestamp(F.trim(F.col(c)), F.lit(f)) for f in usual],
+        )
         if kinds[c] == "string"
         else F.col(c).cast("timestamp")
         for c in columns

@@ -174,7 +174,10 @@ def choose_models(machines: DataFrame, fitted: DataFrame) -> DataFrame:
     values = [c for c in fitted.columns if c != "modelo"]
     packed = fitted.select("modelo", F.struct("modelo", *values).alias("_m"))
     own = packed.select(F.col("modelo").alias("codigo"), F.col("_m").alias("_own"))
-    pooled = packed.select(F.col("modelo").alias("_class"), F.col("_m").alias("_pooled"))
+    # class models alone can match a class: a handful of rows
+    pooled = packed.filter(F.col("_m.tipo") == "clase").select(
+        F.col("modelo").alias("_class"), F.col("_m").alias("_pooled")
+    )
     first = fitted.agg(
         F.min_by(F.struct("modelo", *values), F.struct((F.col("tipo") == "clase").alias("c"), "modelo")).alias("_first")
     )

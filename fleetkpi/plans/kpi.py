@@ -48,15 +48,23 @@ def anomaly_columns(anomaly: DataFrame) -> DataFrame:
     return anomaly.select("codigo", "anomaly_score", F.col("banda").alias("anomaly_banda"))
 
 
-def assemble(fr30: DataFrame, rul: DataFrame, forecast: DataFrame, anomaly: DataFrame) -> DataFrame:
-    """Every machine that has any indicator; missing numbers are 0, missing bands empty."""
+def combine(fr30: DataFrame, rul: DataFrame, forecast: DataFrame, anomaly: DataFrame) -> DataFrame:
+    """Every machine that has any indicator; what is missing is null.
+
+    Counts, means and alerts take this table, so that a missing indicator counts for nothing.
+    """
     parts = [
         fr30_columns(fr30),
         rul_columns(rul),
         forecast_columns(forecast),
         anomaly_columns(anomaly),
     ]
-    joined = reduce(lambda a, b: a.join(b, "codigo", "full"), parts)
+    return reduce(lambda a, b: a.join(b, "codigo", "full"), parts)
+
+
+def assemble(fr30: DataFrame, rul: DataFrame, forecast: DataFrame, anomaly: DataFrame) -> DataFrame:
+    """The combined table for export: missing numbers are 0, missing bands empty."""
+    joined = combine(fr30, rul, forecast, anomaly)
     return joined.fillna(0.0, [*NUMBERS, "anomaly_score"]).fillna("", ["fr30_banda", "anomaly_banda"])
 
 
@@ -125,15 +133,20 @@ def scatter_table(
     )
 
 
+def _with_indicator() -> Column:
+    """Machines that have a risk, a life or an anomaly score; usage alone does not count."""
+    return F.count_if(F.coalesce("fr30_risk", "rul50_d", "anomaly_score").isNotNull())
+
+
 def band_counts(kpis: DataFrame) -> DataFrame:
-    """Machines per band of each indicator."""
+    """Machines per band of each indicator, of those that have it."""
 
     def counted(column: str, name: str, labels: dict[str, str]) -> list[Column]:
-        value = band(F.col(column), name)
+        value = F.when(F.col(column).isNotNull(), band(F.col(column), name))
         return [F.count_if(value == label).alias(alias) for alias, label in labels.items()]
 
     return kpis.agg(
-        F.count("*").alias("total_equipos"),
+        _with_indicator().alias("total_equipos"),
         *counted("fr30_risk", "level", {"fr30_alto": "ALTO", "fr30_medio": "MEDIO", "fr30_bajo": "BAJO"}),
         *counted(
             "rul90_d", "rul", {"rul_critico": "CRÍTICO", "rul_alerta": "ALERTA", "rul_normal": "NORMAL"}
@@ -152,7 +165,7 @@ def band_counts(kpis: DataFrame) -> DataFrame:
 
 def executive_summary(kpis: DataFrame) -> DataFrame:
     return kpis.agg(
-        F.count("*").alias("total_equipos"),
+        _with_indicator().alias("total_equipos"),
         F.count_if(F.col("fr30_risk") >= 0.5).alias("equipos_alto_riesgo"),
         F.count_if(F.col("rul90_d") < 7).alias("equipos_mantenimiento_urgente"),
         F.count_if(F.col("anomaly_score") >= 0.6).alias("equipos_con_anomalias"),
@@ -164,11 +177,18 @@ def executive_summary(kpis: DataFrame) -> DataFrame:
 
 def band_distribution(kpis: DataFrame) -> DataFrame:
     """Machines per band for return risk and anomaly, in long form."""
-    pairs = F.array(
-        F.struct(F.lit("fr30").alias("kpi"), band(F.col("fr30_risk"), "fr30_live").alias("banda")),
-        F.struct(
-            F.lit("anomaly").alias("kpi"), band(F.col("anomaly_score"), "anomaly_live").alias("banda")
+    kinds = {"fr30": ("fr30_risk", "fr30_live"), "anomaly": ("anomaly_score", "anomaly_live")}
+    pairs = F.filter(
+        F.array(
+            *[
+                F.when(
+                    F.col(column).isNotNull(),
+                    F.struct(F.lit(kpi).alias("kpi"), band(F.col(column), name).alias("banda")),
+                )
+                for kpi, (column, name) in kinds.items()
+            ]
         ),
+        lambda p: p.isNotNull(),
     )
     return (
         kpis.select(F.explode(pairs).alias("_p"))
@@ -186,7 +206,8 @@ def bi_measures(kpis: DataFrame) -> DataFrame:
 
 
 def maintenance_alerts(kpis: DataFrame) -> DataFrame:
-    return kpis.select("codigo", "rul50_d", band(F.col("rul50_d"), "bi").alias("alerta"))
+    known = kpis.filter(F.col("rul50_d").isNotNull())
+    return known.select("codigo", "rul50_d", band(F.col("rul50_d"), "bi").alias("alerta"))
 
 
 def alerts(kpis: DataFrame) -> DataFrame:

@@ -37,6 +37,23 @@ def rule_kpis(spark, sf_dir):
     return kpi.assemble(*rule_tables(spark, sf_dir))
 
 
+def known_kpis(spark, sf_dir):
+    """As above, with nulls where an indicator is missing."""
+    return kpi.combine(*rule_tables(spark, sf_dir))
+
+
+def partial_kpis(spark, sf_dir):
+    """Machine types that have some indicators only."""
+    f, u, p, a = rule_tables(spark, sf_dir)
+    code = F.col("codigo")
+    return kpi.combine(
+        f.filter(code.startswith("VD")),
+        u.filter(~code.startswith("VD")),
+        p.filter(code.startswith("C")),
+        a.filter(code.startswith("EX")),
+    )
+
+
 _KPI_SQL = """codigo, round(fr30_risk, 6) as fr30_risk, fr30_banda, round(rul50_d, 6) as rul50_d,
   round(rul90_d, 6) as rul90_d, round(forecast_7d_h, 6) as forecast_7d_h,
   round(forecast_30d_h, 6) as forecast_30d_h, round(horas_por_dia, 6) as horas_por_dia,
@@ -82,6 +99,55 @@ def combined_indicators_partial(spark, sf_dir):
     )
 
 
+_PARTIAL = """(select codigo, f.risk_30d as fr30_risk, u.rul50_d, u.rul90_d, p.forecast_30d_h, a.anomaly_score
+  from (select * from fr30 where starts_with(codigo, 'VD')) f
+    full join (select * from rul where not starts_with(codigo, 'VD')) u using (codigo)
+    full join (select * from forecast where starts_with(codigo, 'C')) p using (codigo)
+    full join (select * from anomaly where starts_with(codigo, 'EX')) a using (codigo))"""
+
+
+@QUERIES.add(
+    "A24",
+    sql(
+        """select (select count(distinct codigo) from (select codigo from r union all select codigo from u
+               union all select codigo from a)) as total_equipos,
+             (select count(*) from r where risk_30d >= 0.5) as fr30_alto,
+             (select count(*) from r where risk_30d >= 0.3 and risk_30d < 0.5) as fr30_medio,
+             (select count(*) from r where risk_30d < 0.3) as fr30_bajo,
+             (select count(*) from u where rul90_d < 7) as rul_critico,
+             (select count(*) from u where rul90_d >= 7 and rul90_d < 21) as rul_alerta,
+             (select count(*) from u where rul90_d >= 21) as rul_normal,
+             (select count(*) from a where anomaly_score >= 0.8) as anomalia_alta,
+             (select count(*) from a where anomaly_score >= 0.6 and anomaly_score < 0.8) as anomalia_media,
+             (select count(*) from a where anomaly_score < 0.6) as anomalia_baja""",
+        *_RULES,
+        r="select * from fr30 where starts_with(codigo, 'VD')",
+        u="select * from rul where not starts_with(codigo, 'VD')",
+        a="select * from anomaly where starts_with(codigo, 'EX')",
+    ),
+)
+def band_counts_partial(spark, sf_dir):
+    """Each indicator counts the machines of its own table."""
+    return kpi.band_counts(partial_kpis(spark, sf_dir))
+
+
+@QUERIES.add(
+    "A25 A26",
+    sql(
+        f"""select (select count(*) from {_PARTIAL} where coalesce(fr30_risk, rul50_d, anomaly_score) is not null) as total_equipos,
+             (select count(*) from fr30 where starts_with(codigo, 'VD') and risk_30d >= 0.5) as equipos_alto_riesgo,
+             (select count(*) from rul where not starts_with(codigo, 'VD') and rul90_d < 7) as equipos_mantenimiento_urgente,
+             (select count(*) from anomaly where starts_with(codigo, 'EX') and anomaly_score >= 0.6) as equipos_con_anomalias,
+             (select round(avg(risk_30d), 6) from fr30 where starts_with(codigo, 'VD')) as promedio_fr30,
+             (select round(avg(rul50_d), 6) from rul where not starts_with(codigo, 'VD')) as promedio_rul50""",
+        *_RULES,
+    ),
+)
+def executive_summary_partial(spark, sf_dir):
+    rows = kpi.executive_summary(partial_kpis(spark, sf_dir))
+    return rows.drop("total_horas_pronosticadas_30d").withColumns({c: F.round(c, 6) for c in ("promedio_fr30", "promedio_rul50")})
+
+
 @QUERIES.add("J07", sql("select codigo from fr30 union select codigo from rul union select codigo from anomaly", *_RULES))
 def machines_with_indicators(spark, sf_dir):
     f, u, _, a = rule_tables(spark, sf_dir)
@@ -137,7 +203,7 @@ def risk_life_scatter(spark, sf_dir):
     ),
 )
 def band_counts(spark, sf_dir):
-    return kpi.band_counts(rule_kpis(spark, sf_dir))
+    return kpi.band_counts(known_kpis(spark, sf_dir))
 
 
 @QUERIES.add(
@@ -152,7 +218,7 @@ def band_counts(spark, sf_dir):
     ),
 )
 def executive_summary(spark, sf_dir):
-    rows = kpi.executive_summary(rule_kpis(spark, sf_dir))
+    rows = kpi.executive_summary(known_kpis(spark, sf_dir))
     return rows.withColumns(
         {
             "promedio_fr30": F.round("promedio_fr30", 6),
@@ -173,7 +239,7 @@ def executive_summary(spark, sf_dir):
     ),
 )
 def band_distribution(spark, sf_dir):
-    return kpi.band_distribution(rule_kpis(spark, sf_dir))
+    return kpi.band_distribution(known_kpis(spark, sf_dir))
 
 
 @QUERIES.add(
@@ -185,7 +251,7 @@ def band_distribution(spark, sf_dir):
     ),
 )
 def bi_measures(spark, sf_dir):
-    rows = kpi.bi_measures(rule_kpis(spark, sf_dir))
+    rows = kpi.bi_measures(known_kpis(spark, sf_dir))
     return rows.select(r("equipos_alto_riesgo_pct"), r("rul_promedio"))
 
 
@@ -198,7 +264,7 @@ def bi_measures(spark, sf_dir):
     ),
 )
 def maintenance_alerts(spark, sf_dir):
-    return kpi.maintenance_alerts(rule_kpis(spark, sf_dir)).select("codigo", r("rul50_d"), "alerta")
+    return kpi.maintenance_alerts(known_kpis(spark, sf_dir)).select("codigo", r("rul50_d"), "alerta")
 
 
 @QUERIES.add(
@@ -211,7 +277,7 @@ def maintenance_alerts(spark, sf_dir):
     ),
 )
 def alert_list(spark, sf_dir):
-    return kpi.alerts(rule_kpis(spark, sf_dir)).select("codigo", "alerta", r("valor"))
+    return kpi.alerts(known_kpis(spark, sf_dir)).select("codigo", "alerta", r("valor"))
 
 
 @QUERIES.add(
@@ -223,7 +289,7 @@ def alert_list(spark, sf_dir):
     ),
 )
 def indicator_means(spark, sf_dir):
-    rows = kpi.alert_means(rule_kpis(spark, sf_dir))
+    rows = kpi.alert_means(known_kpis(spark, sf_dir))
     return rows.select(*[r(c) for c in rows.columns])
 
 
@@ -401,9 +467,9 @@ def _latest_features(spark, sf_dir):
                case when cm > 15e-1 then concat('MTTR aumentó ', printf('%.1f', cm), 'x respecto a histórico') end,
                case when sistemas_unicos_30d > 2 then concat('Múltiples sistemas afectados: ', sistemas_unicos_30d) end],
                lambda x: x is not null) as d
-             from (select lf.*, round(a.anomaly_score, 9) as sc, round(tbf_trend, 9) as tr,
+             from (select a.codigo, lf.* exclude (codigo), round(a.anomaly_score, 9) as sc, round(tbf_trend, 9) as tr,
                      round(ratio_actividad_30_60, 9) as ra, round(cambio_mttr, 9) as cm
-                   from lf join anomaly a on a.codigo = lf.codigo))""",
+                   from anomaly a left join lf on a.codigo = lf.codigo))""",
         "anomaly",
         **_LAST_FEATURES,
     ),
@@ -412,7 +478,7 @@ def anomaly_explanations(spark, sf_dir):
     rows, latest = _latest_features(spark, sf_dir)
     score = anomaly.rule_score(machine_stats(rows)).select("codigo", r("anomaly_score", 9))
     numbers = ("tbf_trend", "ratio_actividad_30_60", "cambio_mttr")
-    out = explain_anomaly(latest.withColumns({c: F.round(c, 9) for c in numbers}).join(score, "codigo"))
+    out = explain_anomaly(latest.withColumns({c: F.round(c, 9) for c in numbers}).join(score, "codigo", "right"))
     return out.select("codigo", "resumen", joined("anomalias_detectadas"), joined("chequeos_recomendados"))
 
 
@@ -426,14 +492,16 @@ def anomaly_explanations(spark, sf_dir):
                case when round(tbf_trend, 9) < -1 then 'Tendencia decreciente en tiempo entre fallas' end,
                case when sistemas_unicos_30d > 2 then concat('Múltiples sistemas afectados: ', sistemas_unicos_30d) end,
                case when round(cambio_mttr, 9) > 15e-1 then 'Aumento significativo en tiempo de reparación' end],
-               lambda x: x is not null) as d from lf)""",
+               lambda x: x is not null) as d from (select distinct codigo from tl) m left join lf using (codigo))""",
         "tl",
         **_LAST_FEATURES,
     ),
 )
 def anomaly_reason_list(spark, sf_dir):
-    _, latest = _latest_features(spark, sf_dir)
-    rows = latest.withColumns({c: F.round(c, 9) for c in ("tbf_trend", "cambio_mttr")})
+    visits, latest = _latest_features(spark, sf_dir)
+    # machines with too few visits for features have the default text
+    every = visits.select("codigo").distinct().join(latest, "codigo", "left")
+    rows = every.withColumns({c: F.round(c, 9) for c in ("tbf_trend", "cambio_mttr")})
     return anomaly_reasons(rows).select("codigo", joined("explicacion"))
 
 

@@ -13,7 +13,7 @@ QUERIES = Registry()
 
 def _visits(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
-    return as_visit_events(read_events(spark, sf_dir, schema, "events.parquet"))
+    return as_visit_events(read_events(spark, f"{sf_dir}/events.parquet", schema))
 
 
 @QUERIES.add(

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from ..storage import scratch_folder
 
@@ -56,18 +57,38 @@ def tumbling_stream(visits: DataFrame, every: str = "1 day", lateness: str = LAT
 
 
 def read_events(
-    spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet", files: int = 1
+    spark: SparkSession, path: str, schema: T.StructType, files: int | None = None
 ) -> DataFrame:
-    """Replay a folder's files as a stream, a few per batch."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-    return reader.option("maxFilesPerTrigger", files).parquet(folder)
+    """Replay a table, one file or a folder of part files, as a stream.
+
+    All files go into one batch, so that no row is late; with ``files`` so many go into each, and rows
+    of files that overlap in time by more than the lateness are late (``run_to_end`` says so).
+    """
+    reader = spark.readStream.schema(schema)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    # a pattern, since a stream takes a folder or a pattern but not a single file
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]" if path[-1].isalnum() else path)
+
+
+def _dropped(query: StreamingQuery, seen: set[int]) -> int:
+    """Rows dropped by the watermark in batches not looked at before."""
+    fresh = [p for p in query.recentProgress if p.batchId not in seen]
+    seen.update(p.batchId for p in fresh)
+    return sum(s.numRowsDroppedByWatermark for p in fresh for s in p.stateOperators)
 
 
 def run_to_end(
-    spark: SparkSession, stream: DataFrame, keys: Sequence[str], mode: str = "update"
+    spark: SparkSession,
+    stream: DataFrame,
+    keys: Sequence[str],
+    mode: str = "update",
+    allow_late: bool = False,
 ) -> DataFrame:
     """Process everything available and return the latest row of every key.
 
+    Rows that came too late for the watermark are an error unless ``allow_late``.
+
     Each batch goes to its own folder, overwritten when a batch is retried, so a restart writes
     nothing twice.
     """
@@ -88,7 +109,13 @@ def run_to_end(
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination()
+    dropped = 0
+    seen: set[int] = set()
+    while not query.awaitTermination(1):
+        dropped += _dropped(query, seen)
+    dropped += _dropped(query, seen)
+    if dropped and not allow_late:
+        raise ValueError(f"{dropped} rows came later than the watermark allows")
     names = [c for c in stream.columns if c not in keys]
     rows = spark.read.schema(kind).parquet(target)
     if not names:

@@ -110,3 +110,19 @@ def test_valid_codes(spark, limit):
     df = spark.createDataFrame([("VD-01",), ("VD-01",), ("V-1",), ("CG-02",), ("abcde",)], "codigo string")
     codes = [r.codigo for r in clean.valid_codes(df, limit).collect()]
     assert codes == ["CG-02", "VD-01"][:limit]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["2024-03-15", "15/03/2024", "03/15/2024", "15-03-2024 10:30", "Mar 15 2024", "2024/03/15", "15.3.2024 10:30:05", "20240315"],
+)
+def test_usual_date_formats(spark, text):
+    day = clean.parse_dates(spark.createDataFrame([(text,)], "d string"), "d").first().d
+    assert (day.year, day.month, day.day) == (2024, 3, 15)
+
+
+def test_day_or_month_first(spark):
+    df = spark.createDataFrame([("03/04/2024",)], "d string")
+    assert clean.parse_dates(df, "d").first().d.month == 4
+    assert clean.parse_dates(df, "d", day_first=False).first().d.month == 3
+    assert clean.parse_dates(df, "d", formats=["yyyy"]).first().d is None

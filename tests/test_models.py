@@ -252,8 +252,14 @@ def test_missing_indicators_default(spark):
     rows = kpi.assemble(f, u, p, a)
     got = values(rows, "codigo", "fr30_risk", "fr30_banda", "rul50_d", "forecast_7d_h", "anomaly_score", "anomaly_banda")
     assert got == {"A": (0.6, "x", 0.0, 0.0, 0.9, "y"), "B": (0.0, "", 5.0, 0.0, 0.0, ""), "C": (0.0, "", 0.0, 1.0, 0.0, "")}
-    alerts = {(r.codigo, r.alerta) for r in kpi.alerts(rows).collect()}
-    assert alerts == {("A", "alto_riesgo_fr30"), ("A", "anomalia"), ("A", "rul_critico"), ("B", "rul_critico"), ("C", "rul_critico")}
+    known = kpi.combine(f, u, p, a)
+    alerts = {(r.codigo, r.alerta) for r in kpi.alerts(known).collect()}
+    assert alerts == {("A", "alto_riesgo_fr30"), ("A", "anomalia"), ("B", "rul_critico")}
+    counts = kpi.band_counts(known).first()
+    assert (counts.total_equipos, counts.fr30_alto, counts.fr30_bajo, counts.rul_critico, counts.anomalia_alta) == (2, 1, 0, 1, 1)
+    total = kpi.executive_summary(known).first()
+    assert (total.equipos_mantenimiento_urgente, total.promedio_rul50, total.promedio_fr30) == (1, 5.0, 0.6)
+    assert [r.codigo for r in kpi.maintenance_alerts(known).collect()] == ["B"]
 
 
 def test_trend_labels(spark):

@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+import pytest
+from conftest import SF_DIR
 from pyspark.sql import types as T
 
+from fleetkpi.queries import catalogue
 from fleetkpi.streaming.visits import alert_stream, clean_stream, read_events, run_to_end, tumbling_stream
 
+CATALOGUE = catalogue()
 SCHEMA = T.StructType(
     [
         T.StructField("codigo", T.StringType()),
@@ -19,7 +23,7 @@ def replay(spark, folder, batches):
         df = spark.createDataFrame(rows, "codigo string, fecha_in string, mttr_horas double")
         df = df.withColumn("fecha_in", df.fecha_in.cast("timestamp"))
         df.coalesce(1).write.parquet(f"{folder}/{i}")
-    return read_events(spark, f"{folder}/*", SCHEMA)
+    return read_events(spark, f"{folder}/*", SCHEMA, files=1)
 
 
 def test_repeats_are_dropped_across_batches(spark, tmp_path):
@@ -57,5 +61,20 @@ def test_visits_beyond_the_lateness_are_dropped(spark, tmp_path):
         [("A-1", "2024-03-10 11:00:00", 1.0)],  # the new limit holds from the next batch on
         [("A-1", "2024-03-01 12:00:00", 1.0), ("A-1", "2024-03-09 12:00:00", 1.0)],
     ]
-    daily = run_to_end(spark, tumbling_stream(replay(spark, tmp_path, batches)), ["desde"])
+    daily = run_to_end(spark, tumbling_stream(replay(spark, tmp_path, batches)), ["desde"], allow_late=True)
     assert {(r.desde.day, r.ingresos) for r in daily.collect()} == {(1, 1), (10, 2), (9, 1)}
+
+
+def test_late_rows_are_reported(spark, tmp_path):
+    batches = [[("A-1", f"2024-0{m}-01 10:00:00", 1.0)] for m in (3, 5, 7, 3)]
+    with pytest.raises(ValueError, match="later than the watermark"):
+        run_to_end(spark, tumbling_stream(replay(spark, tmp_path, batches)), ["desde"])
+
+
+@pytest.mark.parametrize("name", ["stream_clean_visits", "stream_alerts", "stream_daily_counts"])
+def test_one_file_and_twenty_overlapping_files_agree(spark, tmp_path, name):
+    events = spark.read.parquet(f"{SF_DIR}/events.parquet")
+    events.repartition(20).write.parquet(f"{tmp_path}/events.parquet")
+    run = CATALOGUE[name].run
+    rows = [sorted(map(tuple, run(spark, folder).collect())) for folder in (SF_DIR, str(tmp_path))]
+    assert rows[0] == rows[1] and rows[0]
