@@ -86,7 +86,10 @@ class WordTokenizer:
     def ids(self, word: str) -> list[int]:
         if word in self.special:
             return [self.special[word]]
-        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.bytes))]
+        # printable ASCII characters stand for themselves
+        if not (word.isascii() and word.isprintable()):
+            word = word.encode().decode("latin-1").translate(self.bytes)
+        return [t.id for t in self.model.tokenize(word)]
 
 
 @lru_cache(maxsize=2)
