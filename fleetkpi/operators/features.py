@@ -175,13 +175,13 @@ def _whole_machine(rows: DataFrame, df: DataFrame, cuts: Cuts) -> DataFrame:
     whole = machine_window(cuts)
     if not cuts:
         return rows.withColumns({name: agg.over(whole) for name, agg in totals.items()})
-    listed = cuts.table(df, "codigo").select("codigo")
+    listed = cuts.machines.select("codigo")
     hot = (
-        df.join(listed, "codigo")
+        df.join(listed, "codigo", "left_semi")
         .groupBy("codigo")
         .agg(*[agg.alias(f"_{name}") for name, agg in totals.items()])
     )
-    joined = rows.join(F.broadcast(hot), "codigo", "left")  # one row per cut machine
+    joined = rows.join(hot, "codigo", "left")  # one row per cut machine
     # uncut machines have no lent rows, so their own partition is the machine
     return joined.withColumns(
         {name: F.coalesce(F.col(f"_{name}"), agg.over(whole)) for name, agg in totals.items()}
@@ -290,11 +290,11 @@ def site_means(timeline: DataFrame) -> DataFrame:
     """
     hours = _recorded_hours(timeline)
     half = F.lit(0.5)
-    counts = timeline.groupBy("tbf_dias", hours.alias("_h")).agg(F.count("*").alias("_n"))
-    # counted by value first, so that one task sees distinct pairs instead of visits
+    values = F.create_map(F.lit("_t"), F.col("tbf_dias").cast("double"), F.lit("_m"), hours.cast("double"))
+    # counted by single value first, so that the last task sees the values of each, not pairs or visits
+    counts = timeline.select(F.explode(values).alias("_kind", "_v")).groupBy("_kind", "_v").agg(F.count("*").alias("_n"))
     medians = counts.agg(
-        F.percentile("tbf_dias", half, F.col("_n")).alias("_t"),
-        F.percentile("_h", half, F.col("_n")).alias("_m"),
+        *[F.percentile(F.when(F.col("_kind") == k, F.col("_v")), half, F.col("_n")).alias(k) for k in ("_t", "_m")]
     )
     enough = F.col("n_visitas") >= 3
     return (

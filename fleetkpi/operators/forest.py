@@ -103,8 +103,8 @@ def fit_forest(
 
     With a unique ``row_key`` a row's trees follow from a hash of it, so the sample does not
     depend on how the data is partitioned. Without one every row draws a number, so that copies of
-    a row are sampled apart and no tree gets more than its share. Large tables are first thinned to
-    a pool that still holds all trees' rows, which keeps the per-tree test off most rows.
+    a row are sampled apart and no tree gets more than its share. Every row stands for every tree,
+    whatever the size of the table.
     """
     columns = list(columns)
     drawn = F.rand(seed) if row_key is None else F.xxhash64(F.lit(seed), *row_key)
@@ -127,17 +127,12 @@ def fit_forest(
         for c, m in zip(columns, mean)
     ]
 
-    thin = max(1, n // (trees * sample))
-    pool = filled
-    if thin > 1:
-        pool = filled.filter(F.pmod(F.xxhash64(F.lit(0), "_draw"), F.lit(thin)) == 0)
-    pooled = max(1, n // thin)
     scaled = [((F.col(c) - m) / s).alias(c) for c, m, s in zip(columns, mean, scale)]
     chosen = F.filter(
         F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.pmod(F.xxhash64(t + 1, F.col("_draw")), F.lit(pooled)) < sample,
+        lambda t: F.pmod(F.xxhash64(t + 1, F.col("_draw")), F.lit(n)) < sample,
     )
-    sampled = pool.select(F.explode(chosen).alias("tree"), "_draw", *scaled)
+    sampled = filled.select(F.explode(chosen).alias("tree"), "_draw", *scaled)
     limit = math.ceil(math.log2(max(sample, 2)))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

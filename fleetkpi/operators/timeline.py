@@ -12,7 +12,7 @@ reaches it as extra rows that are dropped afterwards:
 * ``spread``: the rows within N days of the slice, for RANGE frames over values that do not
   add up (medians, extremes).
 
-``find_cuts`` decides once per log which machines to cut. Logs without such a machine keep the
+``find_cuts`` decides once per log which machines to cut, and where, by the position of their rows. Logs without such a machine keep the
 plain one-shuffle window. Results are the same either way.
 """
 
@@ -28,27 +28,22 @@ from ..functions.clock import DAY_US, micros
 from ..storage import materialise
 
 ROWS_PER_SLICE = 250_000
-# The list of cut machines is collected and broadcast. It takes the busiest machines first; one
-# that does not fit keeps a single slice, which is slower for that machine and equally right.
-MAX_CUT = 50_000
-_BOUNDS = ("_lo", "_hi", "_width")
+# Slices begin at the first visit of an hour, so the count behind a cut has a row per machine and hour at most.
+BIN_US = 3_600_000_000
+_BOUNDS = ("_starts", "_hi")
 
 
 @dataclass(frozen=True)
 class Cuts:
-    """Machines cut into slices: code, first and last entry and slice width in microseconds."""
+    """Machines cut into slices: key, first instant of each slice (``_starts``) and last entry (``_hi``).
 
-    machines: tuple[tuple[str, int, int, int], ...] = ()
+    A written table that is joined without a hint, so that Spark broadcasts it only where it is small.
+    """
 
-    def __bool__(self) -> bool:
-        return bool(self.machines)
+    machines: DataFrame | None = None
 
-    def table(self, df: DataFrame, key: str) -> DataFrame:
-        """The list as a broadcast side; at most ``MAX_CUT`` rows."""
-        rows = df.sparkSession.createDataFrame(
-            list(self.machines), f"{key} string, _lo bigint, _hi bigint, _width bigint"
-        )
-        return F.broadcast(rows)
+    def __bool__(self) -> bool:
+        return self.machines is not None
 
 
 NO_CUTS = Cuts()
@@ -57,26 +52,43 @@ NO_CUTS = Cuts()
 def find_cuts(
     df: DataFrame, rows_per_slice: int = ROWS_PER_SLICE, key: str = "codigo", ts: str = "fecha_in"
 ) -> Cuts:
-    """Count visits per machine (combined before the shuffle) and pick the ones to cut."""
+    """Cut every machine above ``rows_per_slice`` visits by the position of its rows.
+
+    Visits are counted with map-side combining, then by hour for the busy machines alone. A slice
+    ends with the hour in which its rows are reached; visits at one instant stay together.
+    """
     at = micros(F.col(ts))
-    stats = df.groupBy(key).agg(
-        F.count("*").alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi")
+    busy = (
+        df.groupBy(key)
+        .agg(F.count("*").alias("_n"))
+        .filter((F.col("_n") > rows_per_slice) & F.col(key).isNotNull())
+        .select(key)
+    )
+    if busy.isEmpty():
+        return NO_CUTS
+    hours = (
+        df.join(busy, key, "left_semi")
+        .groupBy(key, F.floor(at / F.lit(BIN_US)).alias("_bin"))
+        .agg(F.count("*").alias("_n"), F.min(at).alias("_first"), F.max(at).alias("_last"))
+    )
+    before = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    position = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    slices = (
+        hours.withColumn("_k", F.floor(position / F.lit(rows_per_slice)))
+        .groupBy(key, "_k")
+        .agg(F.min("_first").alias("_start"), F.max("_last").alias("_end"))
     )
-    slices = F.ceil(F.col("_n") / F.lit(rows_per_slice))
-    width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / slices))
-    busiest = (
-        stats.filter((F.col("_n") > rows_per_slice) & F.col(key).isNotNull())
-        .orderBy(F.col("_n").desc(), key)
-        .limit(MAX_CUT)
+    listed = slices.groupBy(key).agg(
+        F.sort_array(F.collect_list("_start")).alias("_starts"), F.max("_end").alias("_hi")
     )
-    picked = busiest.select(key, "_lo", "_hi", width.cast("bigint").alias("_width")).collect()
-    return Cuts(tuple((r[0], r[1], r[2], r[3]) for r in picked))
+    return Cuts(materialise(listed))
 
 
-def _slice_of(at: Column, width: Column | None = None) -> Column:
-    """Slice number of an instant; 0 for machines that are not cut."""
-    w = F.col("_width") if width is None else width
-    return F.coalesce(F.floor((at - F.col("_lo")) / w), F.lit(0)).cast("bigint")
+def _slice_of(at: Column) -> Column:
+    """Slice number of an instant; 0 for machines that are not cut and before the first slice."""
+    passed = F.size(F.filter("_starts", lambda start: start <= at))
+    number = F.greatest(F.lit(0), passed - F.lit(1))
+    return F.when(F.col("_starts").isNull(), F.lit(0)).otherwise(number).cast("bigint")
 
 
 def machine_window(
@@ -102,10 +114,10 @@ def with_neighbours(
     """
     if not cuts:
         return df.withColumn("_lent", F.lit(False))
-    joined = df.join(cuts.table(df, key), key, "left")
+    joined = df.join(cuts.machines, key, "left")
     cut = joined.withColumn("_slice", _slice_of(micros(F.col(ts))))
     parts = [cut.withColumn("_lent", F.lit(False))]
-    hot = cut.filter(F.col("_width").isNotNull())
+    hot = cut.filter(F.col("_starts").isNotNull())
     names = [c for c in cut.columns if c not in (key, "_slice", ts, tie)]
 
     def lend(count: int, backwards: bool) -> DataFrame:
@@ -157,19 +169,17 @@ def spread(
 ) -> DataFrame:
     """Lend every slice the rows within the given days of it.
 
-    A slice is never shorter than the reach, so a row goes to at most a few slices.
+    A row goes to its own slice and to those that begin within the reach.
     """
     if not cuts:
         return df.withColumn("_lent", F.lit(False))
     at = micros(F.col(ts))
-    reach = max(back_days, ahead_days) * DAY_US
-    width = F.greatest(F.col("_width"), F.lit(reach))
-    joined = df.join(cuts.table(df, key), key, "left")
-    first = F.greatest(F.lit(0), _slice_of(at - F.lit(ahead_days * DAY_US), width))
-    last = F.least(_slice_of(at + F.lit(back_days * DAY_US), width), _slice_of(F.col("_hi"), width))
+    joined = df.join(cuts.machines, key, "left")
+    first = _slice_of(at - F.lit(ahead_days * DAY_US))
+    last = _slice_of(at + F.lit(back_days * DAY_US))
     return (
-        joined.withColumn("_own", _slice_of(at, width))
-        .withColumn("_slice", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))))
+        joined.withColumn("_own", _slice_of(at))
+        .withColumn("_slice", F.explode(F.sequence(first, last)))
         .withColumn("_lent", F.col("_slice") != F.col("_own"))
         .drop("_own")
     )
@@ -191,13 +201,13 @@ def running_totals(
     keys = [key, *within]
     merged = events
     if cuts:
-        joined = events.join(cuts.table(events, key), key, "left")
+        joined = events.join(cuts.machines, key, "left")
         # what happens after the last visit of a cut machine cannot reach any visit
         kept = joined.filter(F.col("_hi").isNull() | (F.col("_at") <= F.col("_hi")))
-        cut = kept.withColumn("_slice", F.greatest(F.lit(0), _slice_of(F.col("_at"))).cast("bigint"))
+        cut = kept.withColumn("_slice", _slice_of(F.col("_at")))
         sums = (
-            cut.filter(F.col("_width").isNotNull())
-            .groupBy(*keys, "_slice", "_lo", "_width")
+            cut.filter(F.col("_starts").isNotNull())
+            .groupBy(*keys, "_slice", "_starts")
             .agg(*[F.sum(w).alias(w) for w in weights])
         )
         # one row per slice, far fewer than rows
@@ -209,7 +219,7 @@ def running_totals(
         carried = sums.select(
             *keys,
             "_slice",
-            (F.col("_lo") + F.col("_slice") * F.col("_width") - 1).alias("_at"),
+            (F.element_at("_starts", F.col("_slice").cast("int") + 1) - 1).alias("_at"),
             F.lit(False).alias("_real"),
             *[F.coalesce(F.sum(w).over(earlier), F.lit(0)).alias(w) for w in weights],
         )

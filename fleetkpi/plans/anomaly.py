@@ -89,7 +89,8 @@ def fit(features: DataFrame, trees: int = 100, sample: int = 256, seed: int = 42
 
 def score(features: DataFrame, forest: IsolationForest) -> DataFrame:
     """Normalised score of every feature row and whether it is in the most anomalous tenth."""
-    scored = decision(score_forest(features, forest))
+    # written once: the limit and the bounds are taken from the written scores
+    scored = decision(materialise(score_forest(features, forest)))
     return normalise(scored, "decision", "anomaly_score").withColumn(
         "anomala", F.col("decision") < 0
     )

@@ -12,6 +12,7 @@ from ..functions.bands import band
 from ..functions.clock import instant
 from ..functions.fmt import exact_round, fixed
 from ..operators.forest import IsolationForest, decision, fit_forest, score_forest
+from ..storage import materialise
 
 FEATURES = ["temperatura", "vibracion", "horas_operacion", "ciclos_trabajo", "dia_anio"]
 TARGETS = {"prob_falla_30d": "fr30_pred", "rul_estimado": "rul_pred"}
@@ -58,7 +59,7 @@ def fit_anomaly(telemetry: DataFrame, trees: int = 100, seed: int = 42) -> Isola
 
 def score_anomaly(forest: IsolationForest, telemetry: DataFrame) -> DataFrame:
     """Decision score turned to 0..1 with 1 as the most anomalous, and its band."""
-    scored = decision(score_forest(telemetry, forest)).drop("score")
+    scored = decision(materialise(score_forest(telemetry, forest))).drop("score")
     return scored.withColumn("anomaly_score", (F.lit(1.0) - F.col("decision")) / 2).withColumn(
         "banda", band(F.col("anomaly_score"), "anomaly_live")
     )
