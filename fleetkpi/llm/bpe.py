@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,6 +37,10 @@ PACKED = "chunk bigint, bucket int, packed binary"
 
 # Fixed values of this kind of tokenizer: the pattern of its words and its white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
+#: The same pattern where all characters are ASCII and in lower case.
+ASCII_PATTERN = r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\t-\r a-z0-9]+"
+#: So many stretches between white space are remembered in a task.
+KNOWN_STRETCHES = 100_000
 
 
 def default_path() -> str:
@@ -50,6 +56,18 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class _Stretches(dict):
+    """Words of the stretches between white space seen so far; no word reaches across white space."""
+
+    def __init__(self, find, find_ascii):
+        super().__init__()
+        self.find, self.find_ascii = find, find_ascii
+
+    def __missing__(self, stretch: str) -> list[str]:
+        own = self[stretch] = (self.find_ascii if stretch.isascii() else self.find)(stretch)
+        return own
+
+
 class WordTokenizer:
     """Words of a text and ids of a word, as the tokenizers library finds them for this file."""
 
@@ -64,7 +82,10 @@ class WordTokenizer:
             raise ValueError("not a tokenizer of lower-cased words")
         self.model = Tokenizer.from_file(path).model
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.find = regex.compile(PATTERN).findall
+        self.find, self.find_ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
+        self.stretches = _Stretches(self.find, self.find_ascii)
+        # str.split() takes these four for white space as well, the pattern does not
+        self.separators = re.compile("[\x1c-\x1f]").search
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in self.special) + ")").split
         self.bytes = {b: c for b, c in byte_characters().items()}
         self.marks = tuple(self.special)
@@ -78,10 +99,15 @@ class WordTokenizer:
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
-        if not text.isascii():
-            # one character at a time: a capital sigma has one small form
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.find(text.lower())
+        if text.isascii():
+            return self.find_ascii(text.lower())
+        # one character at a time: a capital sigma has one small form
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if self.separators(text):
+            return self.find(text)
+        if len(self.stretches) > KNOWN_STRETCHES:
+            self.stretches.clear()
+        return list(chain.from_iterable(map(self.stretches.__getitem__, text.split())))
 
     def ids(self, word: str) -> list[int]:
         if word in self.special:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,7 +46,8 @@ class _Known(dict):
         self.tok = tokenizer(path)
 
     def __missing__(self, word: str) -> bytes:
-        own = self[word] = np.array(self.tok.ids(word), "<u4").tobytes()
+        ids = self.tok.ids(word)
+        own = self[word] = struct.pack(f"<{len(ids)}I", *ids)
         return own
 
     def ids(self, text: str) -> np.ndarray:
