@@ -16,6 +16,8 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,27 +35,34 @@ MAGIC = b"TOKZDIC1"
 END_ID = 1
 #: The dictionary is fitted on so many documents, and so many ids of each, at most.
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 16_384, 65_536
-#: A file is closed when it holds so many bytes; so many words are remembered in a task.
-FILE_BYTES, KNOWN_WORDS = 16 << 20, 300_000
+#: A file is closed when it holds so many bytes; so many words are remembered in a Python worker.
+FILE_BYTES, KNOWN_WORDS = 16 << 20, 500_000
 MANIFEST = "file string, part bigint, roll bigint, n_docs bigint, n_ids bigint"
 
 
 class _Known(dict):
     """Serialized ids of the words seen so far."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, id_bytes: int):
         super().__init__()
-        self.tok = tokenizer(path)
+        self.tok, self.code = tokenizer(path), {2: "H", 4: "I"}[id_bytes]
 
     def __missing__(self, word: str) -> bytes:
         ids = self.tok.ids(word)
-        own = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        own = self[word] = struct.pack(f"<{len(ids)}{self.code}", *ids)
         return own
 
-    def ids(self, text: str) -> np.ndarray:
+    def ids(self, text: str, end: bytes) -> bytes:
+        """Serialized ids of a text, then the end."""
         if len(self) > KNOWN_WORDS:
             self.clear()
-        return np.frombuffer(b"".join(map(self.__getitem__, self.tok.words(text))), "<u4")
+        return b"".join(chain(map(self.__getitem__, self.tok.words(text)), (end,)))
+
+
+@lru_cache(maxsize=1)
+def _known(path: str, id_bytes: int) -> _Known:
+    """Kept from task to task of a worker."""
+    return _Known(path, id_bytes)
 
 
 @dataclass
@@ -92,13 +101,14 @@ def write_tokens(docs: DataFrame, path: str | None = None, folder: str | None =
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     ids = [*spec["model"]["vocab"].values(), *(x["id"] for x in spec["added_tokens"]), end_id]
-    kind = "<u2" if max(ids) < 1 << 16 else "<u4"
+    id_bytes = 2 if max(ids) < 1 << 16 else 4
+    end = end_id.to_bytes(id_bytes, "little")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known(path)
+        known = _known(path, id_bytes)
         for batch in batches:
-            out = [np.append(known.ids(t.as_py())[:SAMPLE_IDS], end_id).astype(kind).tobytes() for t in batch.column("text")]
+            out = [known.ids(t.as_py(), b"")[: SAMPLE_IDS * id_bytes] + end for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
 
     chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
@@ -110,11 +120,11 @@ def write_tokens(docs: DataFrame, path: str | None = None, folder: str | None =
         system.create_dir(at, recursive=True)
         with system.open_output_stream(f"{at}/{digest}.zdict", compression=None) as out:
             out.write(dictionary)
-    header = json.dumps({"id_bytes": int(kind[-1]), "dictionary": digest}).encode()
+    header = json.dumps({"id_bytes": id_bytes, "dictionary": digest}).encode()
     header = MAGIC + len(header).to_bytes(4, "little") + header
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known(path)
+        known = _known(path, id_bytes)
         press = zstandard.ZstdCompressor(level=3, dict_data=_compression(dictionary))
         part, roll = TaskContext.get().partitionId(), 0
         frames, own, ends, numbers, size = [header], [], [], [], len(header)
@@ -133,12 +143,12 @@ def write_tokens(docs: DataFrame, path: str | None = None, folder: str | None =
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.append(known.ids(text.as_py()), np.uint32(end_id))
-                frames.append(press.compress(ids.astype(kind).tobytes()))
+                ids = known.ids(text.as_py(), end)
+                frames.append(press.compress(ids))
                 size += len(frames[-1])
                 own.append(doc_id)
                 ends.append(size)
-                numbers.append(len(ids))
+                numbers.append(len(ids) // id_bytes)
                 if size > FILE_BYTES:
                     yield close()
                     frames, own, ends, numbers, size, roll = [header], [], [], [], len(header), roll + 1
