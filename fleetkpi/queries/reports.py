@@ -96,37 +96,36 @@ def _profiled(column: str, kind: str) -> str:
         " union all ".join(
             _profiled(c, k)
             for c, k in (
-                ("visit_id", "bigint"), ("codigo", "string"), ("sistema_afectado", "string"),
-                ("tipo_atencion", "string"), ("flota", "string"), ("clase", "string"),
+                ("visit_id", "bigint"), ("codigo", "string"), ("fecha_in", "timestamp"),
+                ("fecha_out", "timestamp"), ("sistema_afectado", "string"), ("tipo_atencion", "string"),
+                ("mttr_horas", "double"), ("flota", "string"), ("clase", "string"),
             )
         ),
         "visits",
     ),
 )
 def column_profile(spark, sf_dir):
-    columns = ["visit_id", "codigo", "sistema_afectado", "tipo_atencion", "flota", "clase"]
-    return profile.profile_columns(raw(spark, sf_dir).select(*columns))
+    return profile.profile_columns(raw(spark, sf_dir))
 
 
 @QUERIES.add(
     "A05",
     sql(
-        """select round((count(codigo) + count(fecha_in) + count(fecha_out) + count(sistema_afectado)
-               + count(mttr_horas)) / (count(*) * 5) * 100, 6) as completitud_pct,
-             count(*) filter (codigo is not null and fecha_in is not null and fecha_out is not null
-               and sistema_afectado is not null and mttr_horas is not null) as filas_completas,
-             round(count(*) filter (codigo is not null and fecha_in is not null and fecha_out is not null
-               and sistema_afectado is not null and mttr_horas is not null) / count(*) * 100, 6)
-               as filas_completas_pct,
+        """select round((count(visit_id) + count(codigo) + count(fecha_in) + count(fecha_out)
+               + count(sistema_afectado) + count(tipo_atencion) + count(mttr_horas) + count(flota)
+               + count(clase)) / (count(*) * 9) * 100, 6) as completitud_pct,
+             count(*) filter (whole) as filas_completas,
+             round(count(*) filter (whole) / count(*) * 100, 6) as filas_completas_pct,
              round(count(codigo) / count(*) * 100, 6) as codigo_pct,
              round(count(sistema_afectado) / count(*) * 100, 6) as sistema_afectado_pct
-           from visits""",
+           from (select *, visit_id is not null and codigo is not null and fecha_in is not null
+               and fecha_out is not null and sistema_afectado is not null and tipo_atencion is not null
+               and mttr_horas is not null and flota is not null and clase is not null as whole from visits)""",
         "visits",
     ),
 )
 def completeness(spark, sf_dir):
-    log = raw(spark, sf_dir).select("codigo", "fecha_in", "fecha_out", "sistema_afectado", "mttr_horas")
-    out = profile.completeness(log, ["codigo", "sistema_afectado"])
+    out = profile.completeness(raw(spark, sf_dir), ["codigo", "sistema_afectado"])
     return out.select(*[c if c == "filas_completas" else r(c) for c in out.columns])
 
 
