@@ -7,9 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.clock import DAY_US, elapsed_days, elapsed_hours, instant, micros
 from ..schema import DEFAULT_REPAIR_HOURS, DEFAULT_TYPE, TYPE_FACTORS
+from .sliding import DDL, trailing_statistics
 from .timeline import (
     NO_CUTS,
     Cuts,
@@ -359,78 +361,33 @@ def period_labels(df: DataFrame, days: int = 30, cuts: Cuts = NO_CUTS) -> DataFr
 # ---------------------------------------------------------------- statistics over trailing days
 
 
-def _or(column: Column, default: float) -> Column:
-    return F.coalesce(column, F.lit(default))
-
-
 def anomaly_windows(timeline: DataFrame, cuts: Cuts = NO_CUTS) -> DataFrame:
     """TBF, repair-hour and system statistics over the closed trailing 30 and 60 days.
 
-    Order statistics need their frame's rows, so slices borrow the 60 days before them.
+    Order statistics need their frame's rows, so slices borrow the 60 days before them. Values
+    that are null or not finite are left out; one value has no deviation (null).
     """
     rows = spread(timeline, cuts, back_days=60)
-    at = micros(F.col("fecha_in"))
-    ordered = machine_window(cuts, at)
-    near, far = ordered.rangeBetween(-30 * DAY_US, 0), ordered.rangeBetween(-60 * DAY_US, 0)
+    keys = ("codigo", "_slice") if cuts else ("codigo",)
     # peers share a frame; the index only has to follow the order of the events
     index = F.count("tbf_dias").over(
         machine_window(cuts, *_ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    tbf, hours, system = F.col("tbf_dias"), F.col("ciclo_horas"), F.col("sistema_afectado")
-    half = F.lit(0.5)
-    framed = rows.withColumn("_i", index).withColumns(
-        {
-            "ingresos_30d": F.count("*").over(near),
-            "ingresos_60d": F.count("*").over(far),
-            "tbf_med_30d": _or(F.percentile(tbf, half).over(near), 0),
-            # one value has no deviation: stays null where there is exactly one
-            "tbf_std_30d": F.when(F.count(tbf).over(near) == 0, F.lit(0.0)).otherwise(
-                F.stddev_samp(tbf).over(near)
-            ),
-            "tbf_min_30d": _or(F.min(tbf).over(near), 0),
-            "tbf_max_30d": _or(F.max(tbf).over(near), 0),
-            "tbf_med_60d_rango": _or(F.percentile(tbf, half).over(far), 0),
-            "_n60": F.count(tbf).over(far),
-            "_slope": F.regr_slope(tbf, F.col("_i")).over(far),
-            "_sys30": F.collect_list(system).over(near),
-            "_sys60": F.collect_set(system).over(far),
-            "mttr_med_30d": _or(F.percentile(hours, half).over(near), 24),
-            "mttr_std_30d": F.when(F.count(hours).over(near) == 0, F.lit(0.0)).otherwise(
-                F.stddev_samp(hours).over(near)
-            ),
-            "mttr_max_30d": _or(F.max(hours).over(near), 24),
-            "mttr_med_90d_rango": _or(F.percentile(hours, half).over(far), 24),
-        }
-    )
-    kept = own_rows(framed)
-    seen = F.col("_sys30")
-    counts = F.transform(
-        F.array_distinct(seen), lambda e: F.size(F.filter(seen, lambda y: y == e))
-    )
+    # the window brings each machine together and sorts it, so this sort costs nothing
+    ordered = rows.withColumns({"_i": index, "_at": micros(F.col("fecha_in"))}).sortWithinPartitions(*keys, *_ORDER)
+    schema = StructType([*ordered.schema.fields, *StructType.fromDDL(DDL).fields])
+    kept = own_rows(ordered.mapInArrow(trailing_statistics(keys), schema))
     med30, med60 = F.col("tbf_med_30d"), F.col("tbf_med_60d_rango")
     m30, m90 = F.col("mttr_med_30d"), F.col("mttr_med_90d_rango")
     n30, n60 = F.col("ingresos_30d"), F.col("ingresos_60d")
-    dominant = F.coalesce(F.array_max(counts), F.lit(0))
-    return (
-        kept.withColumns(
-            {
-                "tbf_trend": F.when(F.col("_n60") >= 3, _or(F.col("_slope"), 0)).otherwise(
-                    F.lit(0.0)
-                ),
-                "sistemas_unicos_30d": F.size(F.array_distinct(seen)),
-                "sistema_dominante_30d": dominant,
-                "sistemas_unicos_60d": F.size("_sys60"),
-                "ratio_actividad_30_60": n30 / F.greatest(F.lit(1), n60 - n30),
-                "cambio_tbf": F.when(med60 > 0, med30 / med60).otherwise(F.lit(1.0)),
-                "cambio_mttr": F.when(m90 > 0, m30 / m90).otherwise(F.lit(1.0)),
-            }
-        )
-        .withColumn(
-            "diversidad_sistemas_30d",
-            F.lit(1) - F.col("sistema_dominante_30d") / F.greatest(F.lit(1), n30),
-        )
-        .drop("_n60", "_slope", "_sys30", "_sys60", "_i")
-    )
+    return kept.withColumns(
+        {
+            "ratio_actividad_30_60": n30 / F.greatest(F.lit(1), n60 - n30),
+            "cambio_tbf": F.when(med60 > 0, med30 / med60).otherwise(F.lit(1.0)),
+            "cambio_mttr": F.when(m90 > 0, m30 / m90).otherwise(F.lit(1.0)),
+            "diversidad_sistemas_30d": F.lit(1) - F.col("sistema_dominante_30d") / F.greatest(F.lit(1), n30),
+        }
+    ).drop("_i", "_at")
 
 
 # ---------------------------------------------------------------- last rows

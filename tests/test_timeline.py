@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import statistics
+import time
 
 import pytest
 from visitlog import AS_OF, values, visits
@@ -180,3 +182,72 @@ def test_windows_share_one_shuffle(spark):
     executed = table._jdf.queryExecution().executedPlan().toString()
     assert "Window" in plan
     assert executed.count("Exchange hashpartitioning") == 1
+
+
+def test_window_statistics_equal_brute_force(spark, crowded):
+    timeline = features.visit_timeline(crowded, AS_OF)
+    names = ["codigo", "visit_id", "fecha_in", "tbf_dias", "ciclo_horas", "sistema_afectado"]
+    log = sorted(timeline.select(*names).collect(), key=lambda r: (r.codigo, r.fecha_in, r.visit_id))
+    found = {r.visit_id: r for r in features.anomaly_windows(timeline).collect()}
+    assert len(found) == len(log)
+
+    def deviation(some):
+        return statistics.stdev(some) if len(some) > 1 else None if some else 0.0
+
+    for row in log:
+        ages = [(row.fecha_in - o.fecha_in).total_seconds() / 86400 if o.codigo == row.codigo else -1 for o in log]
+        near = [o for o, age in zip(log, ages) if 0 <= age <= 30]
+        far = [o for o, age in zip(log, ages) if 0 <= age <= 60]
+        t30, t60 = ([o.tbf_dias for o in x if o.tbf_dias is not None] for x in (near, far))
+        h30, h60 = ([o.ciclo_horas for o in x if o.ciclo_horas is not None] for x in (near, far))
+        s30 = [o.sistema_afectado for o in near]
+        slope = statistics.linear_regression(range(len(t60)), t60).slope if len(t60) >= 3 else 0.0
+        expected = {
+            "ingresos_30d": len(near),
+            "ingresos_60d": len(far),
+            "tbf_med_30d": statistics.median(t30 or [0]),
+            "tbf_std_30d": deviation(t30),
+            "tbf_min_30d": min(t30, default=0),
+            "tbf_max_30d": max(t30, default=0),
+            "tbf_med_60d_rango": statistics.median(t60 or [0]),
+            "tbf_trend": slope,
+            "sistemas_unicos_30d": len(set(s30)),
+            "sistema_dominante_30d": max(map(s30.count, s30)),
+            "sistemas_unicos_60d": len({o.sistema_afectado for o in far}),
+            "mttr_med_30d": statistics.median(h30 or [24]),
+            "mttr_std_30d": deviation(h30),
+            "mttr_max_30d": max(h30, default=24),
+            "mttr_med_90d_rango": statistics.median(h60 or [24]),
+        }
+        assert {c: found[row.visit_id][c] for c in expected} == pytest.approx(expected, abs=1e-9)
+
+
+def test_dense_machines_take_linear_time(spark):
+    """16,000 visits of one machine in 20 days."""
+    log = spark.range(16000).selectExpr(
+        "id as visit_id", "'M-1' as codigo", "timestamp_seconds(1600000000 + id * 108) as fecha_in",
+        "108 / 86400D + id % 7 as tbf_dias", "cast(id % 97 as double) as ciclo_horas", "concat('S', id % 5) as sistema_afectado",
+    ).persist()
+    features.anomaly_windows(log.limit(100)).count()  # starts the workers
+    began = time.monotonic()
+    last = features.anomaly_windows(log).orderBy("visit_id").collect()[-1]
+    assert time.monotonic() - began < 5
+    assert (last.ingresos_30d, last.sistemas_unicos_30d, last.sistema_dominante_30d) == (16000, 5, 3200)
+
+
+def test_window_statistics_of_odd_rows(spark):
+    """No rows; neither code nor entry; values that are no numbers; ties over several batches."""
+    kinds = "visit_id long, codigo string, fecha_in timestamp, tbf_dias double, ciclo_horas double, sistema_afectado string, nota string"
+    empty = spark.createDataFrame([], kinds)
+    assert features.anomaly_windows(empty).count() == 0
+    rows = [(1, None, None, None, None, None, "x"), (2, "A", None, 1.0, float("nan"), "M", None)]
+    got = values(features.anomaly_windows(spark.createDataFrame(rows, kinds)), "visit_id", "ingresos_30d", "tbf_med_30d", "mttr_med_30d", "nota")
+    assert got == {1: (1, 0.0, 24.0, "x"), 2: (1, 1.0, 24.0, None)}
+    ties = spark.range(50).selectExpr(
+        "id as visit_id", "'A' as codigo", "timestamp_seconds(0) as fecha_in", "1D as tbf_dias", "2D as ciclo_horas", "'M' as sistema_afectado"
+    )
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert set(values(features.anomaly_windows(ties), "visit_id", "ingresos_60d", "tbf_std_30d").values()) == {(50, 0.0)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
