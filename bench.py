@@ -39,7 +39,11 @@ HEADLINE = [
     "usage_forecast",
     "anomaly_features",
     "anomaly_rules",
+    "anomaly_forest_scores",
+    "anomaly_latest",
     "telemetry_closed_form",
+    "telemetry_regressors",
+    "telemetry_anomalies",
     "risk_projection",
     "combined_indicators",
     "executive_summary",
