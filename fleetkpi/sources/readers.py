@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,8 @@ def read_visits(
     Parquet is read with the given or its own schema. CSV is read as text without an inference
     pass, in three attempts from strict to lenient: header on the first line, header below some
     banner lines, no recognisable header. Banner lines have no valid entry date, so cleaning
-    drops them; ``clean.parse_dates`` turns the texts into timestamps.
+    drops them; ``clean.parse_dates`` turns the texts into timestamps. Each file is read by its own
+    header; a column that a file lacks is null there.
     """
     if fmt == "parquet":
         reader = spark.read if schema is None else spark.read.schema(schema)
@@ -34,6 +36,33 @@ def read_visits(
     if schema is not None:
         strict = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
         return _canonical(drop_empty_rows(strict.csv(path)))
+    parts = [_read_csv(spark, files) for files in _layouts(spark, path)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _layouts(spark: SparkSession, path: str) -> list[str | list[str]]:
+    """Files by header line, which is their first line with a machine-code title.
+
+    One row for each layout comes to the driver, with the names of its files, which Spark's file
+    list holds there anyway.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).alias("at"),
+    )
+    plain = F.translate(F.lower(F.col("value")), ' -"', "__")  # quotes go
+    cells = F.transform(F.split(plain, ","), lambda c: F.trim(c, F.lit("_")))
+    titles = F.array(*[F.lit(name) for name in dict.fromkeys(_LOWER["codigo"])])
+    titled = F.arrays_overlap(cells, titles)
+    headers = lines.groupBy("file").agg(F.min_by(F.when(titled, F.col("value")), F.when(titled, F.col("at"))).alias("header"))
+    found = headers.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    if len(found) < 2:
+        return [path]
+    return [[unquote(file) for file in row.files] for row in sorted(found, key=lambda row: row.files)]
+
+
+def _read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     with_header = spark.read.option("header", True).option("inferSchema", False).csv(path)
     if _has_code(with_header.columns):
         return _canonical(drop_empty_rows(with_header))

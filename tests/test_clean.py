@@ -96,6 +96,24 @@ def test_csv_with_banner_lines(spark, tmp_path):
     assert [(r.codigo, r.sistema_afectado) for r in rows] == [("VD-01", "MOTOR")]
 
 
+def test_csv_files_by_their_own_headers(spark, tmp_path):
+    folder = tmp_path / "my log"
+    folder.mkdir()
+    (folder / "a.csv").write_text("CODIGO,FECHA IN,SISTEMA AFECTADO\nvd-01,2024-01-05 10:00:00,motor\n")
+    (folder / "b.csv").write_text("Hoja 2,,,\n\"Fecha In\",CODIGO,horas,Taller\n05/02/2024 08:00,vd-02,7,norte\n")
+    (folder / "c.csv").write_text("CODIGO,FECHA IN,SISTEMA AFECTADO\nvd-03,2024-03-05 10:00:00,frenos\n")
+    (folder / "d.csv").write_text("")
+    log = read_visits(spark, str(folder), "csv").where("codigo like 'vd%'")
+    assert {"codigo", "fecha_in", "sistema_afectado", "taller"} <= set(log.columns)
+    assert {tuple(x) for x in log.select("codigo", "fecha_in", "sistema_afectado", "taller").collect()} == {
+        ("vd-01", "2024-01-05 10:00:00", "motor", None),
+        ("vd-02", "05/02/2024 08:00", None, "norte"),
+        ("vd-03", "2024-03-05 10:00:00", "frenos", None),
+    }
+    dates = clean.parse_dates(log, "fecha_in").selectExpr("codigo", "cast(fecha_in as date) as d")
+    assert values(dates, "codigo", "d")["vd-02"].isoformat() == "2024-02-05"
+
+
 def test_date_range_reaches_the_scan(spark, tmp_path):
     path = str(tmp_path / "visits")
     visits(spark, [(1, "A-1", "2024-02-01 00:00:00")]).write.parquet(path)
