@@ -11,8 +11,12 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most `most` documents of each label, in the order of a hash of the id.
+def ordered(sample: DataFrame) -> DataFrame:
+    return sample.orderBy(F.xxhash64("doc_id"), "doc_id")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame | None:
+    """doc_id, label and whole text of at most `most` documents of each label; None without labels.
 
     labels (doc_id, `label`) may repeat a doc_id, lack documents or hold nulls; the largest label of
     a doc_id counts and rows without one are passed over. At most `most` ids of each label meet the
@@ -23,16 +27,20 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
     values = sorted(r["label"] for r in own.select("label").distinct().limit(64).collect())
     chosen = None
     for value in values:
-        part = own.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        part = ordered(own.where(F.col("label") == value)).limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
     if chosen is None:
-        return [], []
-    texts = (
+        return None
+    return (
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
         .join(F.broadcast(chosen), "doc_id")
         .groupBy("doc_id", "label")
         .agg(F.min("text").alias("text"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
     )
-    rows = texts.select("text", "label").collect()
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[list[str], list[int]]:
+    """Texts and labels of the `labelled` documents, in the order of a hash of the id."""
+    sample = labelled(docs, labels, label, most)
+    rows = [] if sample is None else ordered(sample).select("text", "label").collect()
     return [r["text"] for r in rows], [r["label"] for r in rows]

@@ -9,7 +9,8 @@ window, put on the scale of probabilities by a logistic fit on the training docu
 Labels are those of whole documents. Training therefore learns from the window that now scores
 highest in each document and, for documents without the label, from another one at random. One input
 dimension of a word starts as the evidence of its document counts in the training sample, and the
-vocabulary is the words with the strongest evidence.
+vocabulary is the words with the strongest evidence. Whole sample texts are read in every epoch, on
+the executors where they are many: only the chosen windows come to the driver.
 """
 
 from __future__ import annotations
@@ -21,17 +22,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
-from .samples import held_out, labelled_texts
-from .words import MARKS, Words, slices, texts
+from ..storage import materialise
+from .samples import held_out, labelled, ordered
+from .words import BYTES, MARKS, Words, slices, texts
 
 WINDOW, STEP = 48, 40
 HIDDEN, WIDTH, ATTENTION = 8, 8, 4
 #: Words with an embedding of their own at most; sample documents that must have them; buckets of trigrams.
 VOCABULARY, LEAST_DOCS, CHAR_BUCKETS = 8192, 3, 1 << 12
-#: The network is fitted on so many documents of each label at most, and so many words of each.
-SAMPLE, SAMPLE_WORDS = 1200, 1500
+#: The network is fitted on so many documents of each label at most. Samples up to so many bytes are
+#: fitted at the driver, where an epoch costs no job.
+SAMPLE, AT_DRIVER = 1500, 2 * BYTES
 EPOCHS, STEPS, BATCH, RATE, SEED = 8, 400, 128, 0.02, 7
 #: Windows that run through the layers together.
 BLOCK = 2048
@@ -50,6 +53,7 @@ class Text:
     chars_at: np.ndarray  # where those of each begin, and their end
     ids: np.ndarray  # distinct word at each place
     edges: np.ndarray  # places of each text
+    words: Words | None = None
 
     @classmethod
     def read(cls, data: np.ndarray, offsets: np.ndarray) -> Text:
@@ -73,6 +77,7 @@ class Text:
             np.append(shift, n),
             ids,
             words.edges,
+            words,
         )
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -258,68 +263,183 @@ class Model:
     slope: float
     shift: float
 
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        text = Text.read(data, offsets)
+    def highs(self, text: Text) -> np.ndarray:
         doc, _, _, logit = _window_logits(self.params, self.vocabulary, text)
-        high = _highest(doc, logit, len(offsets) - 1, float(self.params["bias"][0]))
-        return _sigmoid(self.slope * high + self.shift)
+        return _highest(doc, logit, len(text.edges) - 1, float(self.params["bias"][0]))
+
+    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return _sigmoid(self.slope * self.highs(Text.read(data, offsets)) + self.shift)
 
 
-def _evidence(text: Text, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The vocabulary, and how surely documents with a word have the label more often; -1 to 1."""
+def _counts(text: Text, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words of texts, and the texts of label 1 and 0 that have each."""
     doc = np.repeat(np.arange(len(label)), np.diff(text.edges))
     seen = np.unique(np.stack([doc, text.ids]), axis=1)
     n = len(text.hashes)
     up = np.bincount(seen[1][label[seen[0]] == 1], minlength=n)
-    down = np.bincount(seen[1][label[seen[0]] == 0], minlength=n)
+    return text.hashes, up, np.bincount(seen[1][label[seen[0]] == 0], minlength=n)
+
+
+def _evidence(hashes: np.ndarray, up: np.ndarray, down: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vocabulary, and how surely documents with a word have the label more often; -1 to 1. Words come sorted by hash."""
     rate = np.log((up + 0.5) / (label.sum() + 1)) - np.log((down + 0.5) / ((label == 0).sum() + 1))
     sure = rate / np.sqrt(1 / (up + 0.5) + 1 / (down + 0.5))
     enough = np.flatnonzero(up + down >= LEAST_DOCS)
     chosen = np.sort(enough[np.argsort(-np.abs(sure[enough]), kind="stable")[:VOCABULARY]])
-    # words come sorted by hash
-    return text.hashes[chosen], np.tanh(sure[chosen] / 3).astype(np.float32)
+    return hashes[chosen], np.tanh(sure[chosen] / 3).astype(np.float32)
+
+
+def _picked(model: Model, text: Text, draw: np.ndarray, fresh: bool) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+    """The texts that have windows, and for each its highest window and the one that `draw` (0 to 1) hits.
+
+    A window is its words with spaces between. A fresh model has evidence only, which is added up.
+    """
+    if fresh:
+        doc, first, size = text.windows()
+        signs = np.maximum(model.params["word"][_rows(model.vocabulary, text.hashes), 0], 0)
+        total = np.concatenate(([0], np.cumsum(signs[text.ids], dtype=np.float64)))
+        logit = total[first + size] - total[first]
+    else:
+        doc, first, size, logit = _window_logits(model.params, model.vocabulary, text)
+    many = np.bincount(doc, minlength=len(text.edges) - 1)
+    begin = np.cumsum(many) - many
+    order = np.lexsort((-logit, doc))
+    has = np.flatnonzero(many)
+    words, data = text.words, memoryview(text.words.data)
+
+    def said(window: int) -> bytes:
+        own = slice(first[window], first[window] + size[window])
+        return b" ".join(data[a:b] for a, b in zip(words.starts[own].tolist(), words.ends[own].tolist(), strict=True))
+
+    other = begin[has] + (draw[has] * many[has]).astype(np.int64)
+    return has, [said(w) for w in order[begin[has]]], [said(w) for w in other]
+
+
+class _Here:
+    """Sample texts at hand, read once."""
+
+    def __init__(self, samples: list[str], label: np.ndarray):
+        self.label, self.parts = label, []
+        batch = pa.RecordBatch.from_arrays([pa.array(samples, pa.large_string())], ["text"])
+        at = 0
+        for part in slices(batch, "text"):
+            self.parts.append((slice(at, at + part.num_rows), Text.read(*texts(part.column("text")))))
+            at += part.num_rows
+
+    def evidence(self) -> tuple[np.ndarray, np.ndarray]:
+        found = [_counts(text, self.label[own]) for own, text in self.parts]
+        hashes, at = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
+        up, down = (np.bincount(at, np.concatenate([x[i] for x in found]), len(hashes)) for i in (1, 2))
+        return _evidence(hashes, up, down, self.label)
+
+    def picked(self, model: Model, draw: np.ndarray, fresh: bool) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+        found = [_picked(model, text, draw[own], fresh) for own, text in self.parts]
+        has = np.concatenate([x[0] + own.start for x, (own, _) in zip(found, self.parts, strict=True)])
+        return has, [w for x in found for w in x[1]], [w for x in found for w in x[2]]
+
+    def highs(self, model: Model) -> np.ndarray:
+        return np.concatenate([model.highs(text) for _, text in self.parts])
+
+
+class _Spread:
+    """Sample texts (doc_id, label, text) in a table that the executors read."""
+
+    def __init__(self, sample: DataFrame):
+        rows = ordered(sample.select("doc_id", "label")).collect()
+        ids, self.label = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+        self.sample, self.order = sample, np.argsort(ids)
+        self.ids = ids[self.order]
+
+    def _each(self, found, fields: list[StructField]) -> list:
+        """Rows of what `found` has for places in the sample and their text."""
+        ids, order = self.ids, self.order
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    place = order[np.searchsorted(ids, part.column("doc_id").to_numpy())]
+                    columns = found(place, Text.read(*texts(part.column("text"))))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [f.name for f in fields])
+
+        return self.sample.mapInArrow(rows, StructType(fields))
+
+    def evidence(self) -> tuple[np.ndarray, np.ndarray]:
+        label = self.label
+
+        def found(place: np.ndarray, text: Text):
+            hashes, up, down = _counts(text, label[place])
+            return hashes.view(np.int64), up.astype(np.int64), down.astype(np.int64)
+
+        words = self._each(found, [StructField(x, LongType()) for x in ("hash", "up", "down")])
+        words = words.groupBy("hash").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where(F.col("up") + F.col("down") >= LEAST_DOCS)
+        up, down = F.col("up") + 0.5, F.col("down") + 0.5
+        rate = F.log(up / float(label.sum() + 1)) - F.log(down / float((label == 0).sum() + 1))
+        strongest = words.orderBy(F.abs(rate / F.sqrt(1 / up + 1 / down)).desc(), F.col("hash").bitwiseXOR(F.lit(-(2**63)))).limit(VOCABULARY)
+        table = np.array([tuple(r) for r in strongest.collect()], np.int64).reshape(-1, 3)
+        hashes = table[:, 0].astype(np.int64).view(np.uint64) if len(table) else np.zeros(0, np.uint64)
+        table = table[np.argsort(hashes)]
+        return _evidence(np.sort(hashes), table[:, 1], table[:, 2], label)
+
+    def picked(self, model: Model, draw: np.ndarray, fresh: bool) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+        label = self.label
+
+        def found(place: np.ndarray, text: Text):
+            has, top, other = _picked(model, text, draw[place], fresh)
+            # of texts with the label only the highest window is learned
+            other = [None if label[x] else w for x, w in zip(place[has], other, strict=True)]
+            return place[has], pa.array(top, pa.binary()), pa.array(other, pa.binary())
+
+        fields = [StructField("place", LongType()), StructField("top", BinaryType()), StructField("other", BinaryType())]
+        rows = sorted(self._each(found, fields).collect(), key=lambda r: r["place"])
+        return np.array([r["place"] for r in rows], np.int64), [bytes(r["top"]) for r in rows], [r["other"] for r in rows]
+
+    def highs(self, model: Model) -> np.ndarray:
+        fields = [StructField("place", LongType()), StructField("high", DoubleType())]
+        out = np.empty(len(self.label))
+        for r in self._each(lambda place, text: (place, model.highs(text)), fields).collect():
+            out[r["place"]] = r["high"]
+        return out
+
+
+def _alike(label: np.ndarray) -> Model:
+    share = (label.sum() + 0.5) / (len(label) + 1)
+    none = np.zeros(0, np.uint64)
+    return Model(_start(np.random.default_rng(SEED), none, none), none, 0.0, float(np.log(share / (1 - share))))
 
 
 def fit(samples: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
-    """A network fitted on texts with labels 0 and 1. With one label only, or none, all score alike."""
+    """A network fitted on whole texts with labels 0 and 1. With one label only, or none, all score alike."""
     label = np.array(labels, np.int64)
+    return _alike(label) if not len(label) else _fitted(_Here(samples, label), epochs)
+
+
+def _fitted(sample: _Here | _Spread, epochs: int) -> Model:
+    label = sample.label
+    if not len(label) or label.min() == label.max():
+        return _alike(label)
     rng = np.random.default_rng(SEED)
-    cut = [" ".join(x.split()[:SAMPLE_WORDS]) for x in samples]
-    text = Text.read(*texts(pa.array(cut, pa.string())))
-    if len(label) == 0 or label.min() == label.max() or not len(text.ids):
-        share = (label.sum() + 0.5) / (len(label) + 1)
-        none = np.zeros(0, np.uint64)
-        return Model(_start(rng, none, none), none, 0.0, float(np.log(share / (1 - share))))
-    vocabulary, evidence = _evidence(text, label)
+    vocabulary, evidence = sample.evidence()
     p = _start(rng, vocabulary, evidence)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
-    doc, first, size = text.windows()
-    begin = np.searchsorted(doc, np.arange(len(label)))
-    many = np.bincount(doc, minlength=len(label))
     weight = {v: len(label) / (2 * (label == v).sum()) for v in (0, 1)}
     step = 0
     epochs = max(epochs, -(-STEPS * BATCH // (len(label) + int((label == 0).sum()))))
     for epoch in range(epochs):
-        if epoch:
-            logit = _window_logits(p, vocabulary, text)[3]
-        else:
-            signs = np.maximum(p["word"][_rows(vocabulary, text.hashes), 0], 0)
-            total = np.concatenate(([0], np.cumsum(signs[text.ids], dtype=np.float64)))
-            logit = total[first + size] - total[first]
-        order = np.lexsort((-logit, doc))
-        has = np.flatnonzero(many)
-        top = order[begin[has]]
-        other = begin[has] + (rng.random(len(has)) * many[has]).astype(np.int64)
-        chosen = np.concatenate([top, other[label[has] == 0]])
-        rng.shuffle(chosen)
+        has, top, other = sample.picked(Model(p, vocabulary, 1.0, 0.0), rng.random(len(label)), not epoch)
+        if not len(has):
+            return _alike(label)
+        windows = top + [w for w, x in zip(other, label[has], strict=True) if x == 0]
+        truth = np.concatenate([label[has], np.zeros(len(windows) - len(has), np.int64)])
+        text = Text.read(*texts(pa.array(windows, pa.large_binary()).cast(pa.large_string())))
+        first, size = text.edges[:-1], np.diff(text.edges)
+        chosen = rng.permutation(len(windows))
         rate = RATE * (1 - epoch / epochs) + RATE / 20
         for a in range(0, len(chosen), BATCH):
             own = chosen[a : a + BATCH]
             ids, there = _places(text, first[own], size[own])
             part, places = _part(text, ids)
-            truth = label[doc[own]]
-            cost = np.where(truth == 1, weight[1], weight[0] / 2) / len(own)
-            g = _gradients(p, vocabulary, part, _word_inputs(p, vocabulary, part), places, there, truth, cost)
+            cost = np.where(truth[own] == 1, weight[1], weight[0] / 2) / len(own)
+            g = _gradients(p, vocabulary, part, _word_inputs(p, vocabulary, part), places, there, truth[own], cost)
             norm = np.sqrt(sum(float((v**2).sum()) for v in g.values()))
             step += 1
             for k, v in g.items():
@@ -328,9 +448,7 @@ def fit(samples: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
                 m[0] = 0.9 * m[0] + 0.1 * v
                 m[1] = 0.99 * m[1] + 0.01 * v * v
                 p[k] = (p[k] - rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    doc, _, _, logit = _window_logits(p, vocabulary, text)
-    high = _highest(doc, logit, len(label), float(p["bias"][0]))
-    slope, shift = _line(high, label)
+    slope, shift = _line(sample.highs(Model(p, vocabulary, 1.0, 0.0)), label)
     return Model(p, vocabulary, slope, shift)
 
 
@@ -351,10 +469,16 @@ def _line(x: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(slope), float(a[1] - slope * centre)
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
-    """A network from the labelled documents that are not held out, `most` of each label at most."""
-    open_labels = labels.where(~held_out())
-    return fit(*labelled_texts(docs, open_labels, "toxic", most))
+def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, at_driver: int = AT_DRIVER) -> Model:
+    """A network from the whole labelled documents that are not held out, `most` of each label at most."""
+    sample = labelled(docs, labels.where(~held_out()), "toxic", most)
+    if sample is None:
+        return fit([], [])
+    sample = materialise(sample.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism, "doc_id"))
+    if (sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > at_driver:
+        return _fitted(_Spread(sample), EPOCHS)
+    rows = ordered(sample).collect()
+    return fit([r["text"] for r in rows], [r["label"] for r in rows])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -333,6 +333,26 @@ def test_toxicity_learns_words_in_windows():
     assert low < 0.5 < high
 
 
+def test_toxicity_learns_from_the_end_of_long_texts(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(toxicity, "STEPS", 20)
+    rng = np.random.default_rng(8)
+    common = [f"word{i}" for i in range(300)]
+    text = lambda n, bad: " ".join([*rng.choice(common, n), *["nasty vile foul"] * (20 * bad)])
+    rows = [(i, text(1600, i % 2), i % 2) for i in range(50)]
+    docs = table(spark, [r[:2] for r in rows], "doc_id bigint, text string")
+    labels = table(spark, [(r[0], r[2]) for r in rows], "doc_id bigint, toxic int")
+    truth = np.arange(40) % 2
+    unseen = texts(pa.array([text(1600, x) for x in truth]))
+    models = [toxicity.train(docs, labels, at_driver=n) for n in (0, 1 << 30)]
+    for model in models:
+        assert ((model.scores(*unseen) >= 0.5) == truth).all()
+    # windows chosen on executors are those chosen at the driver
+    assert (models[0].vocabulary == models[1].vocabulary).all()
+    assert np.allclose(models[0].scores(*unseen), models[1].scores(*unseen), atol=0.05)
+
+
 def test_toxicity_gradients():
     import pyarrow as pa
 
