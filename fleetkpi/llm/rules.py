@@ -3,8 +3,10 @@
 Four rates describe a text: symbols by character, repeated lines by line, repeated words by word,
 and characters by word. Their distribution in a language and source is kept as a quantile sketch, a
 histogram on a fixed grid whose counts add up: sketches of sources merge to that of the language and
-those to the one of all, and a group with few documents uses the merged one. A document goes when a
-rate lies far outside the quartiles of its group.
+those to the one of all, and a group with few documents uses the merged one. Most texts have no
+symbols and repeat nothing, so these rates are held against the highest tenth of the group: a document
+goes when it lies beyond by far more than that tenth lies beyond the third quartile. The length of
+words is held against both quartiles in the same way.
 """
 
 from __future__ import annotations
@@ -21,14 +23,17 @@ from ..storage import materialise
 from .words import _SPACE, Words, joined_hashes, mix, slices, texts
 
 MIN_WORDS, MAX_REPEATED = 50, 50
-#: Documents that a group needs for a sketch of its own.
-ENOUGH = 100
-#: How far beyond a quartile a limit lies, in distances between the quartiles.
+#: Documents that a group needs for quartiles of its own, and for a highest tenth.
+ENOUGH, ENOUGH_HIGH = 100, 1000
+#: How far beyond a quantile a limit lies, in distances to the next lower one.
 FAR = 3
-#: Rates in whole parts (a thousandth; for the length of words a tenth): the smallest distance that
-#: counts as one between quartiles, and whether low values are out as well. The last cell of the grid
-#: is open to the top.
-RATES = {"symbols": (30, False), "dup_lines": (100, False), "repeats": (100, False), "length": (10, True)}
+#: What is counted, by what, and parts of one in a cell of the grid. The last cell is open to the top.
+RATES = {
+    "symbols": ("n_symbols", "word_chars", 1000),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000),
+    "repeats": ("n_repeat_words", "n_words", 1000),
+    "length": ("word_chars", "n_words", 10),
+}
 CELLS = 2000
 
 _SYMBOL = np.zeros(256, bool)
@@ -96,12 +101,13 @@ def base_failed() -> Column:
 
 def _cells() -> dict[str, Column]:
     part = lambda a, b, of: F.least(F.floor(F.lit(of) * F.col(a) / F.greatest(F.col(b), F.lit(1))), F.lit(CELLS)).cast("int")
-    return {
-        "symbols": part("n_symbols", "word_chars", 1000),
-        "dup_lines": part("n_dup_lines", "n_lines", 1000),
-        "repeats": part("n_repeat_words", "n_words", 1000),
-        "length": part("word_chars", "n_words", 10),
-    }
+    return {name: part(*by) for name, by in RATES.items()}
+
+
+def noise(name: str) -> Column:
+    """Cells that a document's rate is uncertain by: the root of its count, of one at least."""
+    a, b, of = RATES[name]
+    return F.lit(of) * F.sqrt(F.greatest(F.col(a), F.lit(1))) / F.greatest(F.col(b), F.lit(1))
 
 
 def sketches(rates: DataFrame) -> DataFrame:
@@ -116,32 +122,34 @@ def sketches(rates: DataFrame) -> DataFrame:
 
 
 def quartiles(sketch: DataFrame, *by: str) -> DataFrame:
-    """First and third quartile of each rate of each group, and its documents; a group has CELLS + 1 rows at most."""
+    """Quartiles and the edge of the highest tenth of each rate of each group, and its documents; a group has CELLS + 1 rows at most."""
     merged = sketch.groupBy(*by, "rate", "cell").agg(F.sum("n").alias("n"))
     whole = Window.partitionBy(*by, "rate")
     up = whole.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     ranked = merged.select("*", F.sum("n").over(up).alias("upto"), F.sum("n").over(whole).alias("docs"))
-    at = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("docs"), F.col("cell")))
-    return ranked.groupBy(*by, "rate").agg(at(1).alias("q1"), at(3).alias("q3"), F.max("docs").alias("docs"))
+    at = lambda q: F.min(F.when(20 * F.col("upto") >= q * F.col("docs"), F.col("cell")))
+    return ranked.groupBy(*by, "rate").agg(at(5).alias("q1"), at(15).alias("q3"), at(18).alias("high"), F.max("docs").alias("docs"))
 
 
 def limits(sketch: DataFrame) -> DataFrame:
-    """For each lang and source a row with the limits of all rates."""
+    """For each lang and source a row with `low`, `high` and `step` of all rates: the quantiles, and their distance."""
     own = quartiles(sketch, "lang", "source")
+    parts = ("q1", "q3", "high")
     # merged sketches are small: one row a rate for a language, one for all
-    lang = quartiles(sketch, "lang").select(F.col("lang").alias("lang_l"), F.col("rate").alias("rate_l"), *(F.col(c).alias(c + "_l") for c in ("q1", "q3", "docs")))
-    total = quartiles(sketch).select(F.col("rate").alias("rate_t"), *(F.col(c).alias(c + "_t") for c in ("q1", "q3")))
+    lang = quartiles(sketch, "lang").select(F.col("lang").alias("lang_l"), F.col("rate").alias("rate_l"), *(F.col(c).alias(c + "_l") for c in (*parts, "docs")))
+    total = quartiles(sketch).select(F.col("rate").alias("rate_t"), *(F.col(c).alias(c + "_t") for c in parts))
     joined = own.join(lang, F.col("lang").eqNullSafe(F.col("lang_l")) & (F.col("rate") == F.col("rate_l"))).join(
         total, F.col("rate") == F.col("rate_t")
     )
-    pick = lambda c: F.when(F.col("docs") >= ENOUGH, F.col(c)).when(F.col("docs_l") >= ENOUGH, F.col(c + "_l")).otherwise(F.col(c + "_t"))
-    chosen = joined.select("lang", "source", "rate", pick("q1").alias("q1"), pick("q3").alias("q3"))
+    enough = F.when(F.col("rate") == "length", ENOUGH).otherwise(ENOUGH_HIGH)
+    pick = lambda c: F.when(F.col("docs") >= enough, F.col(c)).when(F.col("docs_l") >= enough, F.col(c + "_l")).otherwise(F.col(c + "_t"))
+    chosen = joined.select("lang", "source", "rate", *(pick(c).alias(c) for c in parts))
     one = lambda name, c: F.max(F.when(F.col("rate") == name, F.col(c)))
     out = []
-    for name, (least, both) in RATES.items():
-        wide = FAR * F.greatest(one(name, "q3") - one(name, "q1"), F.lit(least))
-        out.append((one(name, "q3") + wide).alias(f"high_{name}"))
-        out.append((one(name, "q1") - wide if both else F.lit(-1)).alias(f"low_{name}"))
+    for name in RATES:
+        low, high = ("q1", "q3") if name == "length" else ("q3", "high")
+        out += [one(name, low).alias(f"low_{name}"), one(name, high).alias(f"high_{name}")]
+        out.append((one(name, high) - one(name, low)).alias(f"step_{name}"))
     return chosen.groupBy("lang", "source").agg(*out)
 
 
@@ -160,6 +168,9 @@ def judge(docs: DataFrame) -> DataFrame:
     )
     fine = F.lit(True)
     for name in RATES:
-        fine = fine & F.col(f"cell_{name}").between(F.col(f"low_{name}"), F.col(f"high_{name}"))
+        cell, far = F.col(f"cell_{name}"), FAR * F.greatest(F.col(f"step_{name}"), noise(name))
+        fine = fine & (cell <= F.col(f"high_{name}") + far)
+        if name == "length":
+            fine = fine & (cell >= F.col(f"low_{name}") - far)
     kept = F.when(F.col("base_failed"), False).otherwise(F.coalesce(fine, F.lit(False)))
     return joined.select("doc_id", *COUNTS, "base_failed", kept.alias("kept"))
