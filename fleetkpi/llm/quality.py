@@ -15,15 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
-from .samples import labelled_texts
+from .samples import labelled, ordered
 from .words import Words, slices, texts
 
 LOG_BUCKETS = 16
 REPEATED = (1 << LOG_BUCKETS) - 1
-#: The weights are fitted on so many documents of each grade at most, and so many bytes of each.
-SAMPLE, SAMPLE_BYTES = 1500, 20_000
+#: The weights are fitted on so many documents of each grade at most.
+SAMPLE = 1500
 STEPS, RATE, RIDGE = 200, 0.5, 1e-4
 #: Documents whose tail probability is below this are rejected.
 LEAST = 0.5
@@ -76,24 +76,34 @@ class Model:
         return _sigmoid(self.values(data, offsets)[:, None] - self.thresholds[None, :])
 
 
+def _shares(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of the trigrams of each whole text, and the share of each bucket."""
+    codes, lengths = _trigrams(data, offsets)
+    found = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        count = np.bincount(codes[a:b], minlength=1 << LOG_BUCKETS)
+        own = np.flatnonzero(count)
+        found.append((own.astype(np.uint16), (count[own] / max(1, b - a)).astype(np.float32)))
+    return found
+
+
 def fit(samples: list[str], grades: list[int]) -> Model:
-    """Weights and thresholds from texts with grades. Without texts all chances are a half; a grade
+    """Weights and thresholds from whole texts with grades. Without texts all chances are a half; a grade
     that nobody has gets a threshold next to its neighbour's."""
+    batch = pa.RecordBatch.from_arrays([pa.array(samples, pa.large_string())], ["text"])
+    return _fitted([x for part in slices(batch, "text") for x in _shares(*texts(part.column("text")))], grades)
+
+
+def _fitted(shares: list[tuple[np.ndarray, np.ndarray]], grades: list[int]) -> Model:
     top = max([1, *grades])
     none = Model(np.zeros(1 << LOG_BUCKETS, np.float32), np.zeros(top))
-    used = [i for i, x in enumerate(samples) if x]
+    used = [i for i, (own, _) in enumerate(shares) if len(own)]
     if not used:
         return none
     grade = np.array([grades[i] for i in used], np.int64)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for start in range(0, len(used), 100):
-        cut = [samples[i].encode()[:SAMPLE_BYTES].decode(errors="ignore") for i in used[start : start + 100]]
-        codes, lengths = _trigrams(*texts(pa.array(cut, pa.string())))
-        row = np.repeat(np.arange(len(cut)), lengths)
-        cell, count = np.unique((row << LOG_BUCKETS) + codes, return_counts=True)
-        own = cell >> LOG_BUCKETS
-        found.append(((own + start).astype(np.int32), (cell & ((1 << LOG_BUCKETS) - 1)).astype(np.int32), (count / lengths[own]).astype(np.float32)))
-    row, code, share = (np.concatenate(x) for x in zip(*found, strict=True))
+    row = np.repeat(np.arange(len(used), dtype=np.int32), [len(shares[i][0]) for i in used])
+    code = np.concatenate([shares[i][0] for i in used])
+    share = np.concatenate([shares[i][1] for i in used])
     starts = np.searchsorted(row, np.arange(len(grade)))
     n = len(grade)
     # each grade weighs the same in all
@@ -131,8 +141,26 @@ def fit(samples: list[str], grades: list[int]) -> Model:
 
 
 def train(docs: DataFrame, ratings: DataFrame, grade: str = "grade", most: int = SAMPLE) -> Model:
-    """A model from ratings (doc_id, grade) of documents, `most` of each grade at most."""
-    return fit(*labelled_texts(docs, ratings, grade, most))
+    """A model from ratings (doc_id, grade) of documents, `most` of each grade at most.
+
+    Whole texts are counted on the executors; of each its buckets come to the driver, 65,536 at most.
+    """
+    sample = labelled(docs, ratings, grade, most)
+    if sample is None:
+        return fit([], [])
+    fields = [StructField("doc_id", LongType()), StructField("label", LongType()), StructField("codes", BinaryType()), StructField("shares", BinaryType())]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = _shares(*texts(part.column("text")))
+                columns = [pa.array([x[i].tobytes() for x in found], pa.binary()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), *columns], [f.name for f in fields])
+
+    sample = sample.select("doc_id", F.col("label").cast("bigint").alias("label"), "text")
+    counted = ordered(sample.mapInArrow(rows, StructType(fields))).collect()
+    shares = [(np.frombuffer(r["codes"], np.uint16), np.frombuffer(r["shares"], np.float32)) for r in counted]
+    return _fitted(shares, [r["label"] for r in counted])
 
 
 def graded(labels: DataFrame) -> DataFrame:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Distinct labels at most; more are an error.
+MOST_LABELS = 64
+
+
 def held_out() -> Column:
     """Rows kept from training: crc32 of the doc_id as text, divided by 5, leaves no rest."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -24,7 +28,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataF
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     own = own.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
-    values = sorted(r["label"] for r in own.select("label").distinct().limit(64).collect())
+    values = sorted(r["label"] for r in own.select("label").distinct().limit(MOST_LABELS + 1).collect())
+    if len(values) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} distinct values of {label}")
     chosen = None
     for value in values:
         part = ordered(own.where(F.col("label") == value)).limit(most)

@@ -303,6 +303,19 @@ def test_quality_held_out(spark):
     assert np.mean(right) > 0.9 and np.mean([r.tail >= 0.5 for r in rows if r.quality == 1]) > 0.97
 
 
+def test_quality_learns_from_whole_texts(spark):
+    import pyarrow as pa
+
+    clean = "good fine text here " * 1100
+    rows = [(i, clean + f"{i} " + "##! $$% " * (3000 * (i % 2)), 1 - i % 2) for i in range(40)]
+    docs = table(spark, [r[:2] for r in rows], "doc_id bigint, text string")
+    model = quality.train(docs, table(spark, [(r[0], r[2]) for r in rows], "doc_id bigint, grade int"))
+    junk, good = model.tails(*texts(pa.array(["##! $$% " * 50, clean])))[:, 0]
+    assert junk < 0.1 and good > 0.7
+    with pytest.raises(ValueError):
+        quality.train(docs, table(spark, [(i, i) for i in range(65)], "doc_id bigint, grade int"))
+
+
 def test_quality_odd_input(odd, empty):
     model = quality.fit(["a b", "# #"], [1, 0])
     rows = quality.score(odd, model).collect()
