@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embed_join, mixing, ngram_join, quality, rules, token_files, toxicity, warc
+from . import block_names, bpe, chat, embed_join, hard_negatives, mixing, ngram_join, quality, rules, token_files, toxicity, warc, whitening
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -199,6 +199,55 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pages_as_warc(_table(spark, sf_dir, "pages")).drop("record_id")
 
 
+@_query(
+    """
+with t as (
+  select doc_id, coalesce(text, '') as text from documents
+)
+select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size, doc_id = max(doc_id) over same as kept, sha256(text) as text_sha256
+from t window same as (partition by text)
+"""
+)
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact duplicates of all documents, the largest doc_id of each group stays."""
+    return block_names.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query(
+    """
+with r as (
+  select vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::bigint as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select a.vec_id as a, r.vec_id as b, a.label = r.label as same, list_inner_product(a.v, r.v)::bigint as s
+  from r a join r on a.vec_id % 100 = 0 and a.vec_id <> r.vec_id and len(a.v) = len(r.v)
+), positives as (
+  select a, b, s from scored where same qualify row_number() over (partition by a order by s desc, b) <= 5
+), negatives as (
+  select p.a, p.b as p, p.s as ps, n.b as n, n.s as ns, row_number() over (partition by p.a, p.b order by n.s desc, n.b) as rank
+  from positives p join scored n on n.a = p.a and not n.same and 80 * p.s <= 100 * n.s and 100 * n.s <= 100 * p.s
+)
+select a as anchor_id, p as positive_id, rank::integer as rank, n as negative_id, ps as positive_score, ns as negative_score
+from negatives where rank <= 5
+"""
+)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding among all."""
+    vec_id, label = F.col("vec_id"), F.col("label").cast("bigint")
+    table = _table(spark, sf_dir, "embeddings").withColumn("label", F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.hard_negatives(table, vec_id % 100 == 0)
+
+
+@_query()
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the eight largest components of their covariance, whitened."""
+    found = whitening.whitened(_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 @_query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over all documents."""
