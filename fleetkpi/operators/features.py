@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.clock import DAY_US, elapsed_days, elapsed_hours, instant, micros
 from ..schema import DEFAULT_REPAIR_HOURS, DEFAULT_TYPE, TYPE_FACTORS
+from .selection import global_medians, machine_aggregates
 from .sliding import DDL, trailing_statistics
 from .timeline import (
     NO_CUTS,
@@ -290,14 +291,7 @@ def site_means(timeline: DataFrame) -> DataFrame:
 
     The medians are taken before range validation, over all machines.
     """
-    hours = _recorded_hours(timeline)
-    half = F.lit(0.5)
-    values = F.create_map(F.lit("_t"), F.col("tbf_dias").cast("double"), F.lit("_m"), hours.cast("double"))
-    # counted by single value first, so that the last task sees the values of each, not pairs or visits
-    counts = timeline.select(F.explode(values).alias("_kind", "_v")).groupBy("_kind", "_v").agg(F.count("*").alias("_n"))
-    medians = counts.agg(
-        *[F.percentile(F.when(F.col("_kind") == k, F.col("_v")), half, F.col("_n")).alias(k) for k in ("_t", "_m")]
-    )
+    medians = global_medians(timeline, {"_t": F.col("tbf_dias"), "_m": _recorded_hours(timeline)})
     enough = F.col("n_visitas") >= 3
     return (
         timeline.crossJoin(F.broadcast(medians))  # one row
@@ -406,7 +400,7 @@ def last_rows(df: DataFrame, n: int, key: str = "codigo") -> DataFrame:
     return df.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).drop("_r")
 
 
-def recent_versus_usual(timeline: DataFrame, n: int = 3) -> DataFrame:
+def recent_versus_usual(timeline: DataFrame, n: int = 3, cuts: Cuts = NO_CUTS) -> DataFrame:
     """Median TBF of the last n visits beside the machine's own."""
     recent = last_rows(timeline.select("codigo", "fecha_in", "visit_id", "tbf_dias"), n)
     half = F.lit(0.5)
@@ -414,7 +408,7 @@ def recent_versus_usual(timeline: DataFrame, n: int = 3) -> DataFrame:
         recent.groupBy("codigo")
         .agg(F.percentile("tbf_dias", half).alias("tbf_reciente"))
         .join(
-            timeline.groupBy("codigo").agg(F.percentile("tbf_dias", half).alias("tbf_historico")),
+            machine_aggregates(timeline, [], {"tbf_historico": F.col("tbf_dias")}, cuts),
             "codigo",
         )
     )

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import elapsed_days
 from ..storage import materialise
+from .selection import global_medians, machine_aggregates
+from .timeline import NO_CUTS, Cuts
 
 _COLUMNS = (
     "codigo",
@@ -25,31 +27,33 @@ _COLUMNS = (
 )
 
 
-def machine_stats(timeline: DataFrame) -> DataFrame:
+def machine_stats(timeline: DataFrame, cuts: Cuts = NO_CUTS) -> DataFrame:
     """Counts, means and medians of every machine, overall and in the 30 days up to its last visit.
 
-    ``percentile`` and ``collect_set`` keep distinct values only (days, hours and systems), and
-    they combine before the shuffle.
+    Medians of machines that are cut are selected, the others keep their distinct values; all
+    aggregates combine before the shuffle.
     """
     recent = F.col("fecha_in") >= F.col("ultima_in") - F.expr("interval 30 days")
-    half = F.lit(0.5)
 
     def lately(name: str) -> Column:
         return F.when(recent, F.col(name))
 
     last = F.struct("fecha_in", "clase", "tbf_med_3")
-    stats = timeline.groupBy("codigo").agg(
+    plain = [
         F.count("*").alias("n"),
         F.count_if(recent).alias("n_30d"),
         elapsed_days(F.max("fecha_in"), F.min("fecha_in")).alias("dias_activos"),
         F.avg("tbf_dias").alias("tbf_media"),
-        F.percentile("tbf_dias", half).alias("tbf_mediana"),
         F.avg("ciclo_horas").alias("horas_media"),
-        F.percentile("ciclo_horas", half).alias("horas_mediana"),
-        F.percentile(lately("ciclo_horas"), half).alias("horas_mediana_30d"),
         F.size(F.collect_set(lately("sistema_afectado"))).alias("sistemas_30d"),
         F.max_by(last, F.struct("fecha_in", "visit_id")).alias("_last"),
-    )
+    ]
+    medians = {
+        "tbf_mediana": F.col("tbf_dias"),
+        "horas_mediana": F.col("ciclo_horas"),
+        "horas_mediana_30d": lately("ciclo_horas"),
+    }
+    stats = machine_aggregates(timeline, plain, medians, cuts)
     return stats.select(
         *[c for c in stats.columns if c != "_last"],
         F.col("_last.fecha_in").alias("ultima_in"),
@@ -58,22 +62,13 @@ def machine_stats(timeline: DataFrame) -> DataFrame:
     )
 
 
-def median(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Exact median of a whole column as one row, from its value counts.
-
-    Counting first spreads the values over the cluster, so the last task sees distinct values.
-    """
-    counts = df.groupBy(column).agg(F.count("*").alias("_n"))
-    return counts.agg(F.percentile(F.col(column), F.lit(0.5), F.col("_n")).alias(name))
-
-
 def fleet_stats(timeline: DataFrame) -> DataFrame:
     """One row: median TBF and mean repair hours over all visits."""
     hours = timeline.agg(F.avg("ciclo_horas").alias("flota_horas"))
-    return median(timeline, "tbf_dias", "flota_tbf").crossJoin(F.broadcast(hours))
+    return global_medians(timeline, {"flota_tbf": F.col("tbf_dias")}).crossJoin(F.broadcast(hours))
 
 
-def shared_stats(timeline: DataFrame) -> tuple[DataFrame, DataFrame]:
+def shared_stats(timeline: DataFrame, cuts: Cuts = NO_CUTS) -> tuple[DataFrame, DataFrame]:
     """Machine and fleet statistics, computed once for several indicators."""
     rows = materialise(timeline.select(*_COLUMNS))
-    return materialise(machine_stats(rows)), fleet_stats(rows)
+    return materialise(machine_stats(rows, cuts)), fleet_stats(rows)

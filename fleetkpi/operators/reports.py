@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import month_text
+from .selection import machine_aggregates
+from .timeline import NO_CUTS, Cuts
 
 _WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
@@ -15,21 +17,20 @@ def _most_common(column: str) -> Column:
     return F.expr(f"mode() within group (order by {column})")
 
 
-def machine_summary(df: DataFrame, hours: str = "mttr_horas") -> DataFrame:
+def machine_summary(df: DataFrame, hours: str = "mttr_horas", cuts: Cuts = NO_CUTS) -> DataFrame:
     """Visits, medians, last visit and most common system and attention per machine.
 
-    ``percentile`` and ``mode`` keep a value-to-count map per machine, combined before the
-    shuffle, so a busy machine costs its distinct values, not its rows.
+    ``mode`` keeps a map of systems per machine, combined before the shuffle; so do the medians of
+    machines that are not cut, and those of the others are selected.
     """
-    half = F.lit(0.5)
-    return df.groupBy("codigo").agg(
+    plain = [
         F.count("*").alias("total_ingresos"),
-        F.percentile("tbf_dias", half).alias("tbf_promedio"),
-        F.percentile(hours, half).alias("mttr_promedio"),
         F.max("fecha_in").alias("ultimo_ingreso"),
         F.coalesce(_most_common("sistema_afectado"), F.lit("N/A")).alias("sistema_principal"),
         F.coalesce(_most_common("tipo_atencion"), F.lit("N/A")).alias("tipo_atencion_principal"),
-    )
+    ]
+    medians = {"tbf_promedio": F.col("tbf_dias"), "mttr_promedio": F.col(hours)}
+    return machine_aggregates(df, plain, medians, cuts)
 
 
 def top_counts(df: DataFrame, key: str, k: int, share: bool = False) -> DataFrame:

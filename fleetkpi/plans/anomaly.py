@@ -119,8 +119,11 @@ def latest_scores(machines: DataFrame, scored: DataFrame) -> DataFrame:
     )
 
 
-def rule_score(stats: DataFrame) -> DataFrame:
-    """Points for busy, short-lived, scattered and slow recent visits."""
+def rule_points(stats: DataFrame) -> DataFrame:
+    """Points for busy, short-lived, scattered and slow recent visits.
+
+    Adds ``ingresos_promedio`` and the sum of the points as ``_score``.
+    """
     usual = F.col("n") / F.greatest(F.lit(1.0), F.col("dias_activos") / 30)
 
     def points(test: Column, value: float) -> Column:
@@ -132,18 +135,19 @@ def rule_score(stats: DataFrame) -> DataFrame:
         + points(F.col("sistemas_30d") > 2, 0.2)
         + points(F.col("horas_mediana_30d") > F.col("horas_mediana") * 1.5, 0.1)
     )
-    return (
-        stats.withColumn("ingresos_promedio", usual)
-        .withColumn("_score", total)
-        .select(
-            "codigo",
-            F.least(F.lit(1.0), F.col("_score")).alias("anomaly_score"),
-            band(F.col("_score"), "anomaly_rule").alias("banda"),
-            F.col("n_30d").alias("ingresos_recientes"),
-            "ingresos_promedio",
-            F.coalesce("tbf_ultimos_3", F.lit(0.0)).alias("tbf_reciente"),
-            F.col("sistemas_30d").alias("sistemas_recientes"),
-        )
+    return stats.withColumn("ingresos_promedio", usual).withColumn("_score", total)
+
+
+def rule_score(stats: DataFrame) -> DataFrame:
+    """The rule's score of every machine."""
+    return rule_points(stats).select(
+        "codigo",
+        F.least(F.lit(1.0), F.col("_score")).alias("anomaly_score"),
+        band(F.col("_score"), "anomaly_rule").alias("banda"),
+        F.col("n_30d").alias("ingresos_recientes"),
+        "ingresos_promedio",
+        F.coalesce("tbf_ultimos_3", F.lit(0.0)).alias("tbf_reciente"),
+        F.col("sistemas_30d").alias("sistemas_recientes"),
     )
 
 

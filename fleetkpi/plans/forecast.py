@@ -204,8 +204,11 @@ def predict(timeline: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-def rule_forecast(stats: DataFrame, fleet: DataFrame) -> DataFrame:
-    """Mean hours scaled by recent activity; the fleet's mean, or 8, where undefined."""
+def rule_rates(rows: DataFrame) -> DataFrame:
+    """Mean hours scaled by recent activity; the fleet's mean, or 8, where undefined.
+
+    Adds ``factor_actividad``, ``horas_por_dia`` and both forecasts to rows with the statistics of both.
+    """
 
     def positive(column: Column, other: Column) -> Column:
         return F.when(column > 0, column).otherwise(other)
@@ -214,19 +217,23 @@ def rule_forecast(stats: DataFrame, fleet: DataFrame) -> DataFrame:
     factor = F.least(F.lit(2.0), F.greatest(F.lit(0.1), F.col("n_30d") / F.lit(30.0) * 7))
     rate = F.col("horas_por_dia")
     return (
-        stats.crossJoin(F.broadcast(fleet))  # one row
-        .withColumn("factor_actividad", F.when(F.col("n_30d") > 0, factor).otherwise(1.0))
+        rows.withColumn("factor_actividad", F.when(F.col("n_30d") > 0, factor).otherwise(1.0))
         .withColumn("horas_por_dia", mean * F.col("factor_actividad"))
-        .select(
-            "codigo",
-            (rate * 7).alias("forecast_7d_h"),
-            (rate * 30).alias("forecast_30d_h"),
-            "horas_por_dia",
-            F.lit("SIMPLE").alias("modelo_usado"),
-            F.lit("fallback").alias("tipo_modelo"),
-            F.lit("BAJA").alias("confianza"),
-            "factor_actividad",
-        )
+        .withColumns({"forecast_7d_h": rate * 7, "forecast_30d_h": rate * 30})
+    )
+
+
+def rule_forecast(stats: DataFrame, fleet: DataFrame) -> DataFrame:
+    """The rule's usage of every machine."""
+    return rule_rates(stats.crossJoin(F.broadcast(fleet))).select(  # one row
+        "codigo",
+        "forecast_7d_h",
+        "forecast_30d_h",
+        "horas_por_dia",
+        F.lit("SIMPLE").alias("modelo_usado"),
+        F.lit("fallback").alias("tipo_modelo"),
+        F.lit("BAJA").alias("confianza"),
+        "factor_actividad",
     )
 
 

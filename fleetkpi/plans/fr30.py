@@ -46,15 +46,16 @@ FEATURES = NUMERIC + CATEGORIES
 MIN_TRAINING_ROWS = 10
 
 
-def rule_risk(stats: DataFrame) -> DataFrame:
-    """Risk from the visits in the 30 days up to the machine's last one, raised for short TBF.
-
-    ``stats`` comes from ``machine_stats``.
-    """
+def rule_risk_value() -> Column:
+    """Risk from the visits in the 30 days up to the machine's last one, raised for short TBF."""
     n = F.col("n_30d")
     base = F.when(n >= 3, 0.7).when(n == 2, 0.4).when(n == 1, 0.2).otherwise(0.1)
-    risk = F.when(F.col("tbf_media") < 15, F.least(F.lit(0.9), base * 1.5)).otherwise(base)
-    return stats.withColumn("risk_30d", risk).select(
+    return F.when(F.col("tbf_media") < 15, F.least(F.lit(0.9), base * 1.5)).otherwise(base)
+
+
+def rule_risk(stats: DataFrame) -> DataFrame:
+    """The rule's risk of every machine; ``stats`` comes from ``machine_stats``."""
+    return stats.withColumn("risk_30d", rule_risk_value()).select(
         "codigo",
         "risk_30d",
         band(F.col("risk_30d"), "fr30").alias("banda"),

@@ -11,6 +11,8 @@ from ..functions.bands import band, colours
 from ..functions.clock import month_text
 from ..functions.fmt import fixed
 from ..operators.machine_stats import shared_stats
+from ..operators.selection import machine_aggregates
+from ..operators.timeline import NO_CUTS, Cuts
 from .anomaly import rule_score
 from .forecast import rule_forecast
 from .fr30 import rule_risk
@@ -20,10 +22,10 @@ NUMBERS = ["fr30_risk", "rul50_d", "rul90_d", "forecast_7d_h", "forecast_30d_h",
 
 
 def rule_indicators(
-    timeline: DataFrame, as_of: str
+    timeline: DataFrame, as_of: str, cuts: Cuts = NO_CUTS
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Return risk, remaining life, usage and anomaly tables by the rules, in one log pass."""
-    stats, fleet = shared_stats(timeline)
+    stats, fleet = shared_stats(timeline, cuts)
     return (
         rule_risk(stats),
         rule_rul(stats, fleet, as_of),
@@ -163,8 +165,13 @@ def band_counts(kpis: DataFrame) -> DataFrame:
     )
 
 
-def executive_summary(kpis: DataFrame) -> DataFrame:
-    return kpis.agg(
+def executive_summary(kpis: DataFrame, months: DataFrame | None = None) -> DataFrame:
+    """One row: counts, means and sums of the fleet.
+
+    With ``months`` (``history.month_summary``) also the anomalies detected in its last month and the
+    four trends against the month before.
+    """
+    summary = kpis.agg(
         _with_indicator().alias("total_equipos"),
         F.count_if(F.col("fr30_risk") >= 0.5).alias("equipos_alto_riesgo"),
         F.count_if(F.col("rul90_d") < 7).alias("equipos_mantenimiento_urgente"),
@@ -173,6 +180,11 @@ def executive_summary(kpis: DataFrame) -> DataFrame:
         F.avg("rul50_d").alias("promedio_rul50"),
         F.sum("forecast_30d_h").alias("total_horas_pronosticadas_30d"),
     )
+    if months is None:
+        return summary
+    names = ("anomalias_detectadas_mes", "fr30_trend", "rul_trend", "usage_trend", "anomaly_trend")
+    last = months.agg(F.max_by(F.struct(*names), "mes").alias("_m")).select("_m.*")
+    return summary.crossJoin(F.broadcast(last))  # one row
 
 
 def band_distribution(kpis: DataFrame) -> DataFrame:
@@ -237,23 +249,17 @@ def alert_means(kpis: DataFrame) -> DataFrame:
     )
 
 
-def basic_estimate(timeline: DataFrame, year_month: str, hours: str = "mttr_horas") -> DataFrame:
+def basic_estimate(
+    timeline: DataFrame, year_month: str, hours: str = "mttr_horas", cuts: Cuts = NO_CUTS
+) -> DataFrame:
     """Plain estimates for machines with at least three visits, and their visits in a month."""
-    half = F.lit(0.5)
     start = F.lit(f"{year_month}-01").cast("date")
     in_month = (F.col("fecha_in") >= start.cast("timestamp")) & (
         F.col("fecha_in") < F.add_months(start, 1).cast("timestamp")
     )
-    stats = (
-        timeline.groupBy("codigo")
-        .agg(
-            F.count("*").alias("_n"),
-            F.percentile("tbf_dias", half).alias("_t"),
-            F.percentile(hours, half).alias("_m"),
-            F.count_if(in_month).alias("_month"),
-        )
-        .filter(F.col("_n") >= 3)
-    )
+    plain = [F.count("*").alias("_n"), F.count_if(in_month).alias("_month")]
+    medians = {"_t": F.col("tbf_dias"), "_m": F.col(hours)}
+    stats = machine_aggregates(timeline, plain, medians, cuts).filter(F.col("_n") >= 3)
     enough = F.col("_n") >= 5
     calm = F.col("anomaly_score") < 0.3
     return stats.withColumn("anomaly_score", F.least(F.lit(0.8), F.col("_month") * 0.2)).select(

@@ -180,10 +180,10 @@ def remaining_life(
     )
 
 
-def rule_rul(stats: DataFrame, fleet: DataFrame, as_of: str) -> DataFrame:
-    """Life from the machine's median TBF, the fleet's, or 30 days.
+def rule_lives(rows: DataFrame, as_of: Column | str) -> DataFrame:
+    """Life from the machine's median TBF, the fleet's, or 30 days, less its age at ``as_of``.
 
-    ``stats`` and ``fleet`` come from ``machine_stats`` and ``fleet_stats``.
+    Adds ``tbf_base``, ``edad_actual_d``, ``rul50_d`` and ``rul90_d`` to rows with the statistics of both.
     """
 
     def positive(column: Column, other: Column) -> Column:
@@ -191,14 +191,25 @@ def rule_rul(stats: DataFrame, fleet: DataFrame, as_of: str) -> DataFrame:
 
     base = positive(F.col("tbf_mediana"), positive(F.col("flota_tbf"), F.lit(30.0)))
     age = elapsed_days(instant(as_of), F.col("ultima_in"))
-    rows = stats.crossJoin(F.broadcast(fleet)).withColumns(  # one row
-        {"tbf_base": base, "edad_actual_d": age}
-    )
     floor = F.lit(1.0)
+    return rows.withColumns({"tbf_base": base, "edad_actual_d": age}).withColumns(
+        {
+            "rul50_d": F.greatest(floor, F.col("tbf_base") * 0.7 - F.col("edad_actual_d") * 0.5),
+            "rul90_d": F.greatest(floor, F.col("tbf_base") * 0.9 - F.col("edad_actual_d") * 0.3),
+        }
+    )
+
+
+def rule_rul(stats: DataFrame, fleet: DataFrame, as_of: str) -> DataFrame:
+    """The rule's life of every machine.
+
+    ``stats`` and ``fleet`` come from ``machine_stats`` and ``fleet_stats``.
+    """
+    rows = rule_lives(stats.crossJoin(F.broadcast(fleet)), as_of)  # one row
     return rows.select(
         "codigo",
-        F.greatest(floor, F.col("tbf_base") * 0.7 - F.col("edad_actual_d") * 0.5).alias("rul50_d"),
-        F.greatest(floor, F.col("tbf_base") * 0.9 - F.col("edad_actual_d") * 0.3).alias("rul90_d"),
+        "rul50_d",
+        "rul90_d",
         "edad_actual_d",
         "clase",
         F.lit("SIMPLE").alias("modelo_usado"),

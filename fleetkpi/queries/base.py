@@ -209,6 +209,37 @@ CTES = {
         coalesce(a.anomaly_score, 0e0) as anomaly_score, coalesce(a.banda, '') as anomaly_banda
       from fr30 f full join rul r using (codigo) full join forecast p using (codigo)
         full join anomaly a using (codigo)""",
+    # the rules recomputed at the end of every month, over all visits up to it
+    "hist": f"""
+      with dates as (select strftime(m, '%Y-%m') as mes, least(m + interval 1 month, timestamp '{AS_OF}') as t
+                  from (select unnest(range(date_trunc('month', timestamp '{MIN_DATE}'), timestamp '{AS_OF}', interval 1 month)) as m)),
+      h as (select mes, t, codigo, fecha_in, tbf_dias, ciclo_horas, sistema_afectado,
+              max(fecha_in) over (partition by mes, codigo) as u,
+              row_number() over (partition by mes, codigo order by fecha_in desc, visit_id desc) as rd
+            from dates join tl on fecha_in < t or t = timestamp '{AS_OF}'),
+      fl as (select mes, median(tbf_dias) as ft, avg(ciclo_horas) as fh from h group by mes),
+      s as (select mes, codigo, any_value(t) as t, count(*) as n, max(fecha_in) as u,
+              count(*) filter (fecha_in >= u - interval '30' day) as n30, avg(tbf_dias) as tm, median(tbf_dias) as tmed,
+              avg(ciclo_horas) as hm, median(ciclo_horas) as hmed,
+              median(ciclo_horas) filter (fecha_in >= u - interval '30' day) as h30, median(tbf_dias) filter (rd <= 3) as t3,
+              count(distinct sistema_afectado) filter (fecha_in >= u - interval '30' day) as s30,
+              floor((epoch_us(max(fecha_in)) - epoch_us(min(fecha_in))) / 86400000000e0) as activo
+            from h group by mes, codigo),
+      x as (select s.*, strftime(u, '%Y-%m') = s.mes as con_visita,
+              case when n30 >= 3 then 7e-1 when n30 = 2 then 4e-1 when n30 = 1 then 2e-1 else 1e-1 end as rb,
+              case when tmed > 0 then tmed when ft > 0 then ft else 30e0 end as base,
+              floor((epoch_us(t) - epoch_us(u)) / 86400000000e0) as edad,
+              (case when hm > 0 then hm when fh > 0 then fh else 8e0 end) * least(2e0, greatest(1e-1, n30 / 30e0 * 7)) as hpd,
+              (case when n30 > n / greatest(1e0, activo / 30) * 2 then 4e-1 else 0e0 end)
+              + (case when t3 < tmed * 5e-1 then 3e-1 else 0e0 end) + (case when s30 > 2 then 2e-1 else 0e0 end)
+              + (case when h30 > hmed * 15e-1 then 1e-1 else 0e0 end) as score
+            from s join fl using (mes))
+      select codigo, mes, con_visita, case when tm < 15 then least(9e-1, rb * 15e-1) else rb end as fr30_risk,
+        greatest(1e0, base * 7e-1 - edad * 5e-1) as rul50_d, greatest(1e0, base * 9e-1 - edad * 3e-1) as rul90_d,
+        hpd * 7 as forecast_7d_h, hpd * 30 as forecast_30d_h, hpd as horas_por_dia, least(1e0, score) as anomaly_score,
+        case when score >= 6e-1 then '🔴 ALTO (≥60%)' when score >= 4e-1 then '🟠 MEDIO (40-59%)' else '🟢 BAJO (<40%)' end
+          as anomaly_banda
+      from x""",
     # telemetry
     "tb": """
       select concat(case l_suppkey % 9 when 0 then 'VD' when 1 then 'CG' when 2 then 'EX'
@@ -246,6 +277,7 @@ _NEEDS = {
     "forecast": ["tl"],
     "anomaly": ["tl"],
     "kpis": ["fr30", "rul", "forecast", "anomaly"],
+    "hist": ["tl"],
     "telemetry": ["tb"],
 }
 

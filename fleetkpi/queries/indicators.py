@@ -15,11 +15,12 @@ from ..functions.explain import (
 from ..functions.fmt import fmt
 from ..operators.features import latest_per_machine
 from ..operators.machine_stats import fleet_stats, machine_stats
-from ..plans import anomaly, forecast, fr30, kpi, rul
+from ..plans import anomaly, forecast, fr30, history, kpi, rul
 from ..sources import exports
 from ..sources.adapters import AS_OF, table
-from ..storage import scratch_folder
+from ..storage import materialise, scratch_folder
 from .base import Registry, joined, r, sql, timeline, timeline_and_cuts
+from .history import MONTHS
 from .models import _FEATURES
 from .reports import telemetry
 
@@ -30,7 +31,8 @@ _RULES = ("fr30", "rul", "forecast", "anomaly")
 
 def rule_tables(spark, sf_dir):
     """The four rule-based indicator tables from one pass over the log."""
-    return kpi.rule_indicators(timeline(spark, sf_dir), AS_OF)
+    rows, cuts = timeline_and_cuts(spark, sf_dir)
+    return kpi.rule_indicators(rows, AS_OF, cuts)
 
 
 def rule_kpis(spark, sf_dir):
@@ -213,12 +215,22 @@ def band_counts(spark, sf_dir):
              count(*) filter (rul90_d < 7) as equipos_mantenimiento_urgente,
              count(*) filter (anomaly_score >= 6e-1) as equipos_con_anomalias,
              round(avg(fr30_risk), 6) as promedio_fr30, round(avg(rul50_d), 6) as promedio_rul50,
-             round(sum(forecast_30d_h), 4) as total_horas_pronosticadas_30d from kpis""",
+             round(sum(forecast_30d_h), 4) as total_horas_pronosticadas_30d,
+             (select anomalias_detectadas_mes from lastm) as anomalias_detectadas_mes,
+             (select fr30_trend from lastm) as fr30_trend, (select rul_trend from lastm) as rul_trend,
+             (select usage_trend from lastm) as usage_trend, (select anomaly_trend from lastm) as anomaly_trend
+           from kpis""",
         "kpis",
+        "hist",
+        months=MONTHS,
+        lastm="select * from months order by mes desc limit 1",
     ),
 )
 def executive_summary(spark, sf_dir):
-    rows = kpi.executive_summary(known_kpis(spark, sf_dir))
+    rows, cuts = timeline_and_cuts(spark, sf_dir)
+    rows = materialise(rows)
+    months = history.month_summary(history.indicator_history(rows, AS_OF, cuts))
+    rows = kpi.executive_summary(kpi.combine(*kpi.rule_indicators(rows, AS_OF, cuts)), months)
     return rows.withColumns(
         {
             "promedio_fr30": F.round("promedio_fr30", 6),
@@ -309,7 +321,8 @@ def indicator_means(spark, sf_dir):
     ),
 )
 def basic_estimates(spark, sf_dir):
-    out = kpi.basic_estimate(timeline(spark, sf_dir), "2001-06")
+    rows, cuts = timeline_and_cuts(spark, sf_dir)
+    out = kpi.basic_estimate(rows, "2001-06", cuts=cuts)
     numbers = ("rul50_d", "rul90_d", "forecast_7d_h", "forecast_30d_h", "anomaly_score")
     return out.withColumns({c: F.round(c, 6) for c in numbers})
 

@@ -504,7 +504,8 @@ def anomaly_latest(spark, sf_dir):
     ),
 )
 def anomaly_rules(spark, sf_dir):
-    rows = anomaly.rule_score(machine_stats(timeline(spark, sf_dir)))
+    rows, cuts = timeline_and_cuts(spark, sf_dir)
+    rows = anomaly.rule_score(machine_stats(rows, cuts))
     return rows.select(
         "codigo", r("anomaly_score"), "banda", "ingresos_recientes", r("ingresos_promedio"), "tbf_reciente",
         big("sistemas_recientes"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import clean, features, profile
 from ..operators import reports as rp
 from ..sources.adapters import AS_OF, telemetry_from_lineitem
-from .base import Registry, big, cleaned, r, raw, sql, timeline, ts
+from .base import Registry, big, cleaned, r, raw, sql, timeline, timeline_and_cuts, ts
 
 QUERIES = Registry()
 
@@ -76,7 +76,8 @@ def quality_report(spark, sf_dir):
     ),
 )
 def machine_summary(spark, sf_dir):
-    return rp.machine_summary(timeline(spark, sf_dir)).select(
+    rows, cuts = timeline_and_cuts(spark, sf_dir)
+    return rp.machine_summary(rows, cuts=cuts).select(
         "codigo", "total_ingresos", r("tbf_promedio"), r("mttr_promedio"), ts("ultimo_ingreso"),
         "sistema_principal", "tipo_atencion_principal",
     )

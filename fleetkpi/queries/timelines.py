@@ -410,7 +410,8 @@ def latest_visit(spark, sf_dir):
     ),
 )
 def recent_versus_usual(spark, sf_dir):
-    return features.recent_versus_usual(timeline(spark, sf_dir))
+    rows, cuts = timeline_and_cuts(spark, sf_dir)
+    return features.recent_versus_usual(rows, cuts=cuts)
 
 
 @QUERIES.add(
