@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.bands import band
 from ..functions.clock import elapsed_days, instant
 from ..operators.machine_stats import shared_stats
+from ..operators.timeline import NO_CUTS, Cuts
 from ..storage import materialise
 
 MIN_INTERVALS = 5
@@ -217,9 +218,9 @@ def rule_rul(stats: DataFrame, fleet: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-def life_table(timeline: DataFrame, as_of: str) -> DataFrame:
+def life_table(timeline: DataFrame, as_of: str, cuts: Cuts = NO_CUTS) -> DataFrame:
     """Weibull life where at least one model could be fitted, the rule elsewhere."""
-    stats, fleet = shared_stats(timeline)
+    stats, fleet = shared_stats(timeline, cuts)
     latest = stats.select("codigo", F.col("ultima_in").alias("fecha_in"), "clase")
     params = fit_weibull(intervals(timeline))
     columns = ["rul50_d", "rul90_d", "edad_actual_d", "clase", "modelo_usado"]

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,37 +9,31 @@ from ..functions.bands import band
 from ..functions.clock import instant
 from ..functions.fmt import exact_round, fixed
 from ..operators.forest import IsolationForest, decision, fit_forest, score_forest
+from ..operators.regression_forest import RegressionForest, fit_regression_forest, predict
 from ..storage import materialise
 
 FEATURES = ["temperatura", "vibracion", "horas_operacion", "ciclos_trabajo", "dia_anio"]
 TARGETS = {"prob_falla_30d": "fr30_pred", "rul_estimado": "rul_pred"}
+#: What tells readings apart; tables without it draw by all of their values.
+KEY = "lectura_id"
 
 
-def fit(telemetry: DataFrame, trees: int = 20, depth: int = 10, seed: int = 42) -> PipelineModel:
-    """Standardised features and a regression forest per target."""
-    stages = [
-        VectorAssembler(inputCols=FEATURES, outputCol="_raw"),
-        StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
-        *[
-            RandomForestRegressor(
-                featuresCol="features",
-                labelCol=target,
-                predictionCol=name,
-                numTrees=trees,
-                maxDepth=depth,
-                seed=seed,
-            )
-            for target, name in TARGETS.items()
-        ],
-    ]
-    return Pipeline(stages=stages).fit(telemetry)
-
-
-def score(model: PipelineModel, telemetry: DataFrame) -> DataFrame:
+def _key(telemetry: DataFrame) -> list[str]:
+    return [KEY] if KEY in telemetry.columns else [c for c in ("equipo", "fecha", *FEATURES) if c in telemetry.columns]
+
+
+def fit(telemetry: DataFrame, trees: int = 20, depth: int = 10, seed: int = 42) -> RegressionForest:
+    """A regression forest per target; both are grown in the same passes.
+
+    Trees split by order alone, so the features need no scaling.
+    """
+    return fit_regression_forest(telemetry, FEATURES, list(TARGETS), _key(telemetry), trees, depth, seed)
+
+
+def score(model: RegressionForest, telemetry: DataFrame) -> DataFrame:
     """Failure probability within 0..1 and whole days of remaining life."""
     return (
-        model.transform(telemetry)
-        .drop("_raw", "features")
+        predict(telemetry, model, list(TARGETS.values()))
         .withColumns(
             {
                 "fr30_risk": F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("fr30_pred"))),
@@ -54,7 +45,8 @@ def score(model: PipelineModel, telemetry: DataFrame) -> DataFrame:
 
 
 def fit_anomaly(telemetry: DataFrame, trees: int = 100, seed: int = 42) -> IsolationForest:
-    return fit_forest(telemetry, FEATURES, trees=trees, seed=seed)
+    """Rows are drawn by their key where they have one, so the trees do not depend on partitions."""
+    return fit_forest(telemetry, FEATURES, [KEY] if KEY in telemetry.columns else None, trees, seed=seed)
 
 
 def score_anomaly(forest: IsolationForest, telemetry: DataFrame) -> DataFrame:
@@ -107,6 +99,15 @@ def daily_risk(telemetry: DataFrame) -> DataFrame:
     )
 
 
+# fixed values: what the payload says of each indicator
+EXPLANATIONS = {
+    "fr30": "RandomForest ML - Predicción para %s",
+    "rul": "ML Regression - Vida útil para %s",
+    "anomaly": "Isolation Forest - Detección anomalías %s",
+    "forecast": "ML Time Series - Pronóstico para %s",
+}
+
+
 def _bounded(value: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
 
@@ -140,7 +141,10 @@ def project(telemetry: DataFrame, as_of: str, days: int = 30, history: int = 30)
 
 
 def month_kpis(telemetry: DataFrame, year_month: str, as_of: str) -> DataFrame:
-    """Indicator payload per machine from its mean readings of a month."""
+    """Indicator payload per machine from its mean readings of a month.
+
+    The closed form's anomaly score counts as one between -1 and 1 and is brought to 0..1.
+    """
     start = F.lit(f"{year_month}-01").cast("date")
     rows = telemetry.filter(
         (F.col("fecha") >= start.cast("timestamp"))
@@ -156,7 +160,8 @@ def month_kpis(telemetry: DataFrame, year_month: str, as_of: str) -> DataFrame:
         .groupBy("equipo")
         .agg(F.round(F.avg("riesgo") * 100, 9).alias("_week"))
     )
-    risk, anomaly, week = F.col("fr30_risk"), F.col("anomaly_score"), F.col("_week")
+    risk, week = F.col("fr30_risk"), F.col("_week")
+    anomaly = (F.col("anomaly_score") + 1) / 2
     return (
         scored.join(ahead, "equipo", "left")
         .select(
@@ -173,6 +178,7 @@ def month_kpis(telemetry: DataFrame, year_month: str, as_of: str) -> DataFrame:
             exact_round(week, 1).alias("forecast_7d"),
             exact_round(week * 4.2, 1).alias("forecast_30d"),
             F.when(week > 20, "Ascendente").otherwise("Estable").alias("trend_direction"),
+            *[F.format_string(text, F.col("equipo")).alias(f"explicacion_{kpi}") for kpi, text in EXPLANATIONS.items()],
         )
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import features
 from ..operators.forest import decision, score_forest
 from ..operators.machine_stats import fleet_stats, machine_stats, shared_stats
-from ..plans import anomaly, forecast, fr30, rul
+from ..plans import anomaly, forecast, fr30, rul, survival
 from ..plans import telemetry as tm
 from ..sources.adapters import AS_OF, TELEMETRY_AS_OF, telemetry_from_lineitem
 from ..sources.exports import load_model, save_model
@@ -135,6 +135,75 @@ def weibull_parameters(spark, sf_dir):
     return params.select("clase", r("lambda"), r("k"), "n_observaciones", r("duracion_media"))
 
 
+_CENSORED = {
+    "gaps": _GAPS,
+    "ci": f"""select clase, duration, 1 as e from gaps
+              union all select clase, duration, 0 from (select clase, cast(least(1000,
+                floor((epoch_us(timestamp '{AS_OF}') - epoch_us(fecha_in)) / 86400000000e0)) as bigint) as duration from last)
+              where duration > 0""",
+    "days": """select *, sum(d + c) over (partition by clase order by duration desc) as n
+               from (select clase, duration, sum(e) as d, count(*) - sum(e) as c from ci group by 1, 2)""",
+    "km": """select *, case when max(case when d = n then 1 else 0 end) over w = 1 then 0e0
+                 else exp(sum(case when d < n then ln(1 - d / n) end) over w) end as s,
+               sum(case when d < n then d / (n * (n - d)) end) over w as g
+             from days window w as (partition by clase order by duration)""",
+}
+
+
+@QUERIES.add(
+    "M07 M11",
+    sql(
+        """select clase, duration, cast(d as bigint) as eventos, cast(c as bigint) as abiertos, cast(n as bigint) as en_riesgo,
+             round(s, 6) as supervivencia, round(s * sqrt(coalesce(g, 0)), 6) as error from km""",
+        "last",
+        **_CENSORED,
+    ),
+)
+def survival_estimate(spark, sf_dir):
+    """Product-limit estimate of each class, with the open intervals of all machines."""
+    days = survival.life_table(survival.censored_intervals(timeline(spark, sf_dir), AS_OF))
+    return survival.product_limit(days).select(
+        "clase", "duration", "eventos", "abiertos", "en_riesgo", r("supervivencia"), r("error")
+    )
+
+
+@QUERIES.add(
+    "M08 M11",
+    sql(
+        """select clase, round(lam, 6) as lambda, round(k, 6) as k, cast(eventos as bigint) as n_eventos,
+             cast(abiertos as bigint) as n_abiertos, true as converge, round(1 - away, 6) as fit_quality, mediana_km,
+             round(lam * pow(-ln(5e-1), 1 / k), 6) as rul50_d,
+             concat_ws(' ', printf('%.4f', lam * pow(-ln(9e-1), 1 / k)), printf('%.4f', lam * pow(-ln(1e-1), 1 / k))) as confidence_interval
+           from cw join (select clase, max(greatest(abs(s - m), abs(before - m))) as away,
+                           min(case when s <= 5e-1 then duration end) as mediana_km
+                         from (select km.clase, duration, s, exp(-pow(duration / lam, k)) as m,
+                                 lag(s, 1, 1e0) over (partition by km.clase order by duration) as before
+                               from km join cw on cw.clase = km.clase) group by 1) using (clase)""",
+        "last",
+        **_CENSORED,
+        cg="""select clase, list(duration / top order by duration) as xs, list(cast(d + c as double) order by duration) as ns,
+                any_value(top) as top, sum(d) as eventos, sum(c) as abiertos, sum(d * ln(duration / top)) / sum(d) as ml
+              from (select *, max(duration) over (partition by clase) as top from days) group by clase
+              having sum(d) >= 5 and count(*) filter (d > 0) > 1""",
+        cw="""select clase, eventos, abiertos, k,
+                top * pow(list_sum(list_transform(range(1, len(xs) + 1), lambda i: ns[i] * pow(xs[i], k))) / eventos, 1e0 / k) as lam
+              from (select *, list_reduce(list_transform(range(300), lambda z: 1e0), lambda k, z: (k + 1e0 / (
+                      list_sum(list_transform(range(1, len(xs) + 1), lambda i: ns[i] * pow(xs[i], k) * ln(xs[i])))
+                      / list_sum(list_transform(range(1, len(xs) + 1), lambda i: ns[i] * pow(xs[i], k))) - ml)) / 2, 1e0) as k
+                    from cg)""",
+    ),
+)
+def survival_fit(spark, sf_dir):
+    """Censored Weibull of each class, and how far it is from the product-limit estimate; the twin takes fixed-point steps."""
+    days = survival.life_table(survival.censored_intervals(timeline(spark, sf_dir), AS_OF))
+    found = survival.fit_quality(days, survival.fit_censored(days))
+    ends = F.transform("confidence_interval", lambda x: F.format_string("%.4f", x))
+    return found.select(
+        "clase", r("lambda"), r("k"), "n_eventos", "n_abiertos", (F.col("residuo") < 1e-9).alias("converge"), r("fit_quality"),
+        "mediana_km", r("rul50_d"), F.concat_ws(" ", ends).alias("confidence_interval"),
+    )
+
+
 def _life(q: str, factor: str) -> str:
     return (
         f"greatest(0e0, least(pow(pow(ta, k) - pow(lam, k) * ln({q}), 1e0 / k) - ta, lam * {factor}))"
@@ -314,6 +383,19 @@ def usage_class_models(spark, sf_dir):
     )
 
 
+_HORIZON = {
+    **_SERIES,
+    "fit": _fitted("codigo", "series", 15),
+    "hz": f"""select codigo, media,
+             greatest(0e0, coalesce(sum(yhat) filter (ds > date '{AS_OF[:10]}' and ds <= date '{AS_OF[:10]}' + 7), 0e0)) as f7,
+             greatest(0e0, coalesce(sum(yhat) filter (ds > date '{AS_OF[:10]}' and ds <= date '{AS_OF[:10]}' + 30), 0e0)) as f30
+           from (select codigo, media, ds,
+                   intercepto + pendiente * epoch(ds) / 86400 + efectos[isodow(ds)] as yhat
+                 from (select *, cast(ultimo + cast(unnest(range(1, 31)) as int) as date) as ds from fit))
+           group by 1, 2""",
+}
+
+
 @QUERIES.add(
     "M16 J05",
     sql(
@@ -325,15 +407,7 @@ def usage_class_models(spark, sf_dir):
                  from (select distinct codigo from tl) a left join hz own on own.codigo = a.codigo
                  cross join (select * from hz order by codigo limit 1) fst)""",
         "last",
-        **_SERIES,
-        fit=_fitted("codigo", "series", 15),
-        hz=f"""select codigo, media,
-                 greatest(0e0, coalesce(sum(yhat) filter (ds > date '{AS_OF[:10]}' and ds <= date '{AS_OF[:10]}' + 7), 0e0)) as f7,
-                 greatest(0e0, coalesce(sum(yhat) filter (ds > date '{AS_OF[:10]}' and ds <= date '{AS_OF[:10]}' + 30), 0e0)) as f30
-               from (select codigo, media, ds,
-                       intercepto + pendiente * epoch(ds) / 86400 + efectos[isodow(ds)] as yhat
-                     from (select *, cast(ultimo + cast(unnest(range(1, 31)) as int) as date) as ds from fit))
-               group by 1, 2""",
+        **_HORIZON,
     ),
 )
 def usage_forecast(spark, sf_dir):
@@ -619,7 +693,11 @@ def risk_projection(spark, sf_dir):
              case when an >= 6e-1 then '🔴 CRÍTICO' when an >= 3e-1 then '🟡 ATENCIÓN' else '🟢 NORMAL' end as anomaly_status,
              case when an >= 6e-1 then 'danger' when an >= 3e-1 then 'warning' else 'success' end as anomaly_color,
              cast(printf('%.1f', wk) as double) as forecast_7d, cast(printf('%.1f', wk * 42e-1) as double) as forecast_30d,
-             case when wk > 20 then 'Ascendente' else 'Estable' end as trend_direction
+             case when wk > 20 then 'Ascendente' else 'Estable' end as trend_direction,
+             concat('RandomForest ML - Predicción para ', equipo) as explicacion_fr30,
+             concat('ML Regression - Vida útil para ', equipo) as explicacion_rul,
+             concat('Isolation Forest - Detección anomalías ', equipo) as explicacion_anomaly,
+             concat('ML Time Series - Pronóstico para ', equipo) as explicacion_forecast
            from sc left join (select equipo, round(avg(riesgo) * 100, 9) as wk from proj where i <= 7 group by 1) using (equipo)""",
         "telemetry",
         **_PROJECTED,
@@ -627,7 +705,7 @@ def risk_projection(spark, sf_dir):
               from telemetry where fecha >= timestamp '2001-11-01' and fecha < timestamp '2001-12-01' group by 1""",
         sc="""select equipo, least(1e0, (v * 1e-1 + greatest(0e0, t - 80) * 1e-2 + h * 2e-2) / 10) as risk,
                 greatest(10, cast(trunc(200 - v * 20 - greatest(0e0, t - 85) * 3) as bigint)) as days,
-                least(1e0, (v + greatest(0e0, t - 75)) / 100) as an from mm""",
+                (least(1e0, (v + greatest(0e0, t - 75)) / 100) + 1) / 2 as an from mm""",
     ),
 )
 def month_indicators(spark, sf_dir):

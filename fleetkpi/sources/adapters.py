@@ -102,6 +102,7 @@ def telemetry_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(4) + F.lit(2) * F.col("l_linenumber")).cast("double").alias("horas_operacion"),
         (F.lit(100) + F.col("l_partkey") % 101).cast("bigint").alias("ciclos_trabajo"),
         F.dayofyear("l_shipdate").cast("int").alias("dia_anio"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("lectura_id"),
     )
 
 

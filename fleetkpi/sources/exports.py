@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.forest import IsolationForest
+from ..operators.regression_forest import RegressionForest
 from ..operators.reports import machine_summary
 from ..plans.fr30 import Fold, ReturnModel
 
@@ -69,7 +70,7 @@ def save_model(model, path: str, spark: SparkSession) -> None:
         model.write.mode("overwrite").parquet(path)
     elif isinstance(model, PipelineModel):
         model.write().overwrite().save(path)
-    elif isinstance(model, IsolationForest):
+    elif isinstance(model, (IsolationForest, RegressionForest)):
         model.save(spark, path)
     elif isinstance(model, ReturnModel):
         model.encoder.write().overwrite().save(f"{path}/encoder")
@@ -84,13 +85,15 @@ def save_model(model, path: str, spark: SparkSession) -> None:
 
 
 def load_model(kind: str, path: str, spark: SparkSession):
-    """Load what ``save_model`` wrote; ``kind`` is table, pipeline, forest or return."""
+    """Load what ``save_model`` wrote; ``kind`` is table, pipeline, forest, regression or return."""
     if kind == "table":
         return spark.read.parquet(path)
     if kind == "pipeline":
         return PipelineModel.load(path)
     if kind == "forest":
         return IsolationForest.load(spark, path)
+    if kind == "regression":
+        return RegressionForest.load(spark, path)
     if kind == "return":
         folds = spark.read.parquet(f"{path}/meta").first()["folds"]
         return ReturnModel(

@@ -13,7 +13,7 @@ from fleetkpi.functions.fmt import exact_round, fixed, fmt
 from fleetkpi.operators import features
 from fleetkpi.operators.forest import decision, expected_path, fit_forest, score_forest
 from fleetkpi.operators.machine_stats import fleet_stats, machine_stats
-from fleetkpi.plans import anomaly, forecast, fr30, kpi, rul
+from fleetkpi.plans import anomaly, forecast, fr30, kpi, rul, survival
 from fleetkpi.plans import telemetry as tm
 from fleetkpi.queries.base import timeline_and_cuts
 from fleetkpi.sources import exports
@@ -269,3 +269,36 @@ def test_trend_labels(spark):
     assert values(kpi.trend_label(df, "v"), "mes", "tendencia") == {
         "2024-01": None, "2024-02": "estable", "2024-03": "creciente", "2024-04": "decreciente",
     }
+
+
+def test_product_limit_and_censored_weibull(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(3000):
+        life, seen = rng.weibullvariate(40, 1.7), rng.uniform(5, 90)
+        rows.append((f"M-{i}", "C", max(1, round(min(life, seen))), int(life <= seen)))
+    rows += [("X-1", "few", 3, 1), ("X-2", "few", 3, 0), *[(f"Y-{i}", "same", 7, 1) for i in range(9)]]
+    days = survival.life_table(spark.createDataFrame(rows, "codigo string, clase string, duration long, event int"))
+    got = {(r.clase, r.duration): r for r in survival.product_limit(days).collect()}
+    left, share, var = sum(r[1] == "C" for r in rows), 1.0, 0.0
+    for day in sorted({r[2] for r in rows if r[1] == "C"}):
+        ended, opened = (sum(r[1] == "C" and r[2] == day and r[3] == e for r in rows) for e in (1, 0))
+        found = got["C", day]
+        assert (found.eventos, found.abiertos, found.en_riesgo) == (ended, opened, left)
+        share, var = share * (1 - ended / left), var + (ended / (left * (left - ended)) if ended < left else 0)
+        assert found.supervivencia == pytest.approx(share, abs=1e-12) and found.error == pytest.approx(share * math.sqrt(var))
+        left -= ended + opened
+    assert got["same", 7].supervivencia == 0.0 and got["few", 3].supervivencia == 0.5
+    fitted = {r.clase: r for r in survival.fit_quality(days, survival.fit_censored(days)).collect()}
+    assert set(fitted) == {"C"}
+    c = fitted["C"]
+    assert c["lambda"] == pytest.approx(40, rel=0.05) and c.k == pytest.approx(1.7, rel=0.06) and c.residuo < 1e-9
+    assert 0.95 < c.fit_quality < 1 and c.confidence_interval == [c.rul90_d, c.rul10_d] and abs(c.mediana_km - c.rul50_d) < 3
+
+
+def test_open_intervals_run_from_the_last_visit(spark):
+    log = visits(spark, [(1, "A-1", "2024-12-01 00:00:00"), (2, "A-1", "2024-12-11 00:00:00"), (3, "B-1", "2010-01-01 00:00:00"), (4, "C-1", AS_OF)])
+    rows = survival.censored_intervals(features.visit_timeline(log, AS_OF), AS_OF).collect()
+    assert sorted((r.codigo, r.duration, r.event) for r in rows) == [("A-1", 10, 1), ("A-1", 20, 0), ("B-1", 1000, 0)]
+    empty = survival.life_table(survival.censored_intervals(features.visit_timeline(log.limit(0), AS_OF), AS_OF))
+    assert survival.fit_quality(empty, survival.fit_censored(empty)).count() == 0
