@@ -7,9 +7,15 @@ so the union of one range join for each block has all pairs. Exact cosines decid
 
 A block's range join shares its space out to the leaves of a k-d tree, fitted on a bounded sample
 (its shape decides speed, not results). A vector has a home leaf and also visits the leaves before
-it which its ball touches. Leaves are split into tiles, so that a dense one is not one task. A pair
-is counted only in the first block that has it within budget; what leaves a task are numbers of links
-and a forest of the pairs found there, never the pairs of a group. Equal vectors go as one.
+it which its ball touches. A dense leaf is split into tiles on both sides, its own vectors by its
+visitors, so that a task holds a bounded number of each. A pair is counted only in the first block that
+has it within budget; what leaves a task are numbers of links and a forest of the pairs found there,
+never the pairs of a group. Equal vectors go as one.
+
+Where a vector is at home and which block is first must be the same in every task. A matrix product in
+floating point may differ in its last bit with the number of rows, so unit vectors and the rotation are
+turned into whole numbers, small enough that the product is exact in any order. What that rounds off is
+far below the slack of the budgets.
 """
 
 from __future__ import annotations
@@ -27,10 +33,11 @@ from .components import components, forest
 
 COSINE = 0.95
 BLOCK = 8
-#: Vectors that the trees are fitted on at most; vectors meant for a leaf; and for a tile of one.
-SAMPLE, LEAF, TILE = 16_384, 8192, 4096
+#: Vectors that the trees are fitted on at most; vectors meant for a leaf; and for a tile of one. Visitors of a tile.
+SAMPLE, LEAF, TILE, VISITORS = 16_384, 8192, 4096, 65_536
 SEED = 11
-SLACK = 1e-6
+#: Added to the budget of each block.
+SLACK = 1e-5
 
 
 @dataclass
@@ -78,7 +85,9 @@ class Plan:
 
     def __init__(self, dim: int, sample: np.ndarray, vectors: int, cosine: float, leaf: int):
         rng = np.random.default_rng(SEED)
-        self.rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
+        # products of dim pairs of numbers with so many bits stay below 2**53, in which doubles are exact
+        self.unit = float(1 << int((52 - np.log2(max(dim, 2))) // 2))
+        self.rotation = np.rint(np.linalg.qr(rng.normal(size=(dim, dim)))[0] * self.unit)
         self.cuts = list(range(0, dim, BLOCK)) + [dim]
         self.cosine = cosine
         whole = 2 - 2 * cosine
@@ -92,7 +101,9 @@ class Plan:
             self.trees.append(Tree(np.array([x for x, _ in boxes]), np.array([x for _, x in boxes])))
 
     def turn(self, x: np.ndarray) -> np.ndarray:
-        return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))) @ self.rotation
+        """Rotated unit vectors, the same to the last bit whatever rows they are computed with."""
+        whole = np.rint(x / np.sqrt((x * x).sum(axis=1, keepdims=True)) * self.unit)
+        return (whole @ self.rotation) / (self.unit * self.unit)
 
     def near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Squared distances by block, [pair, block]; the same for a pair wherever it is computed."""
@@ -110,62 +121,75 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column]) if len(column) else np.zeros((0, 0))
 
 
-def _spread(plans: dict[int, Plan]):
-    """Each vector in its home leaf of each block."""
+Tiles = dict[tuple[int, int, int], tuple[int, int]]
+
+
+def _placed(plan: Plan, turned: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each block: the home leaf of each vector, and which leaves up to it the vector visits."""
+    for block, (a, b) in enumerate(zip(plan.cuts, plan.cuts[1:], strict=False)):
+        tree, x = plan.trees[block], turned[:, a:b]
+        home = tree.home(x)
+        touched = tree.touched(x, float(np.sqrt(plan.budget[block])) + SLACK)
+        touched[np.arange(len(x)), home] = True
+        yield block, home, touched & (np.arange(len(tree.low))[None, :] <= home[:, None])
+
+
+def _counts(plans: dict[int, Plan]):
+    """Vectors at home in each leaf of each block, and its visitors."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dim, own in batch.groupby(batch["vector"].map(len)):
-                plan = plans[dim]
-                turned = plan.turn(_matrix(own["vector"]))
-                for block, (a, b) in enumerate(zip(plan.cuts, plan.cuts[1:], strict=False)):
-                    yield pd.DataFrame({"dim": dim, "block": block, "leaf": plan.trees[block].home(turned[:, a:b])})
+                for block, home, visits in _placed(plans[dim], plans[dim].turn(_matrix(own["vector"]))):
+                    at_home = np.bincount(home, minlength=visits.shape[1])
+                    leaves = np.arange(visits.shape[1])
+                    yield pd.DataFrame({"dim": dim, "block": block, "leaf": leaves, "home": at_home, "visitors": visits.sum(axis=0)})
 
     return rows
 
 
-def _visits(plans: dict[int, Plan], tiles: dict[tuple[int, int, int], int]):
-    """Each vector at home in one tile, and as a visitor in the tiles of all leaves up to its own that it touches."""
+def _visits(plans: dict[int, Plan], tiles: Tiles):
+    """Each vector at home in one row of its leaf's tiles, and as a visitor in one column of those of every leaf it visits."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dim, own in batch.groupby(batch["vector"].map(len)):
-                plan = plans[dim]
                 own = own.reset_index(drop=True)
                 vectors = _matrix(own["vector"])
-                turned = plan.turn(vectors)
                 packed = np.array([v.tobytes() for v in vectors], object)
-                salt = own["rep"].to_numpy(np.int64)
-                for block, (a, b) in enumerate(zip(plan.cuts, plan.cuts[1:], strict=False)):
-                    tree, x = plan.trees[block], turned[:, a:b]
-                    home = tree.home(x)
-                    many = np.array([tiles.get((dim, block, leaf), 1) for leaf in range(len(tree.low))])
-                    yield _rows(own, packed, dim, block, home, salt % many[home], True, np.arange(len(own)))
-                    touched = tree.touched(x, float(np.sqrt(plan.budget[block])) + SLACK)
-                    touched[np.arange(len(own)), home] = True
-                    at, leaf = np.nonzero(touched & (np.arange(len(tree.low))[None, :] <= home[:, None]))
-                    times = many[leaf]
-                    at, leaf = np.repeat(at, times), np.repeat(leaf, times)
-                    tile = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-                    yield _rows(own, packed, dim, block, leaf, tile, False, at)
+                salt = own["salt"].to_numpy(np.int64)
+                for block, home, visits in _placed(plans[dim], plans[dim].turn(vectors)):
+                    many = np.array([tiles.get((dim, block, leaf), (1, 1)) for leaf in range(visits.shape[1])])
+                    at = np.arange(len(own))
+                    at, other = _each(at, many[home, 1])
+                    yield _rows(own, packed, dim, block, home[at], salt[at] % many[home[at], 0], other, True, at)
+                    at, leaf = np.nonzero(visits)
+                    place, other = _each(np.arange(len(at)), many[leaf, 0])
+                    at, leaf = at[place], leaf[place]
+                    yield _rows(own, packed, dim, block, leaf, other, salt[at] % many[leaf, 1], False, at)
 
     return rows
 
 
-def _rows(own, packed, dim, block, leaf, tile, home, at) -> pd.DataFrame:
+def _each(rows: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every row so many times, and which time it is."""
+    return np.repeat(rows, times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+
+
+def _rows(own, packed, dim, block, leaf, tile, column, home, at) -> pd.DataFrame:
     rows = own.iloc[at]
     return pd.DataFrame(
-        {"dim": dim, "block": block, "leaf": leaf, "tile": tile, "home": home, "rep": rows["rep"].to_numpy(), "n": rows["n"].to_numpy(), "vector": packed[at]}
+        {"dim": dim, "block": block, "leaf": leaf, "tile": tile, "column": column, "home": home, "rep": rows["rep"].to_numpy(), "n": rows["n"].to_numpy(), "vector": packed[at]}
     )
 
 
-VISITS = "dim int, block int, leaf int, tile int, home boolean, rep bigint, n bigint, vector binary"
+VISITS = "dim int, block int, leaf int, tile int, column int, home boolean, rep bigint, n bigint, vector binary"
 FOUND = "a bigint, b bigint, links bigint"
 
 
 def _meet(plans: dict[int, Plan]):
     def tile(rows: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of a tile's own vectors with all visitors: numbers of links, and a forest."""
+        """Pairs of a tile's own vectors with its visitors: numbers of links, and a forest."""
         dim, block = int(rows["dim"].iloc[0]), int(rows["block"].iloc[0])
         plan = plans[dim]
         here, there = rows[rows["home"]], rows[~rows["home"]]
@@ -214,7 +238,7 @@ def _meet(plans: dict[int, Plan]):
     return tile
 
 
-def link_components(table: DataFrame, cosine: float = COSINE, leaf: int = LEAF, tile: int = TILE) -> DataFrame:
+def link_components(table: DataFrame, cosine: float = COSINE, leaf: int = LEAF, tile: int = TILE, visitors: int = VISITORS) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of table (vec_id, embedding).
 
     Rows link when the cosine of their vectors, in double precision, is `cosine` or more. A vector
@@ -236,14 +260,17 @@ def link_components(table: DataFrame, cosine: float = COSINE, leaf: int = LEAF,
     for dim, n in lengths.items():
         sample = classes.where(F.size("vector") == dim).orderBy("key_1", "key_2").limit(SAMPLE).select("vector").toPandas()
         plans[dim] = Plan(dim, _matrix(sample["vector"]), n, cosine, leaf)
-    shared = classes.select("rep", "n", "vector")
+    shared = classes.select("rep", "n", "vector", F.pmod(F.xxhash64(F.lit(3), "vector"), F.lit(1 << 40)).alias("salt"))
     if not plans:
         found = spark.createDataFrame([], FOUND)
     else:
-        sizes = shared.select("vector").mapInPandas(_spread(plans), "dim int, block int, leaf int").groupBy("dim", "block", "leaf").agg(F.count("*").alias("n"))
-        tiles = {(r["dim"], r["block"], r["leaf"]): -(-r["n"] // tile) for r in sizes.collect()}
+        sizes = shared.select("vector").mapInPandas(_counts(plans), "dim int, block int, leaf int, home bigint, visitors bigint")
+        sizes = sizes.groupBy("dim", "block", "leaf").agg(F.sum("home").alias("home"), F.sum("visitors").alias("visitors"))
+        tiles = {
+            (r["dim"], r["block"], r["leaf"]): (max(1, -(-r["home"] // tile)), max(1, -(-r["visitors"] // visitors))) for r in sizes.collect()
+        }
         visits = shared.mapInPandas(_visits(plans, tiles), VISITS)
-        found = materialise(visits.groupBy("dim", "block", "leaf", "tile").applyInPandas(_meet(plans), FOUND))
+        found = materialise(visits.groupBy("dim", "block", "leaf", "tile", "column").applyInPandas(_meet(plans), FOUND))
     links = found.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     groups = components(found.where("b is not null").select("a", "b"))
     named = (

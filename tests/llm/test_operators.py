@@ -164,12 +164,76 @@ def test_bpe_round_trip(spark, odd, empty, documents, library):
         got = Counter((r.doc_id, tuple(r.ids), r.decoded) for r in bpe.decode(bpe.encode(docs.repartition(3))).collect())
         ids = [(d, library.encode(t or "", add_special_tokens=False).ids) for d, t in rows]
         assert got == Counter((d, tuple(x), library.decode(x, skip_special_tokens=False)) for d, x in ids)
+        assert got == Counter((r.doc_id, tuple(r.ids), r.decoded) for r in bpe.encode(docs, decoded=True).collect())
     assert bpe.decode(bpe.encode(empty)).count() == 0
 
 
-def test_bpe_survives_an_input_that_is_cut_differently(spark, documents, library):
-    shuffled = documents.repartition(4, F.rand())
-    assert bpe.encode(shuffled, buckets=3).count() == documents.count()
+def test_serialized_ids_of_words(library, monkeypatch):
+    monkeypatch.setattr(token_files, "KNOWN_STRETCHES", 40)
+    known, rng = token_files._Known(bpe.default_path(), 2), np.random.default_rng(6)
+    letters = list("abJǰ Éé Σς İß'’stld12½-.,!<|>\u0301\u030c\u0307 \x1c\x85 漢\U0001f600\n")
+    texts_ = ["".join(rng.choice(letters, int(rng.integers(0, 30)))) + "<|endoftext|>" * (i % 7 == 0) for i in range(1500)]
+    for text in texts_:
+        assert np.frombuffer(known.ids(text, b"\x01\x00"), "<u2").tolist() == [*library.encode(text, add_special_tokens=False).ids, 1], repr(text)
+
+
+def test_numbers_pack_small_and_large():
+    for top in (3, 224, 70_000, 2_000_000, 3_000_000):
+        numbers = np.random.default_rng(top).integers(0, top, 5000).astype(np.uint32)
+        numbers[0] = top - 1
+        packed = [memoryview(x) for x in bpe._unpack(bpe._pack(*bpe._narrow(numbers)))]
+        assert bpe._from_narrow(*packed).tolist() == numbers.tolist()
+
+
+def test_each_text_is_cut_into_words_once(documents):
+    encoded = bpe.encode(documents)
+    assert encoded.count() == documents.count()
+    rows = encoded.filter(F.size("ids") >= 0)
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan and plan.count("MapInArrow") == 1
+
+
+def test_dictionary_samples_reach_the_end_of_a_document():
+    ids = np.arange(100_000, dtype="<u2").tobytes()
+    got = np.frombuffer(token_files._sampled(ids, 2), "<u2")
+    assert len(got) == token_files.SLICES * token_files.SLICE_IDS and got[0] == 0 and got[-1] == np.frombuffer(ids, "<u2")[-1]
+    assert token_files._sampled(ids[:100], 2) == ids[:100]
+
+
+def test_one_document_is_read_by_its_frame(spark, documents, monkeypatch):
+    from fleetkpi.llm import files
+
+    written = token_files.write_tokens(documents)
+    row = written.manifest.first()
+    read, whole = [], files.opened(written.folder, row.file)
+
+    class Counted:
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            whole.close()
+
+        def size(self):
+            return whole.size()
+
+        def read_at(self, n, at):
+            read.append(n)
+            return whole.read_at(n, at)
+
+    monkeypatch.setattr(files, "opened", lambda folder, name: Counted())
+    first = documents.agg(F.min("doc_id")).first()[0]
+    size = whole.size()
+    assert token_files.read_document(written.folder, row.file, first) and sum(read) < size / 3
+
+
+def test_few_documents_have_no_dictionary(spark, library):
+    docs = table(spark, [(1, "one two"), (2, "two")], "doc_id bigint, text string")
+    written = token_files.write_tokens(docs)
+    assert written.dictionary is None
+    got = {r.doc_id: list(r.ids) for r in token_files.read_tokens(spark, written, with_ids=True).collect()}
+    assert got == {d: [*library.encode(t, add_special_tokens=False).ids, 1] for d, t in ((1, "one two"), (2, "two"))}
 
 
 def test_token_files(spark, odd, empty, documents, library, tmp_path):
@@ -510,6 +574,36 @@ def test_mix_meets_targets_and_reruns_agree(spark, odd, empty):
 # ---------------------------------------------------------------- 9 embeddings
 
 
+@pytest.mark.parametrize("dim", [3, 20, 64, 300])
+def test_vectors_are_turned_alike_in_batches_of_any_size(dim):
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(501, dim)) * np.exp(rng.normal(size=(501, 1)) * 3)
+    plan = embed_join.Plan(dim, x[:301], 501, 0.95, 16)
+    whole = plan.turn(x)
+    assert np.abs(whole - (x / np.linalg.norm(x, axis=1)[:, None]) @ (plan.rotation / plan.unit)).max() < 1e-5
+    homes = [home for _, home, _ in embed_join._placed(plan, whole)]
+    for size in range(1, 8):
+        parts = [plan.turn(x[a : a + size]) for a in range(0, len(x), size)]
+        assert (np.concatenate(parts) == whole).all()
+        for block, home in enumerate(homes):
+            assert (np.concatenate([list(embed_join._placed(plan, p))[block][1] for p in parts]) == home).all()
+
+
+def test_links_are_counted_once_on_median_cuts(spark):
+    """An odd number of vectors lies on every cut of the trees, and batches have five rows."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(333, 16))
+    rows = np.concatenate([base, base + 0.05 * rng.normal(size=base.shape), base + 0.05 * rng.normal(size=base.shape)])
+    df = table(spark, [(i, v.tolist()) for i, v in enumerate(rows)], "vec_id bigint, embedding array<double>").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        got = {r.vec_id: r.n_links for r in embed_join.link_components(df, leaf=32).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    unit = rows / np.linalg.norm(rows, axis=1)[:, None]
+    assert got == dict(enumerate(((unit @ unit.T >= 0.95).sum(axis=1) - 1).tolist()))
+
+
 def test_embedding_links_match_brute_force(spark):
     rng = np.random.default_rng(6)
     rows = []
@@ -520,8 +614,12 @@ def test_embedding_links_match_brute_force(spark):
     rows += [None, [0.0] * 20, [], [1.0, None], [float("nan")] * 20, [float("inf")] * 20, [1.0, 2.0], [2.0, 4.0]]
     data = [(i, v, 1) for i, v in enumerate(rows)] + [(None, rows[0], 1)]
     df = table(spark, data, "vec_id bigint, embedding array<double>, links int").repartition(4)
-    for leaf, tile in ((20, 7), (10**6, 10**6)):
-        got = {r.vec_id: r for r in embed_join.link_components(df, leaf=leaf, tile=tile).collect()}
+    for leaf, tile, visitors, batch in ((20, 7, 11, 3), (10**6, 10**6, 10**6, 10_000), (30, 10**6, 5, 7)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = {r.vec_id: r for r in embed_join.link_components(df, leaf=leaf, tile=tile, visitors=visitors).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         assert len(got) == len(data) and got[None].n_links == 0 and not got[None].kept and got[None].component_id is None
         n = len(rows)
         fine = [v is not None and len(v) > 0 and None not in v and all(map(math.isfinite, v)) and any(v) for v in rows]
