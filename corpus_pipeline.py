@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; `run` writes each
 result and reads it again, so a lost executor costs one stage at most. All stages but the last return
-the columns of documents.
+the columns of documents; other columns are dropped, whatever they are called. An empty table stays
+empty in every stage. Rows are judged one by one, also where several share a doc_id or have none, and
+a null text counts as an empty one.
 """
 
 from __future__ import annotations
@@ -17,40 +19,53 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic. A text without evidence stays."""
+    """Documents that are not predicted toxic. A null, empty or blank text has no evidence and stays.
+
+    Equal texts have equal scores, so repeated rows stay or go together; long texts are scored whole.
+    """
     model = toxicity.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs.select(*COLUMNS), model).where("predicted = 0").select(*COLUMNS)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model accepts."""
+    """Documents that the quality model accepts; equal texts stay or go together, a null text is an empty one."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), quality.graded(labels))
     return quality.score(docs.select(*COLUMNS), model).where(quality.accepted()).select(*COLUMNS)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id; ids stay as they are.
+    """One row of each group of near duplicates, that with the smallest doc_id.
 
-    Documents without shingles or doc_id are no duplicates of anything and stay.
+    Rows that repeat a text are near duplicates as well, whether they share a doc_id or not: of several
+    with the smallest doc_id one stays, and one without doc_id stays only if no other row of its group
+    has one. Two texts under one doc_id are judged apart. Texts without words are no duplicates of
+    anything and stay.
     """
-    groups = ngram_join.jaccard_components(docs)
-    losers = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(losers, "doc_id", "left_anti").select(*COLUMNS)
+    # a number for each row, read from what is written ever after
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS))
+    groups = ngram_join.jaccard_components(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
+    kept = groups.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(first).select("first.row")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    taken = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("id"), F.col("source").alias("of"), "copies")
-    # rows that share doc_id, source and size share their copies, so one of them speaks for all
-    taken = taken.groupBy("id", "of").agg(F.max("copies").cast("int").alias("copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of"))
-    joined = docs.select(*COLUMNS).join(taken, same)
+    """Each row as many times as the mix takes it; a row without words once.
+
+    A row's place in the mix follows from its doc_id and text, so rows that share a doc_id are taken on
+    their own and rows that are equal in both share their number of copies.
+    """
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    taken = mixing.mix(docs.select(key.alias("doc_id"), "source", "text")).where("copies > 0")
+    taken = taken.groupBy(F.col("doc_id").alias("id"), F.col("source").alias("of")).agg(F.max("copies").cast("int").alias("copies"))
+    same = (F.col("key") == F.col("id")) & F.col("source").eqNullSafe(F.col("of"))
+    joined = docs.select(*COLUMNS, key.alias("key")).join(taken, same)
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids and their number, a row for each copy."""
+    """doc_id, ids and their number, a row for each copy; a null or empty text has no ids."""
     return bpe.encode(docs).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
 
 
@@ -62,8 +77,8 @@ STAGES = [
     ("bpe", encoded),
 ]
 
-# Two stages learn a model and one tokenises, which SQL cannot do; tests hold the stages against
-# brute force.
+# Two stages learn a model and one tokenises, which SQL cannot do; tests/llm/test_pipeline.py holds the
+# stages against brute force.
 ORACLE_SQL = None
 
 
