@@ -71,7 +71,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _digested(encoded: DataFrame) -> DataFrame:
-    return bpe.decode(encoded).select(
+    return encoded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
@@ -82,7 +82,7 @@ def _digested(encoded: DataFrame) -> DataFrame:
 @_query()
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded again."""
-    return _digested(bpe.encode(_table(spark, sf_dir, "documents")))
+    return _digested(bpe.encode(_table(spark, sf_dir, "documents"), decoded=True))
 
 
 @_query(
