@@ -123,12 +123,19 @@ def explain_fr30(df: DataFrame) -> DataFrame:
             ),
             "drivers": F.slice(drivers, 1, 3),
             "acciones_1_2_sem": actions,
+            "factores_influyentes": F.struct(
+                tbf.alias("tbf_actual"),
+                n30.alias("ingresos_recientes"),
+                mttr.alias("mttr_promedio"),
+                again.alias("reincidencia_sistema"),
+            ),
         }
     )
 
 
 def explain_rul(df: DataFrame) -> DataFrame:
-    """Needs rul50_d and rul90_d."""
+    """Needs rul50_d and rul90_d; model parameters are passed on where the table has them."""
+    parameters = [c for c in ("modelo_usado", "lambda", "k", "n_observaciones", "tbf_base") if c in df.columns]
     rul50, rul90 = F.col("rul50_d"), F.col("rul90_d")
     level = F.col("urgencia")
 
@@ -169,6 +176,7 @@ def explain_rul(df: DataFrame) -> DataFrame:
             "urgencia_dias": rul90.cast("bigint"),
             "riesgos_si_no": F.concat(F.lit("Riesgo "), danger),
             "repuestos_criticos": _texts(*_CRITICAL_PARTS),
+            "parametros_modelo": F.struct(*parameters) if parameters else F.lit(None),
         }
     )
 

@@ -360,8 +360,9 @@ def indicator_trends(spark, sf_dir):
                else ['Múltiples factores menores contribuyen al riesgo'] end, ' | ') as drivers,
              case when risk_30d >= 5e-1 then 'Inspección inmediata de sistemas críticos | Verificar disponibilidad de repuestos prioritarios'
                   when risk_30d >= 3e-1 then 'Programar inspección preventiva | Revisar historial de mantenimiento'
-                  else 'Continuar con programa normal de mantenimiento' end as acciones_1_2_sem
-           from (select codigo, risk_30d, list_filter([
+                  else 'Continuar con programa normal de mantenimiento' end as acciones_1_2_sem,
+             t as tbf_actual, n as ingresos_recientes, round(h, 6) as mttr_promedio, c as reincidencia_sistema
+           from (select codigo, risk_30d, t, n, h, c, list_filter([
                case when t > 0 and m > 0 and t < m * 7e-1 then concat('TBF actual (', printf('%.0f', t),
                  ' días) significativamente menor al histórico (', printf('%.0f', m), ' días)') end,
                case when n >= 2 then concat('Alta frecuencia de ingresos recientes: ', n, ' en 30 días') end,
@@ -380,7 +381,13 @@ def return_risk_explanations(spark, sf_dir):
     state = fr30.current_state(rows, cuts).withColumn("mttr_eq", F.round("mttr_eq", 9))
     risk = fr30.rule_risk(machine_stats(rows)).select("codigo", "risk_30d")
     out = explain_fr30(state.join(risk, "codigo"))
-    return out.select("codigo", "resumen", joined("drivers"), joined("acciones_1_2_sem"))
+    numbers = F.col("factores_influyentes")
+    return out.select(
+        "codigo", "resumen", joined("drivers"), joined("acciones_1_2_sem"),
+        numbers["tbf_actual"].alias("tbf_actual"), numbers["ingresos_recientes"].alias("ingresos_recientes"),
+        F.round(numbers["mttr_promedio"], 6).alias("mttr_promedio"),
+        numbers["reincidencia_sistema"].alias("reincidencia_sistema"),
+    )
 
 
 @QUERIES.add(
@@ -395,22 +402,32 @@ def return_risk_explanations(spark, sf_dir):
                else 'bajo con tiempo suficiente para planificar' end) as riesgos_si_no,
              cast(trunc(rul90_d) as bigint) as urgencia_dias,
              case urgencia when 'CRÍTICA' then 'DÍA 1-2: Inspección inmediata y evaluación de estado'
+               || ' | DÍA 3-4: Adquisición urgente de repuestos críticos | DÍA 5-6: Programación de parada y preparación de taller'
+               || ' | DÍA 7: Ejecución de mantenimiento mayor | DÍA 8-10: Pruebas y puesta en servicio'
                when 'ALTA' then 'SEMANA 1: Diagnóstico detallado y evaluación de criticidad'
-               else 'SEMANA 1-2: Planificación detallada de intervención' end as primer_paso
+               || ' | SEMANA 1-2: Gestión de repuestos y recursos | SEMANA 2: Coordinación con operaciones para parada programada'
+               || ' | SEMANA 3: Ejecución de mantenimiento preventivo/correctivo | SEMANA 3-4: Verificación y retorno a operación normal'
+               else 'SEMANA 1-2: Planificación detallada de intervención | SEMANA 3-4: Adquisición de repuestos y materiales'
+               || ' | SEMANA 5-6: Coordinación con cronograma operativo | SEMANA 7-8: Ejecución de mantenimiento programado'
+               || ' | SEMANA 9: Análisis post-mantenimiento y lecciones aprendidas' end as plan_5_pasos,
+             'Componentes de desgaste principal del sistema | Elementos de filtración y lubricación | Piezas con histórico de falla frecuente'
+               as repuestos_criticos,
+             modelo_usado, round(tbf_base, 6) as tbf_base
            from (select *, case when rul90_d < 7 then 'CRÍTICA' when rul90_d < 21 then 'ALTA'
                      when rul50_d < 45 then 'MEDIA' else 'BAJA' end as urgencia
-                 from (select codigo, round(rul50_d, 9) as rul50_d, round(rul90_d, 9) as rul90_d from rul))""",
+                 from (select codigo, round(rul50_d, 9) as rul50_d, round(rul90_d, 9) as rul90_d, modelo_usado, tbf_base from rul))""",
         "rul",
     ),
 )
 def remaining_life_explanations(spark, sf_dir):
     rows = timeline(spark, sf_dir)
     life = rul.rule_rul(machine_stats(rows), fleet_stats(rows), AS_OF)
-    life = life.select("codigo", r("rul50_d", 9), r("rul90_d", 9))
+    life = life.select("codigo", r("rul50_d", 9), r("rul90_d", 9), "modelo_usado", "tbf_base")
     out = explain_rul(life)
     return out.select(
         "codigo", "urgencia", "resumen", "ventana_intervencion", "riesgos_si_no", "urgencia_dias",
-        F.col("plan_5_pasos")[0].alias("primer_paso"),
+        joined("plan_5_pasos"), joined("repuestos_criticos"), F.col("parametros_modelo.modelo_usado").alias("modelo_usado"),
+        F.round(F.col("parametros_modelo.tbf_base"), 6).alias("tbf_base"),
     )
 
 

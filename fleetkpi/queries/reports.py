@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, features, profile
 from ..operators import reports as rp
+from ..operators.features import visit_timeline
+from ..operators.timeline import find_cuts
 from ..sources.adapters import AS_OF, telemetry_from_lineitem
 from .base import Registry, big, cleaned, r, raw, sql, timeline, timeline_and_cuts, ts
 
@@ -32,28 +34,33 @@ def data_summary(spark, sf_dir):
     return s.withColumns({c: F.round(c, 6) for c in ("tbf_promedio", "mttr_promedio")})
 
 
+_RAW_COLUMNS = [
+    "visit_id", "codigo", "fecha_in", "fecha_out", "sistema_afectado", "tipo_atencion", "mttr_horas", "flota", "clase", "tbf_dias"
+]
+
+
 @QUERIES.add(
     "A02",
     sql(
         """select 'duplicados' as tipo, '' as columna, cast(d as double) as valor from s
            union all select 'fechas_futuras', '', cast(f as double) from s
            union all select 'tbf_anomalos', '', cast(t as double) from s
-           union all select 'puntaje', '', cast(greatest(0, 100 - 10 * ((d > 0)::int + (f > 0)::int + (t > 0)::int)) as double) from s
-           union all select 'faltante_pct', 'fecha_out', round(o / n * 100, 6) from s where o > 0
-           union all select 'faltante_pct', 'mttr_horas', round(h / n * 100, 6) from s where h > 0
-           union all select 'faltante_pct', 'tbf_dias', round(b / n * 100, 6) from s where b > 0""",
-        "tl",
+           union all select 'puntaje', '', cast(greatest(0, 100 - 10 * ((d > 0)::int + (f > 0)::int + (t > 0)::int)) as double) from s"""
+        + "".join(f" union all select 'faltante_pct', '{c}', round(m_{c} / n * 100, 6) from s where m_{c} > 0" for c in _RAW_COLUMNS),
+        "visits",
+        rv="""select *, floor((epoch_us(fecha_in) - epoch_us(lag(fecha_in) over (partition by codigo order by fecha_in, visit_id)))
+                / 86400000000e0) as tbf_dias from visits""",
         s=f"""select count(*) as n, count(*) - count(distinct concat(codigo, cast(fecha_in as varchar))) as d,
-                count(*) filter (fecha_in > timestamp '{AS_OF}') as f,
-                count(*) filter (tbf_dias > 365 or tbf_dias < 0) as t,
-                count(*) filter (fecha_out is null) as o, count(*) filter (mttr_horas is null) as h,
-                count(*) filter (tbf_dias is null) as b from tl""",
+                count(*) filter (fecha_in > timestamp '{AS_OF}') as f, count(*) filter (tbf_dias > 365 or tbf_dias < 0) as t, """
+        + ", ".join(f"count(*) filter ({c} is null) as m_{c}" for c in _RAW_COLUMNS)
+        + " from rv",
     ),
 )
 def quality_report(spark, sf_dir):
-    columns = ["codigo", "fecha_in", "fecha_out", "sistema_afectado", "mttr_horas", "tbf_dias"]
-    report = profile.quality_report(timeline(spark, sf_dir), AS_OF, columns)
-    return report.select("tipo", "columna", r("valor"))
+    """The log as it came, before anything is filtered, with all of its columns."""
+    visits = raw(spark, sf_dir)
+    rows = visit_timeline(visits, AS_OF, find_cuts(visits)).select(*_RAW_COLUMNS)
+    return profile.quality_report(rows, AS_OF, _RAW_COLUMNS).select("tipo", "columna", r("valor"))
 
 
 @QUERIES.add(
