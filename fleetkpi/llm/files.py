@@ -25,6 +25,12 @@ def write(folder: str, suffix: str, parts: list[bytes]) -> str:
     return name
 
 
+def opened(folder: str, name: str):
+    """A file that can be read at any place."""
+    system, path = place(folder)
+    return system.open_input_file(f"{path}/{name}")
+
+
 def read(folder: str, name: str) -> bytes:
     system, path = place(folder)
     with system.open_input_stream(f"{path}/{name}", compression=None) as file:

@@ -4,8 +4,9 @@ A file holds, one after the other:
   magic TOKZDIC1; u32 length and JSON header (bytes an id, SHA-256 of the dictionary or null);
   one zstandard frame for each document; doc ids (i64), null marks (u8), ends of the frames in the
   file (u64), ids of each (u32); u64 place of that index, u64 documents, magic again.
-The dictionary is trained on serialized id arrays and lies beside the files under its hash. A reader
-finds a document through the index and decompresses that frame alone.
+The dictionary is trained on serialized id arrays and lies beside the files under its hash; too few or too
+short documents to train on have none. A reader finds a document through the index and reads and
+decompresses that frame alone.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+import warnings
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -33,30 +35,58 @@ from .bpe import default_path, tokenizer
 
 MAGIC = b"TOKZDIC1"
 END_ID = 1
-#: The dictionary is fitted on so many documents, and so many ids of each, at most.
-SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 16_384, 65_536
-#: A file is closed when it holds so many bytes; so many words are remembered in a Python worker.
-FILE_BYTES, KNOWN_WORDS = 16 << 20, 500_000
+#: The dictionary is fitted on so many documents at most; a longer one gives so many slices of so many ids, from its
+#: beginning to its end.
+SAMPLE_DOCS, SLICES, SLICE_IDS, DICTIONARY_BYTES = 1000, 8, 2048, 65_536
+#: Samples, and bytes of a dictionary, that training needs.
+LEAST_SAMPLES, LEAST_BYTES = 8, 256
+#: A file is closed when it holds so many bytes; so many stretches of words, and words of some, are remembered in a
+#: Python worker.
+FILE_BYTES, KNOWN_STRETCHES = 16 << 20, 500_000
 MANIFEST = "file string, part bigint, roll bigint, n_docs bigint, n_ids bigint"
 
 
-class _Known(dict):
-    """Serialized ids of the words seen so far."""
+class _Words(dict):
+    """Serialized ids of words."""
 
     def __init__(self, path: str, id_bytes: int):
         super().__init__()
         self.tok, self.code = tokenizer(path), {2: "H", 4: "I"}[id_bytes]
 
-    def __missing__(self, word: str) -> bytes:
+    def serialized(self, word: str) -> bytes:
         ids = self.tok.ids(word)
-        own = self[word] = struct.pack(f"<{len(ids)}{self.code}", *ids)
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def __missing__(self, word: str) -> bytes:
+        own = self[word] = self.serialized(word)
+        return own
+
+
+class _Known(dict):
+    """Serialized ids of the stretches between white space seen so far."""
+
+    def __init__(self, path: str, id_bytes: int):
+        super().__init__()
+        self.tok, self.words = tokenizer(path), _Words(path, id_bytes)
+
+    def __missing__(self, stretch: str) -> bytes:
+        if stretch.isascii() and stretch.isalpha():
+            own = self.words.serialized(stretch)  # a word by itself
+        else:
+            own = b"".join(map(self.words.__getitem__, self.tok.within(stretch)))
+        self[stretch] = own
         return own
 
     def ids(self, text: str, end: bytes) -> bytes:
         """Serialized ids of a text, then the end."""
-        if len(self) > KNOWN_WORDS:
-            self.clear()
-        return b"".join(chain(map(self.__getitem__, self.tok.words(text)), (end,)))
+        # words of stretches that are more than one word are the fewer
+        for seen, most in ((self, KNOWN_STRETCHES), (self.words, KNOWN_STRETCHES // 2)):
+            if len(seen) > most:
+                seen.clear()
+        parts = self.tok.stretches(text)
+        if parts is None:
+            return b"".join(chain(map(self.words.__getitem__, self.tok.words(text)), (end,)))
+        return b"".join(chain(map(self.__getitem__, parts), (end,)))
 
 
 @lru_cache(maxsize=1)
@@ -75,18 +105,28 @@ class TokenFiles:
 
 
 def _dictionary(samples: list[bytes]) -> bytes:
-    """Trained where there is enough to train on; the samples themselves where there is not."""
+    """Trained on the samples; empty where they are too few or too much alike to train on."""
     size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 10)
-    if size >= 256 and len(samples) >= 8:
-        try:
-            return zstandard.train_dictionary(size, samples).as_bytes()
-        except zstandard.ZstdError:
-            pass
-    return b"".join(samples)[:DICTIONARY_BYTES]
+    if size < LEAST_BYTES or len(samples) < LEAST_SAMPLES:
+        return b""
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except zstandard.ZstdError as error:
+        warnings.warn(f"token files without a dictionary: {error}", stacklevel=2)
+        return b""
+
+
+def _sampled(ids: bytes, id_bytes: int) -> bytes:
+    """A document's ids, or evenly spread slices of a long one."""
+    n = len(ids) // id_bytes
+    if n <= SLICES * SLICE_IDS:
+        return ids
+    starts = [i * (n - SLICE_IDS) // (SLICES - 1) for i in range(SLICES)]
+    return b"".join(ids[a * id_bytes : (a + SLICE_IDS) * id_bytes] for a in starts)
 
 
 def _compression(dictionary: bytes) -> zstandard.ZstdCompressionDict | None:
-    return zstandard.ZstdCompressionDict(dictionary) if len(dictionary) >= 8 else None
+    return zstandard.ZstdCompressionDict(dictionary) if dictionary else None
 
 
 def write_tokens(docs: DataFrame, path: str | None = None, folder: str | None = None, end_id: int = END_ID) -> TokenFiles:
@@ -108,11 +148,12 @@ def write_tokens(docs: DataFrame, path: str | None = None, folder: str | None =
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _known(path, id_bytes)
         for batch in batches:
-            out = [known.ids(t.as_py(), b"")[: SAMPLE_IDS * id_bytes] + end for t in batch.column("text")]
+            out = [_sampled(known.ids(t.as_py(), end), id_bytes) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
 
     chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    sample = docs.join(F.broadcast(chosen), "doc_id").limit(2 * SAMPLE_DOCS).mapInArrow(ids_of, "ids binary")
+    # one text of each chosen id, the same in every run
+    sample = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select("text").mapInArrow(ids_of, "ids binary")
     dictionary = _dictionary(sorted(bytes(r.ids) for r in sample.toLocalIterator()))
     digest = hashlib.sha256(dictionary).hexdigest() if _compression(dictionary) else None
     if digest:
@@ -159,45 +200,56 @@ def write_tokens(docs: DataFrame, path: str | None = None, folder: str | None =
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
     spread = docs.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     manifest = materialise(spread.mapInArrow(write, MANIFEST))
-    before = Window.orderBy("part", "roll").rowsBetween(Window.unboundedPreceding, -1)
-    return TokenFiles(folder, digest, manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))))
+    # ids before a task's files, a row for each task, and within it before each file
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("ids")).select("part", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("part").orderBy("roll").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.col("before") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))
+    return TokenFiles(folder, digest, manifest.join(parts, "part").withColumn("base", base).drop("before"))
 
 
-def _index(content: bytes) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Header, doc ids, null marks, edges of the frames and numbers of ids."""
-    if content[:8] != MAGIC or content[-8:] != MAGIC:
+Read = Callable[[int, int], bytes]
+
+
+def _index(read: Read, size: int) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Header, doc ids, null marks, edges of the frames and numbers of ids; `read` gives bytes at a place."""
+    head, foot = read(0, 12), read(max(0, size - 24), 24)
+    if head[:8] != MAGIC or foot[-8:] != MAGIC:
         raise ValueError("not a token file, or one that is cut off")
-    length = int.from_bytes(content[8:12], "little")
-    at, n = int.from_bytes(content[-24:-16], "little"), int.from_bytes(content[-16:-8], "little")
-    ids = np.frombuffer(content, "<i8", n, at)
-    null = np.frombuffer(content, np.uint8, n, at + 8 * n).astype(bool)
-    ends = np.frombuffer(content, "<u8", n, at + 9 * n).astype(np.int64)
-    numbers = np.frombuffer(content, "<u4", n, at + 17 * n).astype(np.int64)
-    return json.loads(content[12 : 12 + length]), ids, null, np.concatenate(([12 + length], ends)), numbers
-
-
-def _frames(content: bytes, folder: str, chosen: list[int] | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """Position and ids (u32) of a file's documents, or of some of them."""
-    head, _, _, edges, _ = _index(content)
+    length = int.from_bytes(head[8:12], "little")
+    at, n = int.from_bytes(foot[:8], "little"), int.from_bytes(foot[8:16], "little")
+    content = read(at, 21 * n)
+    ids = np.frombuffer(content, "<i8", n)
+    null = np.frombuffer(content, np.uint8, n, 8 * n).astype(bool)
+    ends = np.frombuffer(content, "<u8", n, 9 * n).astype(np.int64)
+    numbers = np.frombuffer(content, "<u4", n, 17 * n).astype(np.int64)
+    return json.loads(read(12, length)), ids, null, np.concatenate(([12 + length], ends)), numbers
+
+
+def _opener(head: dict, folder: str) -> Callable[[bytes], np.ndarray]:
+    """What makes ids (u32) of a frame."""
     dictionary = files.read(folder, f"{head['dictionary']}.zdict") if head["dictionary"] else b""
     if dictionary and hashlib.sha256(dictionary).hexdigest() != head["dictionary"]:
         raise ValueError("the dictionary is not the one these files were written with")
     opened = zstandard.ZstdDecompressor(dict_data=_compression(dictionary))
-    for i in range(len(edges) - 1) if chosen is None else chosen:
-        frame = opened.decompress(content[edges[i] : edges[i + 1]])
-        yield i, np.frombuffer(frame, f"<u{head['id_bytes']}").astype("<u4")
+    return lambda frame: np.frombuffer(opened.decompress(frame), f"<u{head['id_bytes']}").astype("<u4")
 
 
 def read_document(folder: str, name: str, doc_id: int) -> list[int]:
-    """Ids of one document of a file, by the index."""
-    content = files.read(folder, name)
-    _, ids, null, _, _ = _index(content)
-    at = np.flatnonzero((ids == doc_id) & ~null)
-    return next(_frames(content, folder, [int(at[0])]))[1].tolist()
+    """Ids of one document of a file; only the index and its own frame are read."""
+    with files.opened(folder, name) as file:
+        head, ids, null, edges, _ = _index(lambda at, n: file.read_at(n, at), file.size())
+        at = int(np.flatnonzero((ids == doc_id) & ~null)[0])
+        frame = file.read_at(int(edges[at + 1] - edges[at]), int(edges[at]))
+    return _opener(head, folder)(frame).tolist()
 
 
 def read_tokens(spark, written: TokenFiles, with_ids: bool = False) -> DataFrame:
-    """Per document of the files: doc_id, start, n_tokens, ids_crc32, and the ids on request."""
+    """Per document of the files: doc_id, start, n_tokens, ids_crc32, and the ids on request.
+
+    A document written without doc_id comes back without one, rows that repeat a doc_id one by one;
+    no files give no rows.
+    """
     folder = written.folder
     schema = "file string, doc_id bigint, inside bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
 
@@ -205,9 +257,11 @@ def read_tokens(spark, written: TokenFiles, with_ids: bool = False) -> DataFrame
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 content = bytes(content)
-                _, own, null, _, numbers = _index(content)
+                head, own, null, edges, numbers = _index(lambda at, n, c=content: c[at : at + n], len(content))
+                opened = _opener(head, folder)
                 crc, found = np.zeros(len(own), np.int64), []
-                for i, ids in _frames(content, folder):
+                for i in range(len(own)):
+                    ids = opened(content[edges[i] : edges[i + 1]])
                     if len(ids) != numbers[i]:
                         raise ValueError(f"{path}: document {own[i]} has not as many ids as its index says")
                     crc[i] = zlib.crc32(ids)
