@@ -84,9 +84,12 @@ def run_to_end(
     keys: Sequence[str],
     mode: str = "update",
     allow_late: bool = False,
+    provider: str | None = None,
 ) -> DataFrame:
     """Process everything available and return the latest row of every key.
 
+    ``provider`` names the state store of this query, where it needs another than the session's.
+
     Rows that came too late for the watermark are an error unless ``allow_late``.
 
     Each batch goes to its own folder, overwritten when a batch is retried, so a restart writes
@@ -102,13 +105,20 @@ def run_to_end(
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/lote={batch_id}")
 
-    query = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", f"{folder}/state")
-        .foreachBatch(write)
-        .trigger(availableNow=True)
-        .start()
-    )
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    usual = spark.conf.get(setting)
+    spark.conf.set(setting, provider or usual)
+    try:
+        query = (
+            stream.writeStream.outputMode(mode)
+            .option("checkpointLocation", f"{folder}/state")
+            .foreachBatch(write)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        # a query keeps the settings it was started with
+        spark.conf.set(setting, usual)
     dropped = 0
     seen: set[int] = set()
     while not query.awaitTermination(1):
