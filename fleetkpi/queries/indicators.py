@@ -228,9 +228,9 @@ def band_counts(spark, sf_dir):
 )
 def executive_summary(spark, sf_dir):
     rows, cuts = timeline_and_cuts(spark, sf_dir)
-    rows = materialise(rows)
-    months = history.month_summary(history.indicator_history(rows, AS_OF, cuts))
-    rows = kpi.executive_summary(kpi.combine(*kpi.rule_indicators(rows, AS_OF, cuts)), months)
+    # the last month ends at the date of all other tables, so it is the state of now
+    months = materialise(history.indicator_history(rows, AS_OF, cuts))
+    rows = kpi.executive_summary(months.filter(F.col("mes") == AS_OF[:7]), history.month_summary(months))
     return rows.withColumns(
         {
             "promedio_fr30": F.round("promedio_fr30", 6),
