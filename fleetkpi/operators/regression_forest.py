@@ -102,30 +102,35 @@ def _weights(keys: np.ndarray, tree: int, seed: int, bootstrap: bool) -> np.ndar
 def _sums(trees: _Trees, level: int, targets: int, each: int, features: int, seed: int, bootstrap: bool):
     """Weights and weighted targets of a level by node, feature and bin."""
     first = 1 << level
-    size = first * features * (BINS + 1)
+    size = first * (BINS + 1)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((targets * each, 2, size))
+        total = np.zeros((targets * each, 2, features, size))
         seen = False
         for batch in _gathered(batches):
             seen = True
             bins = np.frombuffer(b"".join(batch["bins"]), np.uint8).reshape(len(batch), features).astype(np.int64)
             keys = batch["key"].to_numpy(np.int64)
-            for target in range(targets):
-                y = batch[f"y{target}"].to_numpy(np.float64)
-                for number in range(each):
+            values = [batch[f"y{target}"].to_numpy(np.float64) for target in range(targets)]
+            for number in range(each):
+                weights = _weights(keys, number, seed, bootstrap)
+                drawn = np.flatnonzero(weights)
+                mine, w = bins[drawn], weights[drawn]
+                for target, y in enumerate(values):
                     tree = target * each + number
-                    node = trees.reached(tree, bins, level)
+                    node = trees.reached(tree, mine, level)
                     own = np.flatnonzero(node)
-                    w = _weights(keys[own], number, seed, bootstrap)
-                    place = (node[own] - first)[:, None] * features + np.arange(features)
-                    place = (place * (BINS + 1) + bins[own]).ravel()
-                    total[tree, 0] += np.bincount(place, np.repeat(w, features), size)
-                    total[tree, 1] += np.bincount(place, np.repeat(w * y[own], features), size)
+                    place, weight = (node[own] - first) * (BINS + 1), w[own]
+                    weighted = weight * y[drawn[own]]
+                    for feature in range(features):
+                        cell = place + mine[own, feature]
+                        total[tree, 0, feature] += np.bincount(cell, weight, size)
+                        total[tree, 1, feature] += np.bincount(cell, weighted, size)
         for tree in range(targets * each if seen else 0):
-            parts = total[tree].reshape(2, first, -1)
-            some = np.flatnonzero(parts[0].any(axis=1))
-            yield pd.DataFrame({"tree": tree, "node": first + some, "sums": [parts[:, at].tobytes() for at in some]})
+            # by node, then weights and targets, feature, bin
+            parts = total[tree].reshape(2, features, first, BINS + 1).transpose(2, 0, 1, 3)
+            some = np.flatnonzero(parts[:, 0, 0].any(axis=1))
+            yield pd.DataFrame({"tree": tree, "node": first + some, "sums": [parts[at].tobytes() for at in some]})
 
     return rows
 
