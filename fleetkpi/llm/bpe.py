@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 #: Characters of text whose words are numbered together.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 2_000_000
 #: Bytes of text for a bucket of words, about; its distinct words are together in one task.
 BUCKET_BYTES = 64 << 20
 #: `target` is the bucket of a word list; of a numbered chunk it is the chunk's key, which is below zero.
