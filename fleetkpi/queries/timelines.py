@@ -6,10 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import features
-from ..operators.timeline import find_cuts
 from ..plans.forecast import daily_hours, machine_days
 from ..sources.adapters import AS_OF, telemetry_from_lineitem
-from .base import Registry, big, cleaned, r, sql, timeline, timeline_and_cuts, ts
+from .base import Registry, big, cleaned, cleaned_and_cuts, r, sql, timeline, timeline_and_cuts, ts
 
 QUERIES = Registry()
 
@@ -188,8 +187,8 @@ def health_labels(spark, sf_dir):
 
 @QUERIES.add("W01", sql("select visit_id, ingresos_30d, ingresos_60d, ingresos_90d from wf", "wf"))
 def trailing_visits(spark, sf_dir):
-    visits = cleaned(spark, sf_dir)
-    rows = features.trailing_counts(visits, cuts=find_cuts(visits))
+    visits, cuts = cleaned_and_cuts(spark, sf_dir)
+    rows = features.trailing_counts(visits, cuts=cuts)
     return rows.select("visit_id", "ingresos_30d", "ingresos_60d", "ingresos_90d")
 
 
@@ -254,8 +253,8 @@ def means_last_three(spark, sf_dir):
 
 @QUERIES.add("W08 W09", sql("select visit_id, sistema_count_60d, sistemas_unicos_60d from wf", "wf"))
 def system_recurrence(spark, sf_dir):
-    visits = cleaned(spark, sf_dir)
-    rows = features.system_counts(visits, cuts=find_cuts(visits))
+    visits, cuts = cleaned_and_cuts(spark, sf_dir)
+    rows = features.system_counts(visits, cuts=cuts)
     return rows.select("visit_id", "sistema_count_60d", "sistemas_unicos_60d")
 
 
@@ -385,8 +384,8 @@ def fifth_visit_on(spark, sf_dir):
     ),
 )
 def period_labels(spark, sf_dir):
-    visits = cleaned(spark, sf_dir)
-    return features.period_labels(visits, cuts=find_cuts(visits)).select("visit_id", "periodo")
+    visits, cuts = cleaned_and_cuts(spark, sf_dir)
+    return features.period_labels(visits, cuts=cuts).select("visit_id", "periodo")
 
 
 @QUERIES.add(
@@ -424,8 +423,8 @@ def recent_versus_usual(spark, sf_dir):
     ),
 )
 def visits_around(spark, sf_dir):
-    visits = cleaned(spark, sf_dir)
-    rows = features.visits_around(visits, 30, 30, find_cuts(visits))
+    visits, cuts = cleaned_and_cuts(spark, sf_dir)
+    rows = features.visits_around(visits, 30, 30, cuts)
     return rows.select("visit_id", "visitas_cercanas")
 
 

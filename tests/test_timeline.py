@@ -10,7 +10,7 @@ import pytest
 from visitlog import AS_OF, values, visits
 
 from fleetkpi.operators import features, profile
-from fleetkpi.operators.timeline import NO_CUTS, ROWS_PER_SLICE, find_cuts
+from fleetkpi.operators.timeline import NO_CUTS, ROWS_PER_SLICE, find_cuts, written
 from fleetkpi.plans import anomaly, fr30
 
 
@@ -174,6 +174,20 @@ def test_a_burst_is_cut_evenly(spark):
     assert values(rows.filter("visit_id in (1, 2000, 4000)"), "visit_id", "n") == {1: 1, 2000: 2000, 4000: 4000}
 
 
+def test_windows_of_a_larger_log_take_more_tasks(crowded):
+    """Tasks follow the number of visits, whatever the shuffle partitions; the rows are the same."""
+    cuts = find_cuts(crowded, rows_per_task=10)
+    assert not cuts and cuts.tasks >= crowded.count() / 10 and find_cuts(crowded).tasks is None
+    for job in (
+        lambda c: features.visit_timeline(crowded, AS_OF, c),
+        lambda c: fr30.training_set(features.visit_timeline(crowded, AS_OF, c), c),
+        lambda c: fr30.current_state(written(features.visit_timeline(crowded, AS_OF, c), c), c),
+    ):
+        dealt = job(cuts)
+        assert dealt.rdd.getNumPartitions() == cuts.tasks
+        assert sorted(map(str, dealt.collect())) == sorted(map(str, job(NO_CUTS).collect()))
+
+
 def test_windows_share_one_shuffle(spark):
     """The feature table needs a single exchange by machine."""
     log = visits(spark, [(i, "A-1", f"2024-01-{i:02d} 00:00:00") for i in range(1, 9)])
