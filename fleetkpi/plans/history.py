@@ -19,7 +19,7 @@ from ..functions.bands import band
 from ..functions.clock import elapsed_days, instant, micros, month_start, month_text
 from ..operators.features import anomaly_windows, trailing_counts
 from ..operators.selection import long_form, running_medians
-from ..operators.timeline import NO_CUTS, Cuts, settled
+from ..operators.timeline import NO_CUTS, Cuts, dealt, settled
 from ..storage import materialise
 from .anomaly import rule_points
 from .forecast import rule_rates
@@ -58,11 +58,12 @@ def month_states(timeline: DataFrame, cuts: Cuts = NO_CUTS) -> tuple[DataFrame,
     ``_mes`` is the month's first day.
     """
     base = timeline.select("codigo", "visit_id", "fecha_in", "sistema_afectado", "clase", "tbf_dias", "ciclo_horas", "tbf_med_3", "primera_in")
-    rows = materialise(
+    table = materialise(
         anomaly_windows(settled(base, cuts), cuts).select(
             *base.columns, "ingresos_30d", "mttr_med_30d", "sistemas_unicos_30d", month_start(F.col("fecha_in")).alias("_mes")
         )
     )
+    rows = table if cuts else dealt(table, cuts)
     last = F.struct(
         F.col("fecha_in").alias("ultima_in"),
         "clase",
@@ -92,7 +93,7 @@ def month_states(timeline: DataFrame, cuts: Cuts = NO_CUTS) -> tuple[DataFrame,
         *_MEDIANS,
         "_l.*",
     )
-    return states, rows
+    return states, table
 
 
 def fleet_states(rows: DataFrame) -> DataFrame:
@@ -126,7 +127,7 @@ def indicator_history(timeline: DataFrame, as_of: str, cuts: Cuts = NO_CUTS) ->
     until = month_start(instant(as_of))
     machine = _carried(states, ["codigo"], until)
     fleet = _carried(fleet_states(rows), [], until).drop("_mes")
-    joined = machine.join(fleet, "mes")  # a row a month
+    joined = machine.join(F.broadcast(fleet), "mes")  # a row a month
     end = F.least(F.add_months("mes", 1).cast("timestamp"), instant(as_of))
     known = rule_points(rule_rates(rule_lives(joined, end)))
     return known.select(

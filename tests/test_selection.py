@@ -32,6 +32,29 @@ def test_only_the_bracket_comes_together(spark, monkeypatch):
     assert seen[0] < 2_000
 
 
+def test_one_large_group_is_not_brought_into_one_task(spark, monkeypatch):
+    """Brackets and bin edges are handed to the values; a join by the group would gather them."""
+    joins = []
+    materialise, picked = selection.materialise, selection._picked
+
+    def planned(df, *rest):
+        joins.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialise(df) if not rest else picked(df, *rest)
+
+    monkeypatch.setattr(selection, "materialise", planned)
+    monkeypatch.setattr(selection, "_picked", lambda ranked, by: planned(ranked, by))
+    rows = spark.range(3_000).selectExpr("if(id < 0, 'w', 'v') as name", "int(id % 7) as paso", "cast(id as double) as value")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert selection.selected_medians(rows, []).first().median == 1499.5
+        assert "BroadcastHashJoin" in joins[0] and "SortMergeJoin" not in joins[0]
+        assert selection.running_medians(rows, [], "paso").count() == 7
+        assert "BroadcastHashJoin" in joins[1] and "SortMergeJoin" not in joins[1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_global_medians(spark):
     rng = random.Random(2)
     some = [(rng.choice([None, rng.random(), 0.5, -3.0]), rng.choice([1.0, 2.0]), None) for _ in range(501)]
