@@ -21,7 +21,7 @@ from ..functions.clock import DAY_US
 #: Sums are kept in whole steps of this size, so that a difference of them has no rounding error.
 STEP = 2.0**-40
 #: Rows that are worked on together.
-ROWS = 1 << 17
+ROWS = 1 << 15
 
 STATISTICS = {
     "ingresos_30d": "bigint",
