@@ -128,11 +128,10 @@ def fit_forest(
     ]
 
     scaled = [((F.col(c) - m) / s).alias(c) for c, m, s in zip(columns, mean, scale)]
-    chosen = F.filter(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.pmod(F.xxhash64(t + 1, F.col("_draw")), F.lit(n)) < sample,
-    )
-    sampled = filled.select(F.explode(chosen).alias("tree"), "_draw", *scaled)
+    # pairs of a row and a tree are made and dropped within one compiled loop
+    pairs = filled.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    chosen = pairs.filter(F.pmod(F.xxhash64(F.col("tree") + 1, F.col("_draw")), F.lit(n)) < sample)
+    sampled = chosen.select("tree", "_draw", *scaled)
     limit = math.ceil(math.log2(max(sample, 2)))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -158,31 +157,32 @@ def _scorer(nodes: pd.DataFrame):
     for _, part in nodes.groupby("tree", sort=True):
         part = part.sort_values("node")
         leaf = part["depth"].to_numpy() + expected_path(part["size"].to_numpy())
+        inner = part["feature"].to_numpy() >= 0
+        own = np.arange(len(part))
         trees.append(
             (
-                part["feature"].to_numpy(),
-                part["threshold"].to_numpy(),
-                part["left"].to_numpy(),
-                part["right"].to_numpy(),
+                np.where(inner, part["feature"], 0),
+                # a leaf leads to itself
+                np.where(inner, part["threshold"], np.inf),
+                np.stack([np.where(inner, part["right"], own), np.where(inner, part["left"], own)], axis=1).ravel(),
+                int(part["depth"].max()),
                 leaf,
                 float(expected_path(part["sample"].iloc[0])) or 1.0,
             )
         )
 
     def score(values: np.ndarray) -> np.ndarray:
+        # what cannot be compared goes right, as the largest value does
+        flat = np.where(np.isnan(values), np.inf, values).ravel()
+        first = np.arange(len(values)) * values.shape[1]
         depth = np.zeros(len(values))
-        rows = np.arange(len(values))
         norm = 0.0
-        for feature, threshold, left, right, leaf, usual in trees:
-            at = np.zeros(len(values), dtype=int)
-            while True:
-                inner = feature[at] >= 0
-                if not inner.any():
-                    break
-                here = at[inner]
-                goes_left = values[rows[inner], feature[here]] <= threshold[here]
-                at[inner] = np.where(goes_left, left[here], right[here])
-            depth += leaf[at]
+        for feature, threshold, below, levels, leaf, usual in trees:
+            at = np.zeros(len(values), dtype=np.int64)
+            for _ in range(levels):
+                goes_left = flat.take(feature.take(at) + first) <= threshold.take(at)
+                at = below.take(2 * at + goes_left)
+            depth += leaf.take(at)
             norm += usual
         return np.power(2.0, -depth / norm)
 

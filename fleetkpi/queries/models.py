@@ -734,7 +734,8 @@ def saved_forest_scores(spark, sf_dir):
     readings = materialise(telemetry(spark, sf_dir))
     path = scratch_folder(spark, "forest")
     save_model(tm.fit_anomaly(readings), path, spark)
-    scored = decision(score_forest(readings, load_model("forest", path, spark)))
+    # written once: the limit is taken from the written scores
+    scored = decision(materialise(score_forest(readings, load_model("forest", path, spark))))
     return scored.select("equipo", "fecha", r("score"), r("decision"))
 
 
