@@ -1,6 +1,6 @@
 """Regression forests for several targets, grown level by level in one pass for all trees.
 
-Features are cut into bins at quantiles once, and the bins are written. A level is one pass: a task adds up,
+Features are cut into bins at quantiles once, and the bins are written, many rows packed into one. A level is one pass: a task adds up,
 for each tree, node, feature and bin, the weights of its rows and their weighted targets; the sums of all
 tasks meet in small groups of nodes, which hand on the best split of each node alone. Rows never move, and
 what moves does not grow with them. Trees of all targets share the passes; a row's weight in a tree follows
@@ -70,20 +70,24 @@ class _Trees:
     """Splits of all trees as arrays [tree, node]; a node that is not split has feature -1."""
 
     def __init__(self, trees: int, depth: int):
-        self.feature = np.full((trees, 2 << depth), -1, np.int32)
-        self.cut = np.zeros((trees, 2 << depth), np.int32)
+        self.feature = np.full((trees, 2 << depth), -1, np.int64)
+        self.cut = np.zeros((trees, 2 << depth), np.int64)
 
     def add(self, nodes: pd.DataFrame) -> None:
         at = nodes["tree"].to_numpy(), nodes["node"].to_numpy()
         self.feature[at], self.cut[at] = nodes["feature"].to_numpy(), nodes["cut"].to_numpy()
 
-    def reached(self, tree: int, bins: np.ndarray, levels: int) -> np.ndarray:
-        """Node of each row after so many levels; 0 where its branch ended before."""
-        at, rows = np.ones(len(bins), np.int64), np.arange(len(bins))
+    def reached(self, tree: int, bins: np.ndarray, levels: int, stay: bool = False) -> np.ndarray:
+        """Node of each row after so many levels; where its branch ended before, 0 or the last node (`stay`)."""
+        own = np.arange(self.feature.shape[1])
+        split = self.feature[tree] >= 0
+        feature, cut = np.where(split, self.feature[tree], 0), np.where(split, self.cut[tree], BINS + 1)
+        below = np.where(split, 2 * own, own if stay else 0)
+        flat, first = bins.ravel(), np.arange(len(bins)) * bins.shape[1]
+        at = np.ones(len(bins), np.int64)
         for _ in range(levels):
-            feature = self.feature[tree, at]
-            right = bins[rows, feature] > self.cut[tree, at]
-            at = np.where(feature >= 0, 2 * at + right, 0)
+            right = flat.take(feature.take(at) + first) > cut.take(at)
+            at = below.take(at) + right
         return at
 
 
@@ -109,23 +113,24 @@ def _sums(trees: _Trees, level: int, targets: int, each: int, features: int, see
         seen = False
         for batch in _gathered(batches):
             seen = True
-            bins = np.frombuffer(b"".join(batch["bins"]), np.uint8).reshape(len(batch), features).astype(np.int64)
-            keys = batch["key"].to_numpy(np.int64)
-            values = [batch[f"y{target}"].to_numpy(np.float64) for target in range(targets)]
+            bins = np.frombuffer(b"".join(batch["bins"]), np.uint8).reshape(-1, features)
+            keys = np.frombuffer(b"".join(batch["keys"]), np.int64)
+            values = np.concatenate([np.frombuffer(y).reshape(targets, -1) for y in batch["ys"]], axis=1)
             for number in range(each):
                 weights = _weights(keys, number, seed, bootstrap)
                 drawn = np.flatnonzero(weights)
-                mine, w = bins[drawn], weights[drawn]
+                mine, w = bins.take(drawn, axis=0), weights.take(drawn)
+                columns = [mine[:, feature].astype(np.int64) for feature in range(features)]
                 for target, y in enumerate(values):
                     tree = target * each + number
                     node = trees.reached(tree, mine, level)
-                    own = np.flatnonzero(node)
-                    place, weight = (node[own] - first) * (BINS + 1), w[own]
-                    weighted = weight * y[drawn[own]]
+                    weighted = w * y.take(drawn)
+                    # rows whose branch has ended are counted in a node before the first, which is cut off
+                    place = np.maximum(node - (first - 1), 0) * (BINS + 1)
                     for feature in range(features):
-                        cell = place + mine[own, feature]
-                        total[tree, 0, feature] += np.bincount(cell, weight, size)
-                        total[tree, 1, feature] += np.bincount(cell, weighted, size)
+                        cell = place + columns[feature]
+                        total[tree, 0, feature] += np.bincount(cell, w, size + BINS + 1)[BINS + 1 :]
+                        total[tree, 1, feature] += np.bincount(cell, weighted, size + BINS + 1)[BINS + 1 :]
         for tree in range(targets * each if seen else 0):
             # by node, then weights and targets, feature, bin
             parts = total[tree].reshape(2, features, first, BINS + 1).transpose(2, 0, 1, 3)
@@ -137,12 +142,15 @@ def _sums(trees: _Trees, level: int, targets: int, each: int, features: int, see
 
 def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: list[pd.DataFrame] = []
+    many = 0
     for batch in batches:
-        held.append(batch)
-        if sum(map(len, held)) >= ROWS:
-            yield pd.concat(held)
-            held = []
-    if sum(map(len, held)):
+        for at in range(len(batch)):
+            held.append(batch.iloc[at : at + 1])
+            many += int(held[-1]["n"].iloc[0])
+            if many >= ROWS:
+                yield pd.concat(held)
+                held, many = [], 0
+    if many:
         yield pd.concat(held)
 
 
@@ -206,11 +214,14 @@ def fit_regression_forest(
 
     def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            if not len(batch):
+                continue
             bins = _binned(batch[columns].to_numpy(np.float64), edges).astype(np.uint8)
-            yield pd.DataFrame({"key": batch["key"], **{f"y{i}": batch[f"y{i}"] for i in range(len(targets))}, "bins": [b.tobytes() for b in bins]})
+            ys = np.stack([batch[f"y{i}"].to_numpy(np.float64) for i in range(len(targets))])
+            yield pd.DataFrame({"n": [len(batch)], "keys": [batch["key"].to_numpy(np.int64).tobytes()], "ys": [ys.tobytes()], "bins": [bins.tobytes()]})
 
-    schema = "key bigint, " + ", ".join(f"y{i} double" for i in range(len(targets))) + ", bins binary"
-    table = materialise(filled.mapInPandas(binned, schema))
+    # a row stands for a batch of rows: each pass takes it apart at once
+    table = materialise(filled.mapInPandas(binned, "n int, keys binary, ys binary, bins binary"))
     grown, found = _Trees(len(targets) * trees, max(depth, 1)), []
     for level in range(max(depth, 1)):
         sums = table.mapInPandas(_sums(grown, level, len(targets), trees, len(columns), seed, bootstrap), _SUMS)
@@ -253,13 +264,10 @@ def predict(df: DataFrame, forest: RegressionForest, names: Sequence[str]) -> Da
         value[nodes["tree"].to_numpy(), nodes["node"].to_numpy()] = nodes["value"].to_numpy()
         target = nodes.groupby("tree")["target"].first().to_numpy()
         for batch in batches:
-            bins, rows = _binned(batch.to_numpy(np.float64), edges), np.arange(len(batch))
+            bins = _binned(batch.to_numpy(np.float64), edges)
             out = np.zeros((len(names), len(batch)))
             for tree in range(many):
-                at = np.ones(len(batch), np.int64)
-                for _ in range(depth):
-                    feature = grown.feature[tree, at]
-                    at = np.where(feature >= 0, 2 * at + (bins[rows, feature] > grown.cut[tree, at]), at)
+                at = grown.reached(tree, bins, depth, stay=True)
                 out[target[tree]] += value[tree, at]
             yield pd.DataFrame({f"p{i}": out[i] / (target == i).sum() for i in range(len(names))})
 
