@@ -14,7 +14,8 @@ the partners that are equally short of parts.
 
 Signatures travel as packed arrays, one row for a task and bucket. In a bucket, texts with the same
 signature are tied to the smallest one (a star, not all pairs); sets decide which ties hold. Where a
-tie fails, the other members of that signature are compared too, unless they are connected anyway.
+tie fails, the other members of that signature are compared too, unless they are connected anyway: in
+rounds, in which each hands in a few pairs, until all are connected or refuted.
 
 Each set also has a parity sketch, about two bits a shingle, in which a shingle flips one bit. Two
 sketches differ in no more bits than their sets differ in shingles, so a pair whose sketches differ
@@ -39,6 +40,8 @@ from .words import Words, mix, shingle_sets, slices, texts
 PERCENT = 80
 #: Signatures that a task packs before it hands them on.
 FLUSH = 3_000_000
+#: Pairs that a member of a list hands in at first; four times as many in each further round.
+CROSS = 4
 LARGEST = 1 << 31
 
 FACTS = "doc_id bigint, n_shingles bigint, key_1 bigint, key_2 bigint, sketch binary"
@@ -305,9 +308,12 @@ def _verified(docs: DataFrame, facts: DataFrame, pairs: DataFrame, percent: int)
     return materialise(known.where("linked is not null").unionByName(decided).groupBy("a", "b").agg(F.max("linked").alias("linked")))
 
 
-def _cross_pairs(percent: int):
+def _cross_pairs(percent: int, most: int):
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of one list's members that are not connected yet and that sizes and sketches let pass."""
+        """Pairs of one list's members that are not connected yet and that sizes and sketches let pass.
+
+        Each member hands in its first `most` later ones that were not refuted, so the rows follow the members.
+        """
         rows = rows.sort_values("member", kind="stable")
         ids, group, sizes = (rows[c].to_numpy() for c in ("member", "component", "n_shingles"))
         if (group == group[0]).all():
@@ -315,15 +321,22 @@ def _cross_pairs(percent: int):
         least = min(map(len, rows["sketch"])) // 8
         bits = np.stack([_folded(x, least) for x in rows["sketch"]])
         left, right = [], []
-        for i in range(len(ids) - 1):
-            rest = slice(i + 1, None)
-            low, high = np.minimum(sizes[i], sizes[rest]), np.maximum(sizes[i], sizes[rest])
-            other = np.flatnonzero((group[rest] != group[i]) & (low * 100 >= high * percent)) + i + 1
-            apart = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            other = other[apart <= (sizes[i] + sizes[other]) * (100 - percent) // (100 + percent)]
-            left.append(np.full(len(other), ids[i]))
-            right.append(ids[other])
-        return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
+        for i, refuted in enumerate(rows["refuted"]):
+            begin, block, found = i + 1, 64, 0
+            while begin < len(ids) and found < most:
+                rest = slice(begin, begin + block)
+                low, high = np.minimum(sizes[i], sizes[rest]), np.maximum(sizes[i], sizes[rest])
+                other = np.flatnonzero((group[rest] != group[i]) & (low * 100 >= high * percent)) + begin
+                apart = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                other = other[apart <= (sizes[i] + sizes[other]) * (100 - percent) // (100 + percent)]
+                if refuted is not None and len(refuted):
+                    other = other[~np.isin(ids[other], refuted)]
+                other = other[: most - found]
+                left.append(np.full(len(other), ids[i]))
+                right.append(ids[other])
+                begin, block, found = begin + block, 2 * block, found + len(other)
+        none = np.zeros(0, np.int64)
+        return pd.DataFrame({"a": np.concatenate([none, *left]), "b": np.concatenate([none, *right])})
 
     return pairs
 
@@ -361,19 +374,27 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, buckets: int | N
     )
     mixed = materialise(mixed)
     grouped = materialise(components(edges))
-    if mixed.limit(1).count():
+    # a pair that holds connects its texts, so few pairs of a list need a look; those that fail are not looked at again
+    refuted, most = broken, CROSS
+    while mixed.limit(1).count():
         members = (
             mixed.select("list_key", F.explode("members").alias("member"))
             .join(grouped.withColumnRenamed("node", "member"), "member", "left")
             .join(solid.select(F.col("doc_id").alias("member"), "n_shingles", "sketch"), "member")
-            .select("list_key", "member", F.coalesce("component", "member").alias("component"), "n_shingles", "sketch")
+            .join(refuted.groupBy(F.col("a").alias("member")).agg(F.collect_list("b").alias("refuted")), "member", "left")
+            .select("list_key", "member", F.coalesce("component", "member").alias("component"), "n_shingles", "sketch", "refuted")
         )
-        cross = members.groupBy("list_key").applyInPandas(_cross_pairs(percent), "a bigint, b bigint").where("a <> b").distinct()
-        cross = cross.join(ties.select("a", "b"), ["a", "b"], "left_anti")
-        more = _verified(docs, solid, cross, percent).where("linked").select("a", "b")
-        grouped = components(
-            grouped.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)
+        cross = members.groupBy("list_key").applyInPandas(_cross_pairs(percent, most), "a bigint, b bigint")
+        cross = materialise(cross.where("a <> b").distinct())
+        if not cross.limit(1).count():
+            break
+        checked = _verified(docs, solid, cross, percent)
+        more = checked.where("linked").select("a", "b")
+        refuted = materialise(refuted.unionByName(checked.where("not linked").select("a", "b")))
+        grouped = materialise(
+            components(grouped.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
         )
+        most *= 4
     return facts.join(grouped.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )

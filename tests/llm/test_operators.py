@@ -5,12 +5,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import random
 import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import SF_DIR
 from pyspark.sql import functions as F
@@ -332,6 +334,41 @@ def test_sketches_never_differ_more_than_sets():
         assert apart <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
+def _list_rows(group, refuted):
+    """A list of near copies that nothing connects yet; sketches of 256 cells that differ in two."""
+    sketches = []
+    for i in range(group):
+        cells = np.zeros(256, np.uint8)
+        cells[i % 256] = 1
+        sketches.append(np.packbits(cells, bitorder="little").tobytes())
+    ids = np.arange(group)
+    none = [[j for j in range(i + 1, group)] if refuted else None for i in range(group)]
+    return pd.DataFrame({"list_key": 1, "member": ids, "component": ids, "n_shingles": 100, "sketch": sketches, "refuted": none})
+
+
+def test_jaccard_candidates_follow_the_members_of_a_list():
+    for group in (100, 400):
+        found = ngram_join._cross_pairs(80, 4)(_list_rows(group, refuted=False))
+        assert group - 1 <= len(found) <= 4 * group and (found["a"] < found["b"]).all()
+        assert not len(ngram_join._cross_pairs(80, 4)(_list_rows(group, refuted=True)))
+
+
+def test_jaccard_rounds_lose_no_link(spark, monkeypatch):
+    """Members that share passages, hand in one candidate at a time and are mostly refuted."""
+    monkeypatch.setattr(ngram_join, "CROSS", 1)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(40):
+        words = list(base)
+        for at in rng.sample(range(60), rng.choice([1, 1, 2, 3])):
+            words[at] = f"x{rng.randrange(4)}"
+        rows.append((i, " ".join(words)))
+    component = brute_components({i: shingles(t) for i, t in rows})
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(table(spark, rows, "doc_id bigint, text string"), buckets=2).collect()}
+    assert got == component and 1 < len(set(component.values())) < 40
+
+
 def test_jaccard_odd_input(odd, empty):
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(odd).collect())
     assert got[(None, 6, None)] == 1 and got[(2, 6, 1)] == 2 and got[(1, 6, 1)] == 1
