@@ -41,7 +41,7 @@ PERCENT = 80
 #: Signatures that a task packs before it hands them on.
 FLUSH = 3_000_000
 #: Pairs that a member of a list hands in at first; four times as many in each further round.
-CROSS = 4
+CROSS = 16
 LARGEST = 1 << 31
 
 FACTS = "doc_id bigint, n_shingles bigint, key_1 bigint, key_2 bigint, sketch binary"
