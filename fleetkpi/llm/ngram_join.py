@@ -42,6 +42,8 @@ PERCENT = 80
 FLUSH = 3_000_000
 #: Pairs that a member of a list hands in at first; four times as many in each further round.
 CROSS = 16
+#: Cells of a table of pairs, or words of their sketches, that a task looks at together.
+CELLS = 1 << 20
 LARGEST = 1 << 31
 
 FACTS = "doc_id bigint, n_shingles bigint, key_1 bigint, key_2 bigint, sketch binary"
@@ -308,39 +310,109 @@ def _verified(docs: DataFrame, facts: DataFrame, pairs: DataFrame, percent: int)
     return materialise(known.where("linked is not null").unionByName(decided).groupBy("a", "b").agg(F.max("linked").alias("linked")))
 
 
+def _bits(sketches: pd.Series, size: int) -> np.ndarray:
+    """Sketches folded to `size` words, [row, word]."""
+    lengths = sketches.map(len).to_numpy() // 8
+    out = np.zeros((len(sketches), size), np.uint64)
+    for length in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == length)
+        # halves laid over each other again and again: words that lie a multiple of `size` apart
+        words = np.frombuffer(b"".join(sketches.iloc[at]), np.uint64).reshape(len(at), -1, size)
+        out[at] = np.bitwise_xor.reduce(words, axis=1)
+    return out
+
+
 def _cross_pairs(percent: int, most: int):
+    def of_one_size(rows: pd.DataFrame, ends: np.ndarray, size: int) -> list[np.ndarray]:
+        """Places of the pairs' members and whether a member has handed in as many as it may; `ends` are those of the lists."""
+        ids, group, sizes = (rows[c].to_numpy() for c in ("member", "component", "n_shingles"))
+        bits, refuted = _bits(rows["sketch"], size), rows["refuted"].to_numpy()
+        found = np.zeros(len(rows), np.int64)
+        out = [np.zeros((2, 0), np.int64)]
+        active, begin, block = np.arange(len(rows)), 1, 64
+        while len(active):
+            for part in np.array_split(active, -(-len(active) * block // CELLS)):
+                # each member with those that come `begin` to `begin + block` places later in its list
+                reach = int(min(block, (ends[part] - part).max() - begin))
+                if reach <= 0:
+                    continue
+                other = part[:, None] + np.arange(begin, begin + reach)
+                inside = other < ends[part][:, None]
+                other = np.where(inside, other, part[:, None])
+                low, high = np.minimum(sizes[part][:, None], sizes[other]), np.maximum(sizes[part][:, None], sizes[other])
+                row, column = np.nonzero(inside & (group[other] != group[part][:, None]) & (low * 100 >= high * percent))
+                left, right = part[row], other[row, column]
+                keep = np.zeros(len(left), bool)
+                for at in range(0, len(left), step := max(CELLS // size, 1)):
+                    i, j = left[at : at + step], right[at : at + step]
+                    apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+                    keep[at : at + step] = apart <= (sizes[i] + sizes[j]) * (100 - percent) // (100 + percent)
+                left, right = left[keep], right[keep]
+                keep = np.ones(len(left), bool)
+                heads = np.append(np.flatnonzero(np.diff(left, prepend=-1)), len(left)).tolist()
+                for a, b in zip(heads[:-1], heads[1:], strict=True):
+                    known = refuted[left[a]]
+                    if known is not None and len(known):
+                        keep[a:b] = ~np.isin(ids[right[a:b]], known)
+                left, right = left[keep], right[keep]
+                # the first `most` of each member
+                nth = np.arange(len(left)) - np.searchsorted(left, left) + found[left]
+                left, right = left[nth < most], right[nth < most]
+                found += np.bincount(left, minlength=len(rows))
+                out.append(np.stack([left, right]))
+            begin, block = begin + block, 2 * block
+            active = active[(found[active] < most) & (active + begin < ends[active])]
+        left, right = np.concatenate(out, axis=1)
+        return [left, right, found[left] >= most]
+
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of one list's members that are not connected yet and that sizes and sketches let pass.
+        """Pairs of members of the same list that are not connected yet and that sizes and sketches let pass.
 
         Each member hands in its first `most` later ones that were not refuted, so the rows follow the members.
+        `list_key` is set where a member may have more: all open pairs of the other lists are among the rows.
         """
-        rows = rows.sort_values("member", kind="stable")
-        ids, group, sizes = (rows[c].to_numpy() for c in ("member", "component", "n_shingles"))
-        if (group == group[0]).all():
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        least = min(map(len, rows["sketch"])) // 8
-        bits = np.stack([_folded(x, least) for x in rows["sketch"]])
-        left, right = [], []
-        for i, refuted in enumerate(rows["refuted"]):
-            begin, block, found = i + 1, 64, 0
-            while begin < len(ids) and found < most:
-                rest = slice(begin, begin + block)
-                low, high = np.minimum(sizes[i], sizes[rest]), np.maximum(sizes[i], sizes[rest])
-                other = np.flatnonzero((group[rest] != group[i]) & (low * 100 >= high * percent)) + begin
-                apart = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                other = other[apart <= (sizes[i] + sizes[other]) * (100 - percent) // (100 + percent)]
-                if refuted is not None and len(refuted):
-                    other = other[~np.isin(ids[other], refuted)]
-                other = other[: most - found]
-                left.append(np.full(len(other), ids[i]))
-                right.append(ids[other])
-                begin, block, found = begin + block, 2 * block, found + len(other)
-        none = np.zeros(0, np.int64)
-        return pd.DataFrame({"a": np.concatenate([none, *left]), "b": np.concatenate([none, *right])})
+        rows = rows.sort_values(["list_key", "member"], kind="stable", ignore_index=True)
+        keys, group = rows["list_key"].to_numpy(), rows["component"].to_numpy()
+        at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        count = np.diff(np.append(at, len(rows)))
+        least = np.minimum.reduceat(rows["sketch"].map(len).to_numpy(), at) // 8
+        least[np.minimum.reduceat(group, at) == np.maximum.reduceat(group, at)] = 0
+        out = []
+        for size in np.unique(least[least > 0]).tolist():
+            own = rows[np.repeat(least == size, count)]
+            ends = np.repeat(np.cumsum(count[least == size]), count[least == size])
+            left, right, more = of_one_size(own, ends, size)
+            ids = own["member"].to_numpy()
+            key = pd.array(own["list_key"].to_numpy()[left], "Int64")
+            key[~more] = pd.NA
+            out.append(pd.DataFrame({"a": ids[left], "b": ids[right], "list_key": key}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "list_key": []}, dtype="Int64")
 
     return pairs
 
 
+def _listed(percent: int, most: int):
+    pairs = _cross_pairs(percent, most)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pairs of all lists of a task, whose rows come list by list."""
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = batch["list_key"].to_numpy()
+            # the last list may go on in the next batch; so may the one held
+            last = len(keys) - int((keys[::-1] != keys[-1]).argmax()) if keys[0] != keys[-1] else 0
+            if last or (held and held[0]["list_key"].iloc[0] != keys[0]):
+                yield pairs(pd.concat([*held, batch.iloc[:last]]))
+                held = []
+            held.append(batch.iloc[last:])
+        if held:
+            yield pairs(pd.concat(held))
+
+    return rows
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id, one row for each row of docs (doc_id, text).
 
@@ -384,8 +456,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, buckets: int | N
             .join(refuted.groupBy(F.col("a").alias("member")).agg(F.collect_list("b").alias("refuted")), "member", "left")
             .select("list_key", "member", F.coalesce("component", "member").alias("component"), "n_shingles", "sketch", "refuted")
         )
-        cross = members.groupBy("list_key").applyInPandas(_cross_pairs(percent, most), "a bigint, b bigint")
-        cross = materialise(cross.where("a <> b").distinct())
+        members = members.repartition("list_key").sortWithinPartitions("list_key")
+        handed = materialise(members.mapInPandas(_listed(percent, most), "a bigint, b bigint, list_key bigint"))
+        cross = handed.where("a <> b").select("a", "b").distinct()
         if not cross.limit(1).count():
             break
         checked = _verified(docs, solid, cross, percent)
@@ -394,6 +467,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, buckets: int | N
         grouped = materialise(
             components(grouped.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
         )
+        # a list that has handed in all it had is settled: its pairs hold now or are refuted
+        mixed = materialise(mixed.join(handed.select("list_key").where("list_key is not null").distinct(), "list_key", "left_semi"))
         most *= 4
     return facts.join(grouped.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")

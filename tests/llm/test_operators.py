@@ -353,6 +353,19 @@ def test_jaccard_candidates_follow_the_members_of_a_list():
         assert not len(ngram_join._cross_pairs(80, 4)(_list_rows(group, refuted=True)))
 
 
+def test_jaccard_lists_are_compared_together_and_settled_ones_are_left_alone():
+    """Pairs stay within their list however batches cut it; only a list with more pairs than it may hand in goes on."""
+    lists = [_list_rows(group, refuted=False) for group in (3, 100, 4, 70)]
+    rows = pd.concat([x.assign(list_key=7 * i - 9, member=x["member"] + 1000 * i, component=x["component"] + 1000 * i) for i, x in enumerate(lists)])
+    whole = ngram_join._cross_pairs(80, 4)(rows)
+    assert (whole["a"] // 1000 == whole["b"] // 1000).all() and set(whole["list_key"].dropna()) == {-2, 12}
+    assert (whole["a"] < 1000).sum() == 3 and (whole["a"] // 1000 == 2).sum() == 6
+    pairs = sorted(zip(whole["a"], whole["b"], strict=True))
+    for many in (1, 7, 101, 1000):
+        parts = pd.concat(ngram_join._listed(80, 4)(rows.iloc[at : at + many] for at in range(0, len(rows), many)))
+        assert sorted(zip(parts["a"], parts["b"], strict=True)) == pairs
+
+
 def test_jaccard_rounds_lose_no_link(spark, monkeypatch):
     """Members that share passages, hand in one candidate at a time and are mostly refuted."""
     monkeypatch.setattr(ngram_join, "CROSS", 1)
