@@ -7,6 +7,7 @@ from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.boosted_trees import BoostedTrees
 from ..operators.forest import IsolationForest
 from ..operators.regression_forest import RegressionForest
 from ..operators.reports import machine_summary
@@ -75,7 +76,7 @@ def save_model(model, path: str, spark: SparkSession) -> None:
     elif isinstance(model, ReturnModel):
         model.encoder.write().overwrite().save(f"{path}/encoder")
         for i, fold in enumerate(model.folds):
-            fold.classifier.write().overwrite().save(f"{path}/fold{i}/classifier")
+            fold.classifier.save(spark, f"{path}/fold{i}/classifier")
             fold.calibration.write().overwrite().save(f"{path}/fold{i}/calibration")
         spark.createDataFrame([(len(model.folds),)], "folds int").write.mode("overwrite").parquet(
             f"{path}/meta"
@@ -100,7 +101,7 @@ def load_model(kind: str, path: str, spark: SparkSession):
             PipelineModel.load(f"{path}/encoder"),
             [
                 Fold(
-                    PipelineModel.load(f"{path}/fold{i}/classifier"),
+                    BoostedTrees.load(spark, f"{path}/fold{i}/classifier"),
                     IsotonicRegressionModel.load(f"{path}/fold{i}/calibration"),
                 )
                 for i in range(folds)
