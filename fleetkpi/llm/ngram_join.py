@@ -39,9 +39,11 @@ from .words import Words, mix, shingle_sets, slices, texts
 
 PERCENT = 80
 #: Signatures that a task packs before it hands them on.
-FLUSH = 3_000_000
-#: Pairs that a member of a list hands in at first; four times as many in each further round.
+FLUSH = 1_000_000
+#: Pairs that a member of a list, or two components in a list, hand in at first; four times as many in each further round.
 CROSS = 16
+#: Lists with more members hand in a quarter of that: what holds or fails in one of them settles many others.
+LONG = 256
 #: Cells of a table of pairs, or words of their sketches, that a task looks at together.
 CELLS = 1 << 20
 LARGEST = 1 << 31
@@ -323,8 +325,8 @@ def _bits(sketches: pd.Series, size: int) -> np.ndarray:
 
 
 def _cross_pairs(percent: int, most: int):
-    def of_one_size(rows: pd.DataFrame, ends: np.ndarray, size: int) -> list[np.ndarray]:
-        """Places of the pairs' members and whether a member has handed in as many as it may; `ends` are those of the lists."""
+    def of_one_size(rows: pd.DataFrame, ends: np.ndarray, limit: np.ndarray, size: int) -> list[np.ndarray]:
+        """Places of the pairs' members and whether these or their components have handed in as many as they may; `ends` and `limit` are those of the lists."""
         ids, group, sizes = (rows[c].to_numpy() for c in ("member", "component", "n_shingles"))
         bits, refuted = _bits(rows["sketch"], size), rows["refuted"].to_numpy()
         found = np.zeros(len(rows), np.int64)
@@ -355,21 +357,31 @@ def _cross_pairs(percent: int, most: int):
                     if known is not None and len(known):
                         keep[a:b] = ~np.isin(ids[right[a:b]], known)
                 left, right = left[keep], right[keep]
-                # the first `most` of each member
+                # the first of each member
                 nth = np.arange(len(left)) - np.searchsorted(left, left) + found[left]
-                left, right = left[nth < most], right[nth < most]
+                inside = nth < limit[left]
+                left, right = left[inside], right[inside]
                 found += np.bincount(left, minlength=len(rows))
                 out.append(np.stack([left, right]))
             begin, block = begin + block, 2 * block
-            active = active[(found[active] < most) & (active + begin < ends[active])]
+            active = active[(found[active] < limit[active]) & (active + begin < ends[active])]
         left, right = np.concatenate(out, axis=1)
-        return [left, right, found[left] >= most]
+        # the first of those between the same two components of a list: one that holds connects them
+        low, high = np.minimum(group[left], group[right]), np.maximum(group[left], group[right])
+        order = np.lexsort((high, low, ends[left]))
+        alike = np.stack([ends[left], low, high])[:, order]
+        heads = np.flatnonzero(np.concatenate(([True], (alike[:, 1:] != alike[:, :-1]).any(axis=0)))[: len(left)])
+        count = np.diff(np.append(heads, len(left)))
+        kept = np.arange(len(left)) - np.repeat(heads, count) < limit[left[order]]
+        left, right, more = left[order][kept], right[order][kept], (np.repeat(count, count) > limit[left[order]])[kept]
+        return [left, right, more | (found[left] >= limit[left])]
 
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
         """Pairs of members of the same list that are not connected yet and that sizes and sketches let pass.
 
-        Each member hands in its first `most` later ones that were not refuted, so the rows follow the members.
-        `list_key` is set where a member may have more: all open pairs of the other lists are among the rows.
+        Each member hands in its first `most` later ones that were not refuted (a quarter in a list of over `LONG`),
+        so the rows follow the members, and of these pairs two components hand in no more than that. `list_key`
+        is set where there may be more: all open pairs of the other lists are among the rows.
         """
         rows = rows.sort_values(["list_key", "member"], kind="stable", ignore_index=True)
         keys, group = rows["list_key"].to_numpy(), rows["component"].to_numpy()
@@ -379,9 +391,10 @@ def _cross_pairs(percent: int, most: int):
         least[np.minimum.reduceat(group, at) == np.maximum.reduceat(group, at)] = 0
         out = []
         for size in np.unique(least[least > 0]).tolist():
+            many = count[least == size]
+            limit = np.where(many > LONG, max(most // 4, 1), most)
             own = rows[np.repeat(least == size, count)]
-            ends = np.repeat(np.cumsum(count[least == size]), count[least == size])
-            left, right, more = of_one_size(own, ends, size)
+            left, right, more = of_one_size(own, np.repeat(np.cumsum(many), many), np.repeat(limit, many), size)
             ids = own["member"].to_numpy()
             key = pd.array(own["list_key"].to_numpy()[left], "Int64")
             key[~more] = pd.NA

@@ -366,6 +366,22 @@ def test_jaccard_lists_are_compared_together_and_settled_ones_are_left_alone():
         assert sorted(zip(parts["a"], parts["b"], strict=True)) == pairs
 
 
+def test_jaccard_components_of_a_list_hand_in_few_pairs():
+    """Two groups that are connected within need one link; the list goes on until all pairs are refuted."""
+    rows = _list_rows(60, refuted=False)
+    rows["component"] = rows["member"] % 2
+    found = ngram_join._cross_pairs(80, 4)(rows)
+    assert len(found) == 4 and (found["a"] % 2 != found["b"] % 2).all() and set(found["list_key"]) == {1}
+    seen, most = set(), 4
+    while len(found):
+        assert not seen & (new := set(zip(found["a"].tolist(), found["b"].tolist(), strict=True)))
+        seen |= new
+        rows["refuted"] = [[b for a, b in seen if a == i] or None for i in range(60)]
+        most *= 4
+        found = ngram_join._cross_pairs(80, most)(rows)
+    assert seen == {(a, b) for a in range(60) for b in range(a + 1, 60) if (a - b) % 2}
+
+
 def test_jaccard_rounds_lose_no_link(spark, monkeypatch):
     """Members that share passages, hand in one candidate at a time and are mostly refuted."""
     monkeypatch.setattr(ngram_join, "CROSS", 1)

@@ -7,6 +7,7 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF_DIR
 from pyspark.sql import functions as F
@@ -122,6 +123,23 @@ def test_toxicity_on_the_held_out_fifth(spark):
     assert toxic > 80 and counts[1, 0] >= 0.75 * toxic and counts[0, 1] >= 0.97 * clean
 
 
+def test_workers_get_texts_in_small_batches(spark):
+    """The executor and its Python workers hold a few MB of text at a time, not 10,000 texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    many = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("some text "), 1000).alias("text"))
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    try:
+        spark.conf.set(key, str(256 << 20))
+        STAGES["bpe"](spark, spark.createDataFrame([], DOCS), SF_DIR)
+        assert many.mapInArrow(sizes, "n bigint").agg(F.max("n")).first()[0] < 5 << 20
+        spark.conf.set(key, "1000")
+        STAGES["bpe"](spark, spark.createDataFrame([], DOCS), SF_DIR)
+        assert spark.conf.get(key) == "1000"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def test_empty_tables_stay_empty(spark, docs, monkeypatch):
     empty = docs.limit(0)
     for name in ("near duplicates", "mixing", "bpe"):
