@@ -65,9 +65,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select("m", F.explode(F.array("a", "b")).alias("b")).where("m <> b")
         small = materialise(small.select(F.col("m").alias("a"), "b").distinct())
-        more = small.groupBy("b").agg(F.count("*").alias("n")).where("n > 1")
-        hubs = small.join(small.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
-        if more.limit(1).count() == 0 and hubs.limit(1).count() == 0:
+        # stars: no node has two smaller neighbours, or smaller and larger ones
+        ends = small.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        ends = ends.unionByName(small.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        mixed = ends.groupBy("node").agg(F.max("up").alias("up"), F.sum("down").alias("down")).where("down + up > 1 and down > 0")
+        if mixed.limit(1).count() == 0:
             stars = small
             return stars.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(
                 stars.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()

@@ -40,7 +40,7 @@ from .words import Words, mix, shingle_sets, slices, texts
 PERCENT = 80
 #: Signatures that a task packs before it hands them on.
 FLUSH = 1_000_000
-#: Pairs that a member of a list, or two components in a list, hand in at first; four times as many in each further round.
+#: Pairs for each member of a list that it hands in at first; where there are more, pairs that a member or two components hand in. Four times as many in each further round.
 CROSS = 16
 #: Lists with more members hand in a quarter of that: what holds or fails in one of them settles many others.
 LONG = 256
@@ -300,16 +300,22 @@ def _verified(docs: DataFrame, facts: DataFrame, pairs: DataFrame, percent: int)
     equal = F.expr("key_1_a = key_1_b and key_2_a = key_2_b and n_shingles_a = n_shingles_b")
     known = pairs.select("a", "b", "n_shingles_a", "n_shingles_b", equal.alias("equal"), "sketch_a", "sketch_b")
     known = materialise(known.mapInPandas(_decided(percent), "a bigint, b bigint, linked boolean"))
-    open_pairs = known.where("linked is null").select("a", "b").distinct()
-    bits = id_filter(open_pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    decided = _by_sets(docs, known.where("linked is null").select("a", "b"), percent)
+    return materialise(known.where("linked is not null").unionByName(decided).groupBy("a", "b").agg(F.max("linked").alias("linked")))
+
+
+def _by_sets(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b) with `linked`, from the sets; a row for each two texts of a pair. Pairs are read twice and may repeat."""
+    bits = id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")))
     sets = docs.mapInArrow(_set_rows(bits), "doc_id bigint, shingles array<bigint>")
-    both = open_pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")), "b").join(
+    both = pairs.distinct().join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")), "b").join(
         sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), "a"
     )
     common = F.size(F.array_intersect("of_a", "of_b"))
     union = F.size("of_a") + F.size("of_b") - common
-    decided = both.select("a", "b", (common.cast("bigint") * 100 >= union.cast("bigint") * percent).alias("linked"))
-    return materialise(known.where("linked is not null").unionByName(decided).groupBy("a", "b").agg(F.max("linked").alias("linked")))
+    # two empty sets link with nothing
+    linked = (common > 0) & (common.cast("bigint") * 100 >= union.cast("bigint") * percent)
+    return both.select("a", "b", linked.alias("linked"))
 
 
 def _bits(sketches: pd.Series, size: int) -> np.ndarray:
@@ -325,11 +331,13 @@ def _bits(sketches: pd.Series, size: int) -> np.ndarray:
 
 
 def _cross_pairs(percent: int, most: int):
-    def of_one_size(rows: pd.DataFrame, ends: np.ndarray, limit: np.ndarray, size: int) -> list[np.ndarray]:
-        """Places of the pairs' members and whether these or their components have handed in as many as they may; `ends` and `limit` are those of the lists."""
+    def of_one_size(rows: pd.DataFrame, ends: np.ndarray, limit: np.ndarray, budget: np.ndarray, size: int) -> list[np.ndarray]:
+        """Places of the pairs' members and whether there may be more of these or their components; `ends`, `limit` and `budget` are those of the lists."""
         ids, group, sizes = (rows[c].to_numpy() for c in ("member", "component", "n_shingles"))
         bits, refuted = _bits(rows["sketch"], size), rows["refuted"].to_numpy()
         found = np.zeros(len(rows), np.int64)
+        # pairs of the list that a place belongs to, at the list's last place
+        whole = np.zeros(len(rows) + 1, np.int64)
         out = [np.zeros((2, 0), np.int64)]
         active, begin, block = np.arange(len(rows)), 1, 64
         while len(active):
@@ -357,31 +365,40 @@ def _cross_pairs(percent: int, most: int):
                     if known is not None and len(known):
                         keep[a:b] = ~np.isin(ids[right[a:b]], known)
                 left, right = left[keep], right[keep]
-                # the first of each member
+                # all pairs of a list that has few, else the first of each member
                 nth = np.arange(len(left)) - np.searchsorted(left, left) + found[left]
-                inside = nth < limit[left]
+                inside = (nth < limit[left]) | (whole[ends[left]] <= budget[left])
                 left, right = left[inside], right[inside]
                 found += np.bincount(left, minlength=len(rows))
+                whole += np.bincount(ends[left], minlength=len(whole))
                 out.append(np.stack([left, right]))
             begin, block = begin + block, 2 * block
-            active = active[(found[active] < limit[active]) & (active + begin < ends[active])]
+            active = active[((found[active] < limit[active]) | (whole[ends[active]] <= budget[active])) & (active + begin < ends[active])]
         left, right = np.concatenate(out, axis=1)
+        many = whole[ends] > budget
+        # each member's in the order of their places, as they were found
+        order = np.argsort(left, kind="stable")
+        left, right = left[order], right[order]
+        inside = (np.arange(len(left)) - np.searchsorted(left, left) < limit[left]) | ~many[left]
+        left, right = left[inside], right[inside]
         # the first of those between the same two components of a list: one that holds connects them
         low, high = np.minimum(group[left], group[right]), np.maximum(group[left], group[right])
         order = np.lexsort((high, low, ends[left]))
         alike = np.stack([ends[left], low, high])[:, order]
         heads = np.flatnonzero(np.concatenate(([True], (alike[:, 1:] != alike[:, :-1]).any(axis=0)))[: len(left)])
         count = np.diff(np.append(heads, len(left)))
-        kept = np.arange(len(left)) - np.repeat(heads, count) < limit[left[order]]
-        left, right, more = left[order][kept], right[order][kept], (np.repeat(count, count) > limit[left[order]])[kept]
-        return [left, right, more | (found[left] >= limit[left])]
+        left, right = left[order], right[order]
+        kept = (np.arange(len(left)) - np.repeat(heads, count) < limit[left]) | ~many[left]
+        more = many[left] & ((np.repeat(count, count) > limit[left]) | (found[left] >= limit[left]))
+        return [left[kept], right[kept], more[kept]]
 
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
         """Pairs of members of the same list that are not connected yet and that sizes and sketches let pass.
 
-        Each member hands in its first `most` later ones that were not refuted (a quarter in a list of over `LONG`),
-        so the rows follow the members, and of these pairs two components hand in no more than that. `list_key`
-        is set where there may be more: all open pairs of the other lists are among the rows.
+        A list with at most `most` pairs for each of its members (a quarter of that if it has over `LONG`) hands in
+        all of them. In any other each member hands in its first `most` later ones that were not refuted, so the
+        rows follow the members, and of these pairs two components hand in no more than that. `list_key` is set
+        where there may be more: all open pairs of the other lists are among the rows.
         """
         rows = rows.sort_values(["list_key", "member"], kind="stable", ignore_index=True)
         keys, group = rows["list_key"].to_numpy(), rows["component"].to_numpy()
@@ -394,7 +411,8 @@ def _cross_pairs(percent: int, most: int):
             many = count[least == size]
             limit = np.where(many > LONG, max(most // 4, 1), most)
             own = rows[np.repeat(least == size, count)]
-            left, right, more = of_one_size(own, np.repeat(np.cumsum(many), many), np.repeat(limit, many), size)
+            ends, budget = np.cumsum(many), limit * many
+            left, right, more = of_one_size(own, *(np.repeat(x, many) for x in (ends, limit, budget)), size)
             ids = own["member"].to_numpy()
             key = pd.array(own["list_key"].to_numpy()[left], "Int64")
             key[~more] = pd.NA
@@ -465,23 +483,32 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, buckets: int | N
         members = (
             mixed.select("list_key", F.explode("members").alias("member"))
             .join(grouped.withColumnRenamed("node", "member"), "member", "left")
-            .join(solid.select(F.col("doc_id").alias("member"), "n_shingles", "sketch"), "member")
+            .join(solid.select(F.col("doc_id").alias("member"), "n_shingles", "key_1", "key_2", "sketch"), "member")
             .join(refuted.groupBy(F.col("a").alias("member")).agg(F.collect_list("b").alias("refuted")), "member", "left")
-            .select("list_key", "member", F.coalesce("component", "member").alias("component"), "n_shingles", "sketch", "refuted")
+            .withColumn("component", F.coalesce("component", "member"))
         )
-        members = members.repartition("list_key").sortWithinPartitions("list_key")
+        # equal sets have the same links and are connected: the smallest one of a list stands for all
+        of_set = ["list_key", "n_shingles", "key_1", "key_2"]
+        first = F.min(F.struct("member", "component", "sketch", "refuted")).alias("first")
+        members = members.repartition("list_key").groupBy(*of_set).agg(first).select("list_key", "n_shingles", "first.*")
+        members = members.select("list_key", "member", "component", "n_shingles", "sketch", "refuted").sortWithinPartitions("list_key")
         handed = materialise(members.mapInPandas(_listed(percent, most), "a bigint, b bigint, list_key bigint"))
-        cross = handed.where("a <> b").select("a", "b").distinct()
-        if not cross.limit(1).count():
+        if not handed.limit(1).count():
             break
-        checked = _verified(docs, solid, cross, percent)
+        # sizes and sketches have let these pass, so only their sets are left to compare
+        checked = _by_sets(docs, handed.select("a", "b"), percent)
+        checked = materialise(checked.groupBy("a", "b").agg(F.max("linked").alias("linked")))
         more = checked.where("linked").select("a", "b")
-        refuted = materialise(refuted.unionByName(checked.where("not linked").select("a", "b")))
-        grouped = materialise(
-            components(grouped.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
-        )
+        if more.limit(1).count():
+            grouped = materialise(
+                components(grouped.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
+            )
         # a list that has handed in all it had is settled: its pairs hold now or are refuted
-        mixed = materialise(mixed.join(handed.select("list_key").where("list_key is not null").distinct(), "list_key", "left_semi"))
+        left = handed.select("list_key").where("list_key is not null").distinct()
+        if not left.limit(1).count():
+            break
+        mixed = materialise(mixed.join(left, "list_key", "left_semi"))
+        refuted = materialise(refuted.unionByName(checked.where("not linked").select("a", "b")))
         most *= 4
     return facts.join(grouped.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")

@@ -398,6 +398,56 @@ def test_jaccard_rounds_lose_no_link(spark, monkeypatch):
     assert got == component and 1 < len(set(component.values())) < 40
 
 
+def test_jaccard_lists_with_few_open_pairs_hand_in_all_at_once():
+    """Two groups of 30, of which ten members each are alike: 100 pairs are fewer than four for each of 60 members."""
+    rows = _list_rows(60, refuted=False)
+    rows["component"] = rows["member"] % 2
+    far = np.packbits(np.arange(256) < 128, bitorder="little").tobytes()
+    rows["sketch"] = [s if i < 20 else np.bitwise_xor(np.frombuffer(s, np.uint8), np.frombuffer(far, np.uint8) * (i % 2)).tobytes() for i, s in enumerate(rows["sketch"])]
+    rows["refuted"] = [[j for j in range(20, 60)] for _ in range(60)]
+    found = ngram_join._cross_pairs(80, 4)(rows)
+    want = {(a, b) for a in range(20) for b in range(a + 1, 20) if (a - b) % 2}
+    assert set(zip(found["a"].tolist(), found["b"].tolist(), strict=True)) == want and len(found) == 100
+    assert found["list_key"].isna().all()
+
+
+def test_jaccard_copies_in_a_list_hand_in_no_more_pairs(spark, monkeypatch):
+    """Copies that different tasks have packed are members of a list each; the smallest stands for all."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(40):
+        words = list(base)
+        for at in rng.sample(range(60), rng.choice([1, 1, 2, 3])):
+            words[at] = f"x{rng.randrange(4)}"
+        rows.append((10 * i, " ".join(words)))
+    handed, write = [], ngram_join.materialise
+
+    def written(df):
+        out = write(df)
+        if out.columns == ["a", "b", "list_key"]:
+            handed.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", written)
+    numbers = []
+    for copies in (1, 5):
+        handed.clear()
+        dealt = spark.sparkContext.parallelize([(d + c, t) for c in range(copies) for d, t in rows], copies)
+        docs = spark.createDataFrame(dealt, "doc_id bigint, text string")
+        got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs, buckets=2).collect()}
+        one = brute_components({d: shingles(t) for d, t in rows})
+        assert got == {d + c: x for d, x in one.items() for c in range(copies)}
+        numbers.append(list(handed))
+    assert numbers[0] == numbers[1] and sum(numbers[0]) > 0
+
+
+def test_jaccard_empty_texts_of_shared_ids_link_nothing(spark):
+    docs = table(spark, [(1, ""), (2, None), (1, "a b c d e"), (2, "f g h i j")], "doc_id bigint, text string")
+    pairs = table(spark, [(1, 2), (1, 2)], "a bigint, b bigint")
+    assert [r.linked for r in ngram_join._by_sets(docs, pairs, 80).collect()] == [False] * 4
+
+
 def test_jaccard_odd_input(odd, empty):
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(odd).collect())
     assert got[(None, 6, None)] == 1 and got[(2, 6, 1)] == 2 and got[(1, 6, 1)] == 1
