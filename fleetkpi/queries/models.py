@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import features
 from ..operators.forest import decision, score_forest
 from ..operators.machine_stats import fleet_stats, machine_stats, shared_stats
-from ..operators.timeline import written
 from ..plans import anomaly, forecast, fr30, rul, survival
 from ..plans import telemetry as tm
 from ..sources.adapters import AS_OF, TELEMETRY_AS_OF, telemetry_from_lineitem
@@ -76,7 +75,7 @@ def machine_state(spark, sf_dir):
 def return_risk_trained(spark, sf_dir):
     """Boosted trees with calibration; not expressible in SQL."""
     rows, cuts = timeline_and_cuts(spark, sf_dir)
-    return fr30.risk(written(rows, cuts), cuts)
+    return fr30.risk(rows, cuts)
 
 
 # ---------------------------------------------------------------- remaining life

@@ -213,6 +213,23 @@ def test_trained_return_risk(spark, log, tmp_path):
         assert steps == sorted(steps)
 
 
+def test_trained_risk_runs_the_windows_once(spark, log, monkeypatch):
+    rows, cuts = log
+    expected = fr30.score(fr30.fit(fr30.training_set(rows, cuts), iterations=4, depth=3), fr30.current_state(rows, cuts))
+    runs, whole = [], fr30._windowed
+
+    def windowed(*given):
+        runs.append(given)
+        return whole(*given)
+
+    monkeypatch.setattr(fr30, "_windowed", windowed)
+    risk = fr30.risk(rows, cuts, iterations=4, depth=3)
+    assert len(runs) == 1
+    assert values(risk, "codigo", "risk_30d", "banda") == values(expected, "codigo", "risk_30d", "banda")
+    # what follows reads the written windows
+    assert "Window" not in risk._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_too_few_rows_use_the_rules(spark):
     rows = features.visit_timeline(visits(spark, machine("A-1", [0, 5, 10])), AS_OF)
     assert values(fr30.risk(rows), "codigo", "risk_30d") == {"A-1": 0.9}
