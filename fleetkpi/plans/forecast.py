@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import instant
+from ..operators import daily
 from ..storage import materialise
 
 HORIZON = 30
 _WEEK = range(7)
-_EFFECTS = [f"efecto_{d}" for d in _WEEK]  # Monday first
+_EFFECTS = daily.EFFECTS
 
 
 def machine_days(timeline: DataFrame) -> DataFrame:
@@ -22,50 +25,38 @@ def machine_days(timeline: DataFrame) -> DataFrame:
     )
 
 
+def _by_machine(days: DataFrame, steps: Callable, schema: str) -> DataFrame:
+    """What the steps make of each machine's days."""
+    # few days grow into many: a fixed count keeps the partitions from being merged before that
+    wide = int(days.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = dict(zip(daily.INPUTS, ("string", "date", "double", "bigint", "string"), strict=True))
+    rows = days.select(*[F.col(c).cast(kind).alias(c) for c, kind in kinds.items()])
+    return rows.repartition(wide, "codigo").sortWithinPartitions("codigo", "dia").mapInArrow(steps, schema)
+
+
+def _each_day(packed: DataFrame) -> DataFrame:
+    """A row for each day of packed series."""
+    rest = [c for c in packed.columns if c not in ("codigo", "clase", "desde", "y")]
+    rows = packed.select("codigo", "clase", "desde", *rest, F.posexplode("y").alias("_at", "y"))
+    return rows.select("codigo", F.date_add("desde", F.col("_at")).alias("ds"), "y", "clase", *rest)
+
+
 def daily_hours(days: DataFrame, min_visits: int = 3) -> DataFrame:
     """Hours by entry day and every empty day between, for machines with enough visits.
 
-    A day fills the gap up to the next one itself, so no calendar is joined. The windows see at
-    most one row per machine and calendar day.
+    A machine is filled in one array, so no calendar is joined; it has at most one row per calendar day.
     """
-    machine = Window.partitionBy("codigo")
-    until = F.coalesce(F.date_sub(F.col("_next"), 1), F.col("dia"))
-    hours = F.when(F.col("ds") == F.col("dia"), F.col("horas")).otherwise(0.0)
-    # few days grow into many: a fixed count keeps the partitions from being merged before that
-    wide = int(days.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        days.repartition(wide, "codigo").withColumns(
-            {
-                "_next": F.lead("dia").over(machine.orderBy("dia")),
-                "_visits": F.sum("visitas").over(machine),
-                "clase": F.max_by("clase", "dia").over(machine),
-            }
-        )
-        .filter(F.col("_visits") >= min_visits)
-        .withColumn("ds", F.explode(F.sequence(F.col("dia"), until)))
-        .select("codigo", "ds", hours.alias("y"), "clase")
-    )
+    return _each_day(_by_machine(days, daily.daily(min_visits), daily.HOURS))
 
 
-def usage_series(days: DataFrame) -> DataFrame:
+def usage_series(days: DataFrame, min_visits: int = 3) -> DataFrame:
     """Smoothed, capped daily series of machines with some variation, with its statistics."""
-    machine = Window.partitionBy("codigo")
-    smooth = machine.orderBy("ds").rowsBetween(-2, 0)
-    return (
-        daily_hours(days)
-        .withColumn("y", F.avg("y").over(smooth))
-        .withColumn("y", F.least(F.col("y"), F.percentile("y", F.lit(0.99)).over(machine)))
-        .withColumns(
-            {
-                "dias": F.count("*").over(machine),
-                "media": F.avg("y").over(machine),
-                "desviacion": F.stddev_samp("y").over(machine),
-                "maximo": F.max("y").over(machine),
-                "dias_con_uso": F.count_if(F.col("y") > 0).over(machine),
-            }
-        )
-        .filter((F.col("desviacion") > 0.1) & (F.col("dias") >= 10))
-    )
+    return _each_day(_by_machine(days, daily.usage(min_visits), daily.SERIES))
+
+
+def usage_trends(days: DataFrame, min_visits: int = 3) -> DataFrame:
+    """Trend and weekday effects of each machine's usage series, taken where the series is made."""
+    return _by_machine(days, daily.trends(min_visits), daily.FITS)
 
 
 def _trend_and_week(series: DataFrame, key: str) -> DataFrame:
@@ -122,9 +113,12 @@ def fit_class(series: DataFrame, min_days: int = 10) -> DataFrame:
     )
 
 
-def models(series: DataFrame) -> DataFrame:
-    """Machine models, and class models where under 30 % of the series got their own."""
-    fits = materialise(_trend_and_week(series, "codigo"))  # one row per machine
+def models(series: DataFrame, trends: DataFrame | None = None) -> DataFrame:
+    """Machine models, and class models where under 30 % of the series got their own.
+
+    ``trends`` are the series' ``usage_trends`` where they are at hand.
+    """
+    fits = materialise(_trend_and_week(series, "codigo") if trends is None else trends)  # one row per machine
     numbers = ["pendiente", "dia_medio", "media", "ultimo_dia", *_EFFECTS]
     individual = fits.filter(F.col("dias") >= 15).select(
         F.col("codigo").alias("modelo"), F.lit("individual").alias("tipo"), *numbers
@@ -195,7 +189,7 @@ def predict(timeline: DataFrame, as_of: str) -> DataFrame:
     """Forecast of every machine with the model chosen for it."""
     days = materialise(machine_days(timeline))
     machines = days.groupBy("codigo").agg(F.max_by("clase", "dia").alias("clase"))
-    ahead = horizon(models(usage_series(days)), as_of)
+    ahead = horizon(models(usage_series(days), usage_trends(days)), as_of)
     confident = F.when(F.col("tipo") == "individual", "ALTA").otherwise("MEDIA")
     return (
         choose_models(machines, ahead)

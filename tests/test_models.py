@@ -17,6 +17,7 @@ from fleetkpi.plans import anomaly, forecast, fr30, kpi, rul, survival
 from fleetkpi.plans import telemetry as tm
 from fleetkpi.queries.base import timeline_and_cuts
 from fleetkpi.sources import exports
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
@@ -121,6 +122,48 @@ def test_usage_series_limits(spark):
     assert len(c) == 21 and c[0] == pytest.approx(24.0, abs=5) and c[5] == 0.0
 
 
+def test_trends_are_taken_where_the_series_is_made(spark, monkeypatch):
+    """One row a machine leaves a task, equal to what its rows give, however machines fall into batches and lots."""
+    rng = random.Random(8)
+    rows = [(m, m * 3 + rng.randrange(60 + 40 * m), rng.uniform(-2, 30), "C" + str(m % 3)) for m in range(12) for _ in range(1 + 4 * m)]
+    days = spark.createDataFrame(rows, "m int, d int, h double, clase string").groupBy(
+        F.when(F.col("m") != 7, F.format_string("A-%02d", "m")).alias("codigo"), F.expr("date_add(date'2024-01-01', d)").alias("dia")
+    ).agg(F.sum("h").alias("horas"), F.count("*").alias("visitas"), F.max("clase").alias("clase"))
+    wide = {r.codigo: r for r in forecast._trend_and_week(forecast.usage_series(days), "codigo").collect()}
+    assert len(wide) == 11 and None in wide
+    monkeypatch.setattr(forecast.daily, "DAYS", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        trends = forecast.usage_trends(days)
+        assert "Generate" not in trends._jdf.queryExecution().optimizedPlan().toString()
+        got = trends.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(wide)
+    for row in got:
+        for name in trends.columns:
+            if name != "codigo":
+                one, two = row[name], wide[row.codigo][name]
+                assert one == (pytest.approx(two, rel=1e-9, abs=1e-9) if isinstance(two, float) else two), name
+
+
+def test_usage_series_is_that_of_windows(spark):
+    """Filled, smoothed over three days, capped at the exact 99th percentile; values may be negative."""
+    rng = random.Random(4)
+    rows = [(f"A-{m}", d, rng.uniform(-5, 20), 1, "C1") for m in range(4) for d in rng.sample(range(90 + 150 * m), 20 + 60 * m)]
+    days = spark.createDataFrame(rows, "codigo string, d int, horas double, visitas int, clase string").select(
+        "codigo", F.expr("date_add(date'2024-01-01', d)").alias("dia"), "horas", F.col("visitas").cast("bigint").alias("visitas"), "clase"
+    )
+    machine = Window.partitionBy("codigo")
+    span = days.groupBy("codigo").agg(F.min("dia").alias("a"), F.max("dia").alias("b"))
+    full = span.select("codigo", F.explode(F.sequence("a", "b")).alias("ds")).join(days.withColumnRenamed("dia", "ds"), ["codigo", "ds"], "left")
+    smooth = full.withColumn("y", F.avg(F.coalesce("horas", F.lit(0.0))).over(machine.orderBy("ds").rowsBetween(-2, 0)))
+    capped = smooth.withColumn("y", F.least("y", F.percentile("y", F.lit(0.99)).over(machine)))
+    want = {(r.codigo, r.ds): r.y for r in capped.collect()}
+    got = {(r.codigo, r.ds): r.y for r in forecast.usage_series(days).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12, abs=1e-12) for k in want)
+
+
 def test_silent_machine_falls_back_to_its_mean(spark):
     fits = spark.createDataFrame(
         [("A", "individual", 0.0, 0.0, 3.0, "2024-06-01"), ("B", "individual", 0.0, 0.0, 2.0, "2024-12-30")],
