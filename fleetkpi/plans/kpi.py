@@ -19,6 +19,27 @@ from .fr30 import rule_risk
 from .rul import rule_rul
 
 NUMBERS = ["fr30_risk", "rul50_d", "rul90_d", "forecast_7d_h", "forecast_30d_h", "horas_por_dia"]
+#: What the four trained models take from a timeline; windows of other columns need not run for them.
+TRAINED_ON = [
+    "visit_id",
+    "codigo",
+    "fecha_in",
+    "fecha_out",
+    "sistema_afectado",
+    "flota",
+    "clase",
+    "ciclo_horas",
+    "dias_desde_ultima_salida",
+    "tbf_dias",
+    "anterior_in",
+    "siguiente_in",
+    "ultima_in",
+    "n_min5",
+    "tbf_med_3",
+    "tbf_med_60d",
+    "tbf_std_60d",
+    "mttr_eq",
+]
 
 
 def rule_indicators(
